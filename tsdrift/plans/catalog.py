@@ -167,3 +167,220 @@ def psi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("psi", _PSI_SQL)(psi_windows)
+
+
+# ---------------------------------------------------------------- KS / monitor
+from tsdrift.config import HOURLY_POLICIES  # noqa: E402
+from tsdrift.plans import monitor  # noqa: E402
+
+_DRIFT_CTES = (*O.PREP, O.windows_cte(), *O.psi_ctes(), *O.ks_ctes())
+_BT_CTES = (*_DRIFT_CTES, *O.model_ctes(), *O.backtest_ctes(HOURLY_POLICIES))
+
+
+def _ks_per_feature(spark, sf):
+    f = monitor.features(spark, sf)
+    per, _ = drift.ks_multi(f.where(F.col("split") == "train"), monitor.windows(f), HOURLY_DRIFT.features,
+                            window_keys=monitor.WKEYS, drift_count=HOURLY_DRIFT.ks_drift_count,
+                            alpha=HOURLY_DRIFT.ks_alpha)
+    return per
+
+
+@register("ks_statistic", O.with_(*_DRIFT_CTES) + f"""
+SELECT series_id, feature, scenario, window_id, {rd('ks_statistic')}, n_ref, n_cur FROM ks_t""")
+def q_ks_statistic(spark, sf):
+    return rounded(_ks_per_feature(spark, sf).select("series_id", "feature", "scenario", "window_id",
+                                                     "ks_statistic", "n_ref", "n_cur"))
+
+
+@register("ks_pvalue", O.with_(*_DRIFT_CTES) + f"""
+SELECT series_id, feature, scenario, window_id, {rd('p_value')}, p_value < {HOURLY_DRIFT.ks_alpha} AS is_drift FROM ks_p""")
+def q_ks_pvalue(spark, sf):
+    return rounded(_ks_per_feature(spark, sf).select("series_id", "feature", "scenario", "window_id",
+                                                     "p_value", "is_drift"))
+
+
+@register("ks_multi", O.with_(*_DRIFT_CTES) + f"""
+SELECT series_id, scenario, window_id, coalesce(drifted_features, '') AS drifted_features, ks_num_drifted,
+  ks_num_drifted >= {HOURLY_DRIFT.ks_drift_count} AS ks_drift FROM ks_v""")
+def q_ks_multi(spark, sf):
+    f = monitor.features(spark, sf)
+    _, summ = drift.ks_multi(f.where(F.col("split") == "train"), monitor.windows(f), HOURLY_DRIFT.features,
+                             window_keys=monitor.WKEYS, drift_count=HOURLY_DRIFT.ks_drift_count,
+                             alpha=HOURLY_DRIFT.ks_alpha)
+    return summ.select("series_id", "scenario", "window_id",
+                       F.array_join("drifted_features", ",").alias("drifted_features"),
+                       F.col("ks_num_drifted").cast("int"), "ks_drift")
+
+
+@register("quantile_breakpoints", O.with_(*O.PREP, "trainf AS (SELECT * FROM features WHERE split = 'train')",
+                                          O.breakpoints_cte("bp", "trainf", "load"))
+          + f"SELECT series_id, {O.snap('list_min(bp)')} AS bp_min, {O.snap('list_max(bp)')} AS bp_max, "
+            f"CAST(len(bp) AS INTEGER) AS n_breakpoints, {O.snap('list_sum(bp)')} AS bp_sum FROM bp")
+def q_quantile_breakpoints(spark, sf):
+    bp = drift.quantile_breakpoints(train_rows(spark, sf), "load")
+    return rounded(bp.select("series_id", F.array_min("bp").alias("bp_min"), F.array_max("bp").alias("bp_max"),
+                             F.size("bp").alias("n_breakpoints"),
+                             F.aggregate("bp", F.lit(0.0), lambda a, b: a + b).alias("bp_sum")))
+
+
+@register("assign_bins", O.with_(*O.PREP, O.windows_cte(), *O.psi_ctes()[:2]) + """
+SELECT w.series_id, w.scenario, w.ts, CAST(len(list_filter(b.bp, lambda x: x < w.load)) AS INTEGER) AS bin
+FROM win w JOIN bp b USING (series_id)""")
+def q_assign_bins(spark, sf):
+    f = monitor.features(spark, sf)
+    bp = drift.quantile_breakpoints(f.where(F.col("split") == "train"), "load")
+    return drift.assign_bins(monitor.windows(f), bp, "load").select("series_id", "scenario", "ts", "bin")
+
+
+register("psi_check", _PSI_SQL)(psi_windows)
+
+_MON_SQL = O.with_(*_BT_CTES) + f"""
+SELECT w.series_id, w.scenario, w.window_id, {rd('ps.psi', 'psi')}, {O.psi_severity_sql('ps.psi')} AS psi_severity,
+  {O.psi_drift_sql('ps.psi')} AS psi_drift,
+  coalesce(kv.ks_num_drifted, 0) AS ks_num_drifted, coalesce(kv.ks_num_drifted, 0) >= {HOURLY_DRIFT.ks_drift_count} AS ks_drift,
+  {rd('pr.mape', 'mape')}, {rd('b.baseline_mape', 'baseline_mape')},
+  {rd('pr.mape / b.baseline_mape', 'mape_ratio')},
+  CASE WHEN pr.mape / b.baseline_mape >= {HOURLY_DRIFT.mape_beta} THEN 'critical'
+       WHEN pr.mape / b.baseline_mape >= {HOURLY_DRIFT.mape_alpha} THEN 'warning' ELSE 'stable' END AS mape_severity,
+  pr.mape / b.baseline_mape >= {HOURLY_DRIFT.mape_beta} AS mape_drift,
+  ({O.psi_drift_sql('ps.psi')} OR coalesce(kv.ks_num_drifted, 0) >= {HOURLY_DRIFT.ks_drift_count}
+   OR pr.mape / b.baseline_mape >= {HOURLY_DRIFT.mape_beta}) AS overall_drift
+FROM (SELECT DISTINCT series_id, scenario, window_id FROM win) w
+JOIN psi_t ps USING (series_id, scenario, window_id)
+LEFT JOIN ks_v kv USING (series_id, scenario, window_id)
+JOIN pairs pr ON pr.series_id = w.series_id AND pr.scenario = w.scenario AND pr.window_id = w.window_id AND pr.mt IS NULL
+JOIN base b ON b.series_id = w.series_id"""
+
+
+@register("drift_monitor", _MON_SQL)
+def q_drift_monitor(spark, sf):
+    m = monitor.static_monitor(monitor.features(spark, sf))
+    return rounded(m.select("series_id", "scenario", "window_id", "psi", "psi_severity", "psi_drift",
+                            F.coalesce(F.col("ks_num_drifted"), F.lit(0)).cast("int").alias("ks_num_drifted"),
+                            F.coalesce(F.col("ks_drift"), F.lit(False)).alias("ks_drift"),
+                            "mape", "baseline_mape", "mape_ratio", "mape_severity", "mape_drift",
+                            "overall_drift"))
+
+
+@register("mape_check", O.with_(*_BT_CTES) + f"""
+SELECT pr.series_id, pr.scenario, pr.window_id, {rd('pr.mape', 'mape')}, {rd('pr.mape / b.baseline_mape', 'mape_ratio')},
+  pr.mape / b.baseline_mape >= {HOURLY_DRIFT.mape_alpha} AS mape_warning,
+  pr.mape / b.baseline_mape >= {HOURLY_DRIFT.mape_beta} AS mape_drift
+FROM pairs pr JOIN base b USING (series_id) WHERE pr.mt IS NULL""")
+def q_mape_check(spark, sf):
+    s = drift.mape_check(monitor.static_scores(monitor.features(spark, sf)),
+                         alpha=HOURLY_DRIFT.mape_alpha, beta=HOURLY_DRIFT.mape_beta)
+    return rounded(s.select("series_id", "scenario", "window_id", "mape", "mape_ratio", "mape_warning", "mape_drift"))
+
+
+# ---------------------------------------------------------------- models
+from tsdrift.operators import joins, models  # noqa: E402
+from tsdrift.plans import backtest as BT  # noqa: E402
+
+
+@register("fit_grouped_linear", O.with_(*_BT_CTES) + f"SELECT series_id, {rd('a')}, {rd('b')}, n_fit FROM m0")
+def q_fit_grouped_linear(spark, sf):
+    m0 = models.fit_grouped_linear(train_rows(spark, sf), x=HOURLY_BACKTEST.x_col, y=HOURLY_BACKTEST.y_col)
+    return rounded(m0)
+
+
+_VAL_PRED = "(SELECT f.*, m.a + m.b * f.load_lag_24h AS prediction FROM features f JOIN m0 m USING (series_id) WHERE f.split = 'val')"
+
+
+def _val_predictions(spark, sf):
+    f = monitor.features(spark, sf)
+    m0 = models.fit_grouped_linear(f.where(F.col("split") == "train"), x=HOURLY_BACKTEST.x_col, y=HOURLY_BACKTEST.y_col)
+    return models.predict_linear(f.where(F.col("split") == "val"), m0, x=HOURLY_BACKTEST.x_col)
+
+
+_EVAL_SQL = O.with_(*_BT_CTES) + f"""
+SELECT series_id, {rd('avg(abs((load - prediction) / (load + 1e-08))) * 100', 'mape')},
+  {rd('sqrt(avg((load - prediction) * (load - prediction)))', 'rmse')},
+  {rd('1.0 - sum((load - prediction) * (load - prediction)) / (var_pop(load) * count(load))', 'r2')},
+  count(*) AS n
+FROM {_VAL_PRED} GROUP BY 1"""
+
+
+@register("evaluate", _EVAL_SQL)
+def q_evaluate(spark, sf):
+    return rounded(models.evaluate(_val_predictions(spark, sf)))
+
+
+@register("predict", O.with_(*_BT_CTES) + f"SELECT series_id, ts, {rd('prediction')} FROM {_VAL_PRED}")
+def q_predict(spark, sf):
+    return rounded(_val_predictions(spark, sf).select("series_id", "ts", "prediction"))
+
+
+@register("residuals", O.with_(*_BT_CTES) + f"SELECT series_id, ts, {rd('load - prediction', 'residual')} FROM {_VAL_PRED}")
+def q_residuals(spark, sf):
+    return rounded(models.residuals(_val_predictions(spark, sf)).select("series_id", "ts", "residual"))
+
+
+@register("quality_gate", O.with_(*_BT_CTES) + f"""
+SELECT series_id, CASE WHEN mape < 5.0 THEN 'PASS' ELSE 'FAIL' END AS mape_status,
+  CASE WHEN r2 > 0.9 THEN 'PASS' ELSE 'WARN' END AS r2_status
+FROM (SELECT series_id, avg(abs((load - prediction) / (load + 1e-08))) * 100 AS mape,
+        1.0 - sum((load - prediction) * (load - prediction)) / (var_pop(load) * count(load)) AS r2
+      FROM {_VAL_PRED} GROUP BY 1)""")
+def q_quality_gate(spark, sf):
+    g = models.quality_gate(models.evaluate(_val_predictions(spark, sf)))
+    return g.select("series_id", "mape_status", "r2_status")
+
+
+@register("history_slice", O.with_(*_BT_CTES) + f"""
+SELECT c.series_id, c.t, h.ts, {rd('h.load', 'load')}
+FROM cand c JOIN features h ON h.series_id = c.series_id AND h.split IN ('train', 'test')
+  AND h.ts >= c.t - to_microseconds({int(HOURLY_BACKTEST.refit_days * 86_400_000_000)}) AND h.ts <= c.t""")
+def q_history_slice(spark, sf):
+    f = monitor.features(spark, sf)
+    cands = monitor.windows(f).select("series_id", F.col("window_start").alias("t")).distinct()
+    hist = joins.train_plus_test_history(f.where(F.col("split") == "train"), f.where(F.col("split") == "test"))
+    return rounded(joins.history_slice(cands, hist, HOURLY_BACKTEST.refit_days).select("series_id", "t", "ts", "load"))
+
+
+@register("train_plus_test_history", O.with_(*O.PREP)
+          + f"SELECT series_id, ts, split, {rd('load')} FROM features WHERE split IN ('train', 'test')")
+def q_train_plus_test_history(spark, sf):
+    f = monitor.features(spark, sf)
+    u = joins.train_plus_test_history(f.where(F.col("split") == "train"), f.where(F.col("split") == "test"))
+    return rounded(u.select("series_id", "ts", "split", "load"))
+
+
+@register("candidate_models", O.with_(*_BT_CTES) + f"SELECT series_id, t, {rd('a')}, {rd('b')}, n_fit FROM cfit")
+def q_candidate_models(spark, sf):
+    f = monitor.features(spark, sf)
+    c = BT.candidate_models(f, monitor.windows(f), HOURLY_BACKTEST).where(F.col("n_fit") > 0)
+    return rounded(c.select("series_id", "t", "a", "b", F.col("n_fit").cast("bigint")))
+
+
+# ---------------------------------------------------------------- policies and backtest
+_BT_COLS = ("series_id", "policy", "scenario", "window_id", "timestamp", "mape", "rmse", "psi",
+            "ks_drifted", "overall_drift", "fire", "refit", "model_time")
+_FOLD_SELECT = f"""SELECT series_id, policy, scenario, CAST(window_id AS BIGINT) AS window_id, window_start AS timestamp,
+  {rd('mape')}, {rd('rmse')}, {rd('psi')}, CAST(ks_drifted AS INTEGER) AS ks_drifted, overall_drift, fire, refit, model_time"""
+
+
+@register("backtest", O.with_(*_BT_CTES) + _FOLD_SELECT + " FROM fold")
+def q_backtest(spark, sf):
+    return rounded(monitor.backtest_metrics(spark, sf).select(*_BT_COLS))
+
+
+@register("event_log", O.with_(*_BT_CTES) + """
+SELECT series_id, policy, scenario, window_start AS timestamp, 'retrain' AS event,
+  CAST(NULL AS DOUBLE) AS retrain_time_seconds, 'policy_trigger' AS trigger_reason
+FROM fold WHERE refit""")
+def q_event_log(spark, sf):
+    return BT.event_log(monitor.backtest_metrics(spark, sf))
+
+
+def _static_fires(spark, sf):
+    return monitor.static_policy_fires(monitor.features(spark, sf)).select(
+        "series_id", "policy", "scenario", F.col("window_id").cast("bigint"), "window_start", "fire")
+
+
+_SFOLD = "SELECT series_id, policy, scenario, CAST(window_id AS BIGINT) AS window_id, window_start, fire FROM sfold"
+register("apply_policies", O.with_(*_BT_CTES) + _SFOLD)(_static_fires)
+for _name, _pol in (("policy_never", "policy0"), ("policy_periodic", "policy1"),
+                    ("policy_performance", "policy2"), ("policy_hybrid", "policy3")):
+    register(_name, O.with_(*_BT_CTES) + _SFOLD + f" WHERE policy = '{_pol}'")(
+        (lambda p: lambda spark, sf: _static_fires(spark, sf).where(F.col("policy") == p))(_pol))

@@ -22,7 +22,7 @@ EPOCH = "TIMESTAMP '1970-01-01'"
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
 def hour_no(col: str = "ts") -> str:
@@ -183,3 +183,153 @@ def psi_severity_sql(col: str = "psi") -> str:
 
 def psi_drift_sql(col: str = "psi", threshold: float = HOURLY_DRIFT.psi_threshold) -> str:
     return f"({psi_severity_sql(col)} = 'critical' OR {col} >= {threshold})"
+
+
+# ---------------------------------------------------------------- KS
+def _unpivot(src: str, keys: str, feats, where: str = "TRUE") -> str:
+    casts = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in feats)
+    on = ", ".join(feats)
+    return (f"(UNPIVOT (SELECT {keys}, {casts} FROM {src} WHERE {where}) "
+            f"ON {on} INTO NAME feature VALUE value)")
+
+
+def ks_ctes(feats=HOURLY_DRIFT.features) -> tuple[str, ...]:
+    """KS statistic per (series, feature, scenario, window) of window values
+    against train values."""
+    return (
+        f"kref AS (SELECT * FROM {_unpivot('features', 'series_id', feats, "split = 'train'")} WHERE value IS NOT NULL)",
+        f"kcur AS (SELECT * FROM {_unpivot('win', 'series_id, scenario, window_id', feats)} WHERE value IS NOT NULL)",
+        "knref AS (SELECT series_id, feature, count(*) AS n_ref FROM kref GROUP BY ALL)",
+        """kcv AS (
+  SELECT DISTINCT series_id, scenario, window_id, feature, value,
+    count(*) OVER (PARTITION BY series_id, scenario, window_id, feature ORDER BY value
+                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_le,
+    count(*) OVER (PARTITION BY series_id, scenario, window_id, feature, value) AS c_eq,
+    count(*) OVER (PARTITION BY series_id, scenario, window_id, feature) AS n_cur
+  FROM kcur)""",
+        """kgap AS (
+  SELECT c.series_id, c.scenario, c.window_id, c.feature, c.value, c.c_le, c.c_eq, c.n_cur, n.n_ref,
+    count_if(r.value <= c.value) AS r_le, count_if(r.value < c.value) AS r_lt
+  FROM kcv c JOIN knref n USING (series_id, feature)
+  LEFT JOIN kref r ON r.series_id = c.series_id AND r.feature = c.feature
+  GROUP BY ALL)""",
+        """ks_t AS (
+  SELECT series_id, scenario, window_id, feature, n_ref, n_cur,
+    max(greatest(abs(r_le / n_ref - c_le / n_cur), abs(r_lt / n_ref - (c_le - c_eq) / n_cur))) AS ks_statistic
+  FROM kgap GROUP BY ALL)""",
+        f"""ks_p AS (SELECT *, {kolmogorov_sql('ks_statistic', 'n_ref', 'n_cur')} AS p_value FROM ks_t)""",
+        f"""ks_v AS (
+  SELECT series_id, scenario, window_id,
+    string_agg(CASE WHEN p_value < {HOURLY_DRIFT.ks_alpha} THEN feature END, ','
+               ORDER BY {feature_order_sql(feats)}) AS drifted_features,
+    CAST(count_if(p_value < {HOURLY_DRIFT.ks_alpha}) AS INTEGER) AS ks_num_drifted
+  FROM ks_p GROUP BY ALL)""",
+    )
+
+
+def feature_order_sql(feats) -> str:
+    whens = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(feats))
+    return f"CASE feature {whens} END"
+
+
+def kolmogorov_sql(d: str, n: str, m: str) -> str:
+    lam = f"(sqrt({n} * {m} / ({n} + {m})) * {d})"
+    series = (f"2.0 * list_reduce(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * "
+              f"exp(-2.0 * k * k * {lam} * {lam})), lambda a, b: a + b)")
+    return f"CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, {series})) END"
+
+
+# ---------------------------------------------------------------- models and backtest
+def model_ctes(bt=HOURLY_BACKTEST) -> tuple[str, ...]:
+    x, y = bt.x_col, bt.y_col
+    span = int(round(bt.refit_days * 86_400_000_000))
+    fit = (f"coalesce(nullif(regr_intercept({y}, {x}), 'NaN'::DOUBLE), avg({y})) AS a, "
+           f"coalesce(nullif(regr_slope({y}, {x}), 'NaN'::DOUBLE), 0.0) AS b, count({y}) AS n_fit")
+    return (
+        f"m0 AS (SELECT series_id, {fit} FROM features WHERE split = 'train' GROUP BY 1)",
+        f"""base AS (
+  SELECT f.series_id, avg(abs((f.{y} - (m.a + m.b * f.{x})) / (f.{y} + 1e-08))) * 100 AS baseline_mape
+  FROM features f JOIN m0 m USING (series_id) WHERE f.split = 'val' GROUP BY 1)""",
+        "cand AS (SELECT DISTINCT series_id, window_start AS t FROM win)",
+        f"""cfit AS (
+  SELECT c.series_id, c.t, {fit.replace(f'({y}', f'(h.{y}').replace(f', {x})', f', h.{x})')}
+  FROM cand c JOIN features h ON h.series_id = c.series_id AND h.split IN ('train', 'test')
+    AND h.ts >= c.t - to_microseconds({span}) AND h.ts <= c.t
+  GROUP BY ALL)""",
+        """models AS (
+  SELECT series_id, CAST(NULL AS TIMESTAMP) AS mt, a, b FROM m0
+  UNION ALL SELECT series_id, t, a, b FROM cfit)""",
+        f"""pairs AS (
+  SELECT w.series_id, w.scenario, w.window_id, m.mt,
+    sum(abs((w.{y} - (m.a + m.b * w.{x})) / (w.{y} + 1e-08))) / count(*) * 100 AS mape,
+    sqrt(sum((w.{y} - (m.a + m.b * w.{x})) * (w.{y} - (m.a + m.b * w.{x}))) / count(*)) AS rmse
+  FROM win w JOIN models m ON m.series_id = w.series_id AND (m.mt IS NULL OR m.mt < w.window_start)
+  GROUP BY ALL)""",
+    )
+
+
+def policies_cte(specs) -> str:
+    def lit(v):
+        return "NULL" if v is None else (("TRUE" if v else "FALSE") if isinstance(v, bool) else repr(float(v)))
+    rows = ", ".join(
+        f"('{s.name}', '{s.kind}', {lit(s.retrain_interval_days)}, {lit(s.mape_threshold)}, "
+        f"{lit(s.min_retrain_interval_hours)}, {lit(s.use_drift_signals)})" for s in specs)
+    return (f"pol AS (SELECT * FROM (VALUES {rows}) t(policy, kind, retrain_interval_days, mape_threshold, "
+            "min_retrain_interval_hours, use_drift_signals))")
+
+
+def fire_sql(last: str, t: str, mape: str, base: str, overall: str) -> str:
+    elapsed = f"CAST(datediff('microsecond', {last}, {t}) AS DOUBLE)"
+    ratio = f"({mape} / {base})"
+    return f"""(CASE p.kind
+      WHEN 'never' THEN FALSE
+      WHEN 'periodic' THEN ({last} IS NULL OR {elapsed} / 86400000000.0 >= p.retrain_interval_days)
+      WHEN 'performance' THEN ({base} IS NOT NULL AND coalesce({ratio} > p.mape_threshold, FALSE))
+      WHEN 'hybrid' THEN ({base} IS NOT NULL AND ({last} IS NULL OR {elapsed} / 3600000000.0 >= p.min_retrain_interval_hours)
+                          AND (coalesce({ratio} > p.mape_threshold, FALSE) OR (coalesce(p.use_drift_signals, TRUE) AND {overall})))
+    END)"""
+
+
+def backtest_ctes(specs, dcfg=HOURLY_DRIFT, bt=HOURLY_BACKTEST) -> tuple[str, ...]:
+    """Window signals + the closed-loop fold as a recursive CTE."""
+    overall = (f"(coalesce(s.psi_drift, FALSE) OR coalesce(s.ks_num_drifted >= {dcfg.ks_drift_count}, FALSE) "
+               f"OR coalesce(pr.mape / (CASE WHEN s.baseline_mape = 0 THEN 1e-10 ELSE s.baseline_mape END) "
+               f">= {dcfg.mape_beta}, FALSE))")
+    cols = """s.series_id, p.policy, s.scenario, s.window_id, s.window_start, pr.mape, pr.rmse, s.psi,
+      coalesce(s.ks_num_drifted, 0) AS ks_drifted"""
+    return (
+        policies_cte(specs),
+        f"""wstat AS (
+  SELECT w.series_id, w.scenario, w.window_id, w.window_start, ps.psi, {psi_drift_sql('ps.psi', dcfg.psi_threshold)} AS psi_drift,
+    kv.ks_num_drifted, coalesce(cf.n_fit, 0) AS n_fit, b.baseline_mape
+  FROM (SELECT DISTINCT series_id, scenario, window_id, window_start FROM win) w
+  JOIN psi_t ps USING (series_id, scenario, window_id)
+  LEFT JOIN ks_v kv USING (series_id, scenario, window_id)
+  LEFT JOIN cfit cf ON cf.series_id = w.series_id AND cf.t = w.window_start
+  LEFT JOIN base b ON b.series_id = w.series_id)""",
+        _fold_sql(cols, overall, bt),
+        _fold_sql(cols, overall, bt, static=True, name="sfold"),
+    )
+
+
+def _fold_sql(cols: str, overall: str, bt, static: bool = False, name: str = "fold") -> str:
+    def step(last: str, model: str) -> str:
+        fire = fire_sql(last, "s.window_start", "pr.mape", "s.baseline_mape", overall)
+        refit = "FALSE" if static else f"({fire} AND s.n_fit > {bt.min_history_rows})"
+        return f"""{cols}, {model} AS model_time, {overall} AS overall_drift,
+    {fire} AS fire, {refit} AS refit,
+    CASE WHEN {refit} THEN s.window_start ELSE {model} END AS next_model,
+    CASE WHEN {fire} THEN s.window_start ELSE {last} END AS next_last"""
+
+    return f"""{name} AS (
+  SELECT {step('CAST(NULL AS TIMESTAMP)', 'CAST(NULL AS TIMESTAMP)')}
+  FROM wstat s JOIN pol p ON TRUE
+  JOIN pairs pr ON pr.series_id = s.series_id AND pr.scenario = s.scenario AND pr.window_id = s.window_id AND pr.mt IS NULL
+  WHERE s.window_id = 0
+  UNION ALL
+  SELECT {step('f.next_last', 'f.next_model')}
+  FROM {name} f
+  JOIN wstat s ON s.series_id = f.series_id AND s.scenario = f.scenario AND s.window_id = f.window_id + 1
+  JOIN pol p ON p.policy = f.policy
+  JOIN pairs pr ON pr.series_id = s.series_id AND pr.scenario = s.scenario AND pr.window_id = s.window_id
+    AND pr.mt IS NOT DISTINCT FROM f.next_model)"""
