@@ -63,8 +63,9 @@ def paired_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], pos: str = "
                    value: str = "mape") -> DataFrame:
     """JON-3: pair two runs by window ordinal; the longer run is cut to the
     shorter one (inner join)."""
+    extra = [c for c in b.columns if c == "other_policy"]
     return (a.select(*keys, pos, F.col(value).alias("a"))
-             .join(b.select(*keys, pos, F.col(value).alias("b")), [*keys, pos]))
+             .join(b.select(*keys, *extra, pos, F.col(value).alias("b")), [*keys, pos]))
 
 
 def experiment_grid(policies: Sequence[str], scenarios: Sequence[str], spark) -> DataFrame:

@@ -384,3 +384,222 @@ for _name, _pol in (("policy_never", "policy0"), ("policy_periodic", "policy1"),
                     ("policy_performance", "policy2"), ("policy_hybrid", "policy3")):
     register(_name, O.with_(*_BT_CTES) + _SFOLD + f" WHERE policy = '{_pol}'")(
         (lambda p: lambda spark, sf: _static_fires(spark, sf).where(F.col("policy") == p))(_pol))
+
+
+# ---------------------------------------------------------------- evaluation
+from tsdrift.config import BOOTSTRAP_REPS, POLICY_NAMES  # noqa: E402
+from tsdrift.operators import evaluate as E  # noqa: E402
+
+_EVL_CTES = (*_BT_CTES, O.MET, O.EVENTS, O.SUMM)
+
+
+def _runs(spark, sf):
+    m = monitor.backtest_metrics(spark, sf)
+    return m, BT.event_log(m)
+
+
+def _summary(spark, sf):
+    m, e = _runs(spark, sf)
+    return E.run_summary(m, e)
+
+
+_SUMM_COLS = ("series_id", "policy", "scenario", "mean_mape", "median_mape", "std_mape", "final_mape",
+              "num_retrains", "total_retrain_time_seconds")
+
+
+@register("run_summary", O.with_(*_EVL_CTES) + "SELECT series_id, policy, scenario, " + ", ".join(
+    rd(c) for c in ("mean_mape", "median_mape", "std_mape", "final_mape")) + ", num_retrains, "
+    + rd("total_retrain_time_seconds") + " FROM summ")
+def q_run_summary(spark, sf):
+    return rounded(_summary(spark, sf).select(*_SUMM_COLS))
+
+
+@register("policy_metrics", O.with_(*_EVL_CTES) + f"""
+SELECT s.series_id, s.policy, s.scenario, {rd('s.mean_mape', 'mean_mape')}, {rd('max(m.mape)', 'max_mape')},
+  {rd('min(m.mape)', 'min_mape')}, s.num_retrains, {rd('0.0', 'mean_retrain_time')}
+FROM summ s JOIN met m USING (series_id, policy, scenario) GROUP BY s.series_id, s.policy, s.scenario, s.mean_mape, s.num_retrains""")
+def q_policy_metrics(spark, sf):
+    m, e = _runs(spark, sf)
+    return rounded(E.policy_metrics(m, e).select("series_id", "policy", "scenario", "mean_mape", "max_mape",
+                                                 "min_mape", "num_retrains", "mean_retrain_time"))
+
+
+@register("degradation_rate", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, policy, scenario, {rd('regr_slope(smooth, days)', 'degradation_rate')}
+FROM (SELECT *, avg(mape) OVER (PARTITION BY series_id, policy, scenario ORDER BY window_id
+                                ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS smooth,
+        datediff('microsecond', min(timestamp) OVER (PARTITION BY series_id, policy, scenario), timestamp)
+          / 86400000000.0 AS days
+      FROM met) GROUP BY ALL""")
+def q_degradation_rate(spark, sf):
+    m, _ = _runs(spark, sf)
+    return rounded(E.degradation_rate(m))
+
+
+@register("smooth_rolling", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, policy, scenario, window_id, {rd('avg(mape) OVER (PARTITION BY series_id, policy, scenario ORDER BY window_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 'smooth')}
+FROM met""")
+def q_smooth_rolling(spark, sf):
+    m, _ = _runs(spark, sf)
+    # a 3-window frame so partial and full frames both occur on the short runs
+    return rounded(features.smooth_rolling(m, "mape", "window_id", E.RUN, 3, "smooth")
+                   .select("series_id", "policy", "scenario", "window_id", "smooth"))
+
+
+@register("bootstrap_ci", O.with_(*_EVL_CTES, "bsrc AS (SELECT series_id, policy, scenario, window_id, mape AS v FROM met)",
+                                  *O.bootstrap_ctes("boot", "bsrc", "series_id, policy, scenario", BOOTSTRAP_REPS))
+          + f"SELECT series_id, policy, scenario, {rd('mean')}, {rd('ci_lower')}, {rd('ci_upper')} FROM boot")
+def q_bootstrap_ci(spark, sf):
+    m, _ = _runs(spark, sf)
+    return rounded(E.bootstrap_ci(m, E.RUN))
+
+
+_PAIR_CTES = (*_EVL_CTES, O.pairs_cte())
+
+
+def _pairs(spark, sf):
+    m, _ = _runs(spark, sf)
+    mine = m.where(F.col("policy") == "policy3")
+    other = m.where(F.col("policy").isin("policy0", "policy1")).withColumnRenamed("policy", "other_policy")
+    return joins.paired_metrics(mine, other, ["series_id", "scenario"])
+
+
+@register("paired_metrics", O.with_(*_PAIR_CTES)
+          + f"SELECT series_id, scenario, other_policy, window_id, {rd('a')}, {rd('b')} FROM pr")
+def q_paired_metrics(spark, sf):
+    return rounded(_pairs(spark, sf).select("series_id", "scenario", "other_policy", "window_id", "a", "b"))
+
+
+@register("wilcoxon_signed_rank", O.with_(*_PAIR_CTES, *O.WILCOXON)
+          + f"SELECT series_id, scenario, other_policy, n_nonzero, {rd('statistic')}, {rd('p_value')} FROM wil")
+def q_wilcoxon(spark, sf):
+    w = E.wilcoxon_signed_rank(_pairs(spark, sf), ["series_id", "scenario", "other_policy"])
+    return rounded(w.select("series_id", "scenario", "other_policy", "n_nonzero", "statistic", "p_value"))
+
+
+@register("cohens_d", O.with_(*_PAIR_CTES, *O.WILCOXON)
+          + f"SELECT series_id, scenario, other_policy, {rd('cohens_d')} FROM cd")
+def q_cohens_d(spark, sf):
+    return rounded(E.cohens_d(_pairs(spark, sf), ["series_id", "scenario", "other_policy"]))
+
+
+_CMP_CTES = (*_PAIR_CTES, *O.WILCOXON,
+             "ba_src AS (SELECT series_id, scenario, other_policy, window_id, a AS v FROM pr)",
+             *O.bootstrap_ctes("ba", "ba_src", "series_id, scenario, other_policy", BOOTSTRAP_REPS),
+             "bb_src AS (SELECT series_id, scenario, other_policy, window_id, b AS v FROM pr)",
+             *O.bootstrap_ctes("bb", "bb_src", "series_id, scenario, other_policy", BOOTSTRAP_REPS))
+
+
+@register("compare_policies", O.with_(*_CMP_CTES) + f"""
+SELECT w.series_id, w.scenario, w.other_policy, {rd('ba.mean', 'a_mean')}, {rd('ba.ci_lower', 'a_ci_lower')},
+  {rd('ba.ci_upper', 'a_ci_upper')}, {rd('bb.mean', 'b_mean')}, {rd('bb.ci_lower', 'b_ci_lower')},
+  {rd('bb.ci_upper', 'b_ci_upper')}, {rd('w.statistic', 'statistic')}, {rd('w.p_value', 'p_value')},
+  w.p_value < 0.05 AS significant, {rd('cd.cohens_d', 'cohens_d')}
+FROM wil w JOIN cd USING ({O.K3}) JOIN ba USING ({O.K3}) JOIN bb USING ({O.K3})""")
+def q_compare_policies(spark, sf):
+    m, _ = _runs(spark, sf)
+    c = E.compare_policies(m, "policy3", ["policy0", "policy1"])
+    return rounded(c.select("series_id", "scenario", "other_policy", "a_mean", "a_ci_lower", "a_ci_upper",
+                            "b_mean", "b_ci_lower", "b_ci_upper", "statistic", "p_value", "significant",
+                            "cohens_d"))
+
+
+@register("significance_table", O.with_(*_PAIR_CTES, *O.WILCOXON) + f"""
+SELECT w.series_id, w.scenario, 'P3 vs ' || w.other_policy AS comparison, {rd('w.p_value', 'p_value')},
+  {rd('cd.cohens_d', 'cohens_d')}, w.p_value < 0.05 AS significant
+FROM wil w JOIN cd USING ({O.K3})""")
+def q_significance_table(spark, sf):
+    m, _ = _runs(spark, sf)
+    return rounded(E.significance_table(m, reps=1))
+
+
+@register("performance_table", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, policy AS "Policy", scenario AS "Scenario", round({O.snap('mean_mape')}, 2) AS "Mean MAPE",
+  round({O.snap('std_mape')}, 2) AS "Std Dev", num_retrains AS "Retrains",
+  round({O.snap('total_retrain_time_seconds')}, 2) AS "Time (s)" FROM summ""")
+def q_performance_table(spark, sf):
+    s = rounded(_summary(spark, sf))
+    return E.performance_table(s)
+
+
+@register("pareto_frontier", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, scenario, policy, num_retrains, {rd('mean_mape')}
+FROM (SELECT *, min(mean_mape) OVER (PARTITION BY series_id, scenario ORDER BY num_retrains, mean_mape, policy
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM summ)
+WHERE best_before IS NULL OR mean_mape < best_before""")
+def q_pareto_frontier(spark, sf):
+    return rounded(E.pareto_frontier(_summary(spark, sf)))
+
+
+@register("running_min_before", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, scenario, policy, {rd('min(mean_mape) OVER (PARTITION BY series_id, scenario ORDER BY num_retrains, mean_mape, policy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)', 'best_before')}
+FROM summ""")
+def q_running_min_before(spark, sf):
+    s = features.running_min_before(_summary(spark, sf), "mean_mape", ["num_retrains", "mean_mape", "policy"],
+                                    ["series_id", "scenario"])
+    return rounded(s.select("series_id", "scenario", "policy", "best_before"))
+
+
+@register("retrain_pivot", O.with_(*_EVL_CTES) + "SELECT series_id, scenario, " + ", ".join(
+    f"max(CASE WHEN policy = '{p}' THEN num_retrains END) AS {p}" for p in POLICY_NAMES)
+    + " FROM summ GROUP BY ALL")
+def q_retrain_pivot(spark, sf):
+    return E.retrain_pivot(_summary(spark, sf), POLICY_NAMES)
+
+
+@register("box_stats", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, policy, scenario, {rd('q_min')}, {rd('q1')}, {rd('median')}, {rd('q3')}, {rd('q_max')},
+  {rd('min(CASE WHEN mape >= q1 - 1.5 * (q3 - q1) AND mape <= q3 + 1.5 * (q3 - q1) THEN mape END)', 'whisker_low')},
+  {rd('max(CASE WHEN mape >= q1 - 1.5 * (q3 - q1) AND mape <= q3 + 1.5 * (q3 - q1) THEN mape END)', 'whisker_high')},
+  count_if(NOT (mape >= q1 - 1.5 * (q3 - q1) AND mape <= q3 + 1.5 * (q3 - q1))) AS n_outliers
+FROM met JOIN (SELECT series_id, policy, scenario, quantile_cont(mape, 0.0) AS q_min, quantile_cont(mape, 0.25) AS q1,
+                 quantile_cont(mape, 0.5) AS median, quantile_cont(mape, 0.75) AS q3, quantile_cont(mape, 1.0) AS q_max
+               FROM met GROUP BY ALL) q USING (series_id, policy, scenario)
+GROUP BY series_id, policy, scenario, q_min, q1, median, q3, q_max""")
+def q_box_stats(spark, sf):
+    m, _ = _runs(spark, sf)
+    return rounded(E.box_stats(m))
+
+
+@register("drift_signals_long", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, policy, scenario, window_id, timestamp, signal, {rd('value')},
+  CASE signal WHEN 'psi' THEN 0.25 WHEN 'ks_drifted' THEN 3.0 END AS threshold
+FROM (UNPIVOT (SELECT series_id, policy, scenario, window_id, timestamp, CAST(psi AS DOUBLE) AS psi,
+                      CAST(ks_drifted AS DOUBLE) AS ks_drifted, CAST(mape AS DOUBLE) AS mape FROM met)
+      ON psi, ks_drifted, mape INTO NAME signal VALUE value)""")
+def q_drift_signals_long(spark, sf):
+    m, _ = _runs(spark, sf)
+    return rounded(E.drift_signals_long(m))
+
+
+@register("annotated_events", O.with_(*_EVL_CTES) + f"""
+SELECT e.series_id, e.policy, e.scenario, e.timestamp,
+  {rd("coalesce((SELECT m.mape FROM met m WHERE m.series_id = e.series_id AND m.policy = e.policy AND m.scenario = e.scenario AND m.timestamp >= e.timestamp ORDER BY m.timestamp LIMIT 1), (SELECT arg_max(m.mape, m.timestamp) FROM met m WHERE m.series_id = e.series_id AND m.policy = e.policy AND m.scenario = e.scenario))", 'mape')}
+FROM ev e""")
+def q_annotated_events(spark, sf):
+    m, e = _runs(spark, sf)
+    return rounded(E.annotated_events(m, e))
+
+
+ORACLE["asof_forward"] = ORACLE["annotated_events"]
+QUERIES["asof_forward"] = q_annotated_events
+
+
+@register("cost_accuracy_points", O.with_(*_EVL_CTES) + f"SELECT series_id, policy, scenario, num_retrains, {rd('mean_mape')} FROM summ")
+def q_cost_accuracy_points(spark, sf):
+    return rounded(E.cost_accuracy_points(_summary(spark, sf)))
+
+
+@register("top_k", O.with_(*_EVL_CTES) + f"""
+SELECT series_id, policy, scenario, {rd('mean_mape')}, num_retrains FROM summ
+ORDER BY mean_mape, series_id, policy, scenario LIMIT 10""")
+def q_top_k(spark, sf):
+    return rounded(E.top_k(_summary(spark, sf)).select("series_id", "policy", "scenario", "mean_mape", "num_retrains"))
+
+
+@register("experiment_grid", O.with_(*O.PREP) + "SELECT p.policy, s.scenario FROM (SELECT DISTINCT scenario FROM features "
+          "WHERE scenario IS NOT NULL) s, (SELECT unnest(['" + "', '".join(POLICY_NAMES) + "']) AS policy) p")
+def q_experiment_grid(spark, sf):
+    f = prepare.hourly_features(spark, sf)
+    scen = f.where(F.col("scenario").isNotNull()).select("scenario").distinct()
+    return scen.select(F.explode(F.array(*[F.lit(p) for p in POLICY_NAMES])).alias("policy"), "scenario")

@@ -333,3 +333,81 @@ def _fold_sql(cols: str, overall: str, bt, static: bool = False, name: str = "fo
   JOIN pol p ON p.policy = f.policy
   JOIN pairs pr ON pr.series_id = s.series_id AND pr.scenario = s.scenario AND pr.window_id = s.window_id
     AND pr.mt IS NOT DISTINCT FROM f.next_model)"""
+
+
+# ---------------------------------------------------------------- evaluation
+def normal_sf_sql(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.5 * {x}))"
+    poly = "0.17087277"
+    for coef in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806,
+                 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({coef} + {t} * {poly})"
+    upper = f"(0.5 * ({t} * exp(-{x} * {x} + {poly})))"
+    return f"(CASE WHEN {z} >= 0 THEN {upper} ELSE 1.0 - {upper} END)"
+
+
+MET = """met AS (
+  SELECT series_id, policy, scenario, window_id, window_start AS timestamp, mape, rmse, psi, ks_drifted, refit
+  FROM fold)"""
+EVENTS = """ev AS (SELECT series_id, policy, scenario, window_start AS timestamp FROM fold WHERE refit)"""
+SUMM = """summ AS (
+  SELECT series_id, policy, scenario, avg(mape) AS mean_mape, quantile_cont(mape, 0.5) AS median_mape,
+    stddev_samp(mape) AS std_mape, arg_max(mape, window_id) AS final_mape,
+    count_if(refit) AS num_retrains, 0.0 AS total_retrain_time_seconds
+  FROM met GROUP BY ALL)"""
+
+
+def pairs_cte(a: str = "policy3", others=("policy0", "policy1")) -> str:
+    lst = ", ".join(f"'{o}'" for o in others)
+    return f"""pr AS (
+  SELECT x.series_id, x.scenario, y.policy AS other_policy, x.window_id, x.mape AS a, y.mape AS b
+  FROM met x JOIN met y ON x.series_id = y.series_id AND x.scenario = y.scenario AND x.window_id = y.window_id
+  WHERE x.policy = '{a}' AND y.policy IN ({lst}))"""
+
+
+K3 = "series_id, scenario, other_policy"
+WILCOXON = (
+    f"wd AS (SELECT *, a - b AS d, abs(a - b) AS ad FROM pr WHERE a - b <> 0)",
+    f"""wr AS (
+  SELECT *, rank() OVER (PARTITION BY {K3} ORDER BY ad) + (count(*) OVER (PARTITION BY {K3}, ad) - 1) / 2.0 AS r,
+    count(*) OVER (PARTITION BY {K3}, ad) AS t
+  FROM wd)""",
+    f"""wg AS (
+  SELECT {K3}, count(*) AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0.0) AS wp,
+    coalesce(sum(CASE WHEN d < 0 THEN r END), 0.0) AS wm, sum(t * t - 1) AS tie, max(t) AS max_tie
+  FROM wr GROUP BY ALL)""",
+    """wx AS (
+  SELECT *, least(wp, wm) AS stat,
+    (SELECT count(*) FROM range(0, CAST(pow(2, n) AS BIGINT)) m(m)
+     WHERE list_sum(list_transform(range(0, n), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END))
+           <= least(wp, wm)) AS below
+  FROM wg)""",
+    f"""wil AS (
+  SELECT p.series_id, p.scenario, p.other_policy, coalesce(x.n, 0) AS n_nonzero, coalesce(x.stat, 0.0) AS statistic,
+    coalesce(least(1.0, CASE WHEN x.n <= 50 AND x.max_tie = 1 THEN 2.0 * x.below / pow(2.0, x.n)
+      ELSE 2.0 * {normal_sf_sql('abs((x.stat - x.n * (x.n + 1) / 4.0) / sqrt((x.n * (x.n + 1) * (2 * x.n + 1) - 0.5 * x.tie) / 24.0))')} END), 1.0) AS p_value
+  FROM (SELECT DISTINCT {K3} FROM pr) p LEFT JOIN wx x USING ({K3}))""",
+    f"""cd AS (
+  SELECT {K3}, CASE WHEN sqrt((var_pop(a) + var_pop(b)) / 2) > 0
+    THEN (avg(a) - avg(b)) / sqrt((var_pop(a) + var_pop(b)) / 2) ELSE 0.0 END AS cohens_d
+  FROM pr GROUP BY ALL)""",
+)
+
+
+def bootstrap_ctes(name: str, src: str, keys: str, reps: int, seed: str = "tsdrift", conf: float = 0.95) -> tuple[str, ...]:
+    """Resampled-mean interval of ``src`` (keys..., window_id, v)."""
+    lo, hi = (1 - conf) / 2, (1 + conf) / 2
+    return (
+        f"{name}_n AS (SELECT {keys}, count(*) AS n, avg(v) AS mean FROM {src} GROUP BY ALL)",
+        f"""{name}_d AS (
+  SELECT {keys}, rep, n, unnest(range(0, n)) AS i FROM {name}_n, range(0, {reps}) r(rep))""",
+        f"""{name}_m AS (
+  SELECT d.{keys.replace(', ', ', d.')}, d.rep, avg(s.v) AS m
+  FROM {name}_d d JOIN {src} s ON {' AND '.join(f's.{k} = d.{k}' for k in keys.split(', '))}
+    AND s.window_id = (('0x' || substr(md5(concat_ws('-', '{seed}', d.rep, d.i)), 1, 8))::BIGINT % d.n)
+  GROUP BY ALL)""",
+        f"""{name} AS (
+  SELECT n.{keys.replace(', ', ', n.')}, n.mean, quantile_cont(m.m, {lo}) AS ci_lower, quantile_cont(m.m, {hi}) AS ci_upper
+  FROM {name}_n n JOIN {name}_m m USING ({keys}) GROUP BY ALL)""",
+    )
