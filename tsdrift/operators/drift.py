@@ -88,7 +88,7 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Seque
     D = max over distinct current values v of the CDF gap at v and just below
     v.  The reference count <= v comes from a windowed running count inside
     value buckets (approximate reference quantiles, used only to spread the
-    work) plus a small per-bucket offset table."""
+    work) plus the reference count of all lower buckets."""
     ref = ref.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     cur = cur.where(F.col(value).isNotNull()).select(*by, *window_keys, F.col(value).alias("_v"))
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
@@ -101,17 +101,19 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Seque
 
     rb = bucketed(ref).withColumn("_isref", F.lit(1))
     cb = bucketed(cur).withColumn("_isref", F.lit(0))
+    # reference rows per bucket, as one small sorted array per key (at most
+    # ``buckets`` entries); a bucket's offset = reference rows in lower buckets
     per_bucket = rb.groupBy(*by, "_vb").agg(F.count(F.lit(1)).alias("_rc"))
-    wb = Window.partitionBy(*by).orderBy("_vb")
-    offsets = per_bucket.select(
-        *by, "_vb",
-        F.coalesce(F.sum("_rc").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_rc").over(Window.partitionBy(*by)).alias("n_ref"))
+    counts = per_bucket.groupBy(*by).agg(F.collect_list(F.struct("_vb", "_rc")).alias("_bc"),
+                                         F.sum("_rc").alias("n_ref"))
     u = rb.unionByName(cb, allowMissingColumns=True)
     wv = Window.partitionBy(*by, "_vb").orderBy("_v")
     u = (u.withColumn("_r_le", F.sum("_isref").over(wv.rangeBetween(Window.unboundedPreceding, 0)))
           .withColumn("_r_eq", F.sum("_isref").over(wv.rangeBetween(0, 0))))
-    c = u.where(F.col("_isref") == 0).join(offsets, [*by, "_vb"])
+    c = (u.where(F.col("_isref") == 0).join(counts, list(by))
+          .withColumn("_off", F.aggregate(F.filter("_bc", lambda e: e["_vb"] < F.col("_vb")),
+                                          F.lit(0).cast("bigint"), lambda a, e: a + e["_rc"]))
+          .drop("_bc"))
     wc = Window.partitionBy(*by, *window_keys).orderBy("_v")
     c = (c.withColumn("_c_le", F.count(F.lit(1)).over(wc.rangeBetween(Window.unboundedPreceding, 0)))
           .withColumn("_c_eq", F.count(F.lit(1)).over(wc.rangeBetween(0, 0)))

@@ -603,3 +603,185 @@ def q_experiment_grid(spark, sf):
     f = prepare.hourly_features(spark, sf)
     scen = f.where(F.col("scenario").isNotNull()).select("scenario").distinct()
     return scen.select(F.explode(F.array(*[F.lit(p) for p in POLICY_NAMES])).alias("policy"), "scenario")
+
+
+# ---------------------------------------------------------------- daily fixture, parsing, filters
+from tsdrift.config import DAILY_SPLIT, HOURLY_SPLIT, DriftConfig  # noqa: E402
+from tsdrift.sources import readings  # noqa: E402
+from tsdrift.sources.fixtures import table  # noqa: E402
+
+_DAILY = O.with_(O.DAILY, O.DAILY_FEAT)
+
+
+@register("season", _DAILY + "SELECT series_id, ts, month, season FROM dfeat")
+def q_season(spark, sf):
+    return prepare.daily_features(spark, sf).select("series_id", "ts", "month", "season")
+
+
+@register("is_weekend", _DAILY + "SELECT series_id, ts, day_of_week, is_weekend FROM dfeat")
+def q_is_weekend(spark, sf):
+    return prepare.daily_features(spark, sf).select("series_id", "ts", "day_of_week", "is_weekend")
+
+
+@register("holiday_flag", _DAILY + "SELECT series_id, ts, is_holiday FROM dfeat")
+def q_holiday_flag(spark, sf):
+    return prepare.daily_features(spark, sf).select("series_id", "ts", "is_holiday")
+
+
+@register("chronological_split", _DAILY + "SELECT series_id, ts, split FROM dfeat")
+def q_chronological_split(spark, sf):
+    return prepare.daily_features(spark, sf).select("series_id", "ts", "split")
+
+
+@register("label_scenarios", _DAILY + "SELECT series_id, ts, split, scenario FROM dfeat")
+def q_label_scenarios(spark, sf):
+    return prepare.daily_features(spark, sf).select("series_id", "ts", "split", "scenario")
+
+
+@register("filter_scenario", _DAILY + f"SELECT series_id, ts, {rd('value')} FROM dfeat WHERE scenario = 'holiday_drift'")
+def q_filter_scenario(spark, sf):
+    return rounded(scenarios.filter_scenario(prepare.daily_features(spark, sf), "holiday_drift")
+                   .select("series_id", "ts", "value"))
+
+
+@register("row_position", _DAILY + """
+SELECT series_id, scenario, ts, row_number() OVER (PARTITION BY series_id, scenario ORDER BY ts) - 1 AS pos
+FROM dfeat WHERE split = 'test'""")
+def q_row_position(spark, sf):
+    d = prepare.daily_features(spark, sf).where(F.col("split") == "test")
+    return scenarios.row_position(d, ["series_id", "scenario"]).select("series_id", "scenario", "ts", "pos")
+
+
+@register("split_at_fraction", O.with_(*O.PREP) + """
+SELECT series_id, ts, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1
+  < floor(count(*) OVER (PARTITION BY series_id) * 0.5) THEN 'first' ELSE 'second' END AS part
+FROM features WHERE split = 'val'""")
+def q_split_at_fraction(spark, sf):
+    v = prepare.hourly_features(spark, sf).where(F.col("split") == "val")
+    return scenarios.split_at_fraction(v, 0.5).select("series_id", "ts", "part")
+
+
+@register("last_rows", O.with_(*O.PREP) + f"""
+SELECT series_id, ts, {rd('load')} FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS r FROM features WHERE split = 'test')
+WHERE r <= 24""")
+def q_last_rows(spark, sf):
+    t = prepare.hourly_features(spark, sf).where(F.col("split") == "test")
+    return rounded(scenarios.last_rows(t, 24).select("series_id", "ts", "load"))
+
+
+_RAW_SQL = """raw AS (
+  SELECT event_type AS series_id, strftime(ts, '%d/%m/%Y') AS "Date", strftime(ts, '%H:%M:%S') AS "Time",
+    CAST(value AS VARCHAR) AS reading, props FROM events)"""
+
+
+def _raw_text(spark, sf):
+    """Events written out as the text readings the raw source holds."""
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_type").alias("series_id"), F.date_format("ts", "dd/MM/yyyy").alias("Date"),
+                    F.date_format("ts", "HH:mm:ss").alias("Time"),
+                    F.col("value").cast("string").alias("reading"), "props")
+
+
+@register("parse_timestamp", O.with_(_RAW_SQL) + """
+SELECT series_id, strptime("Date" || ' ' || "Time", '%d/%m/%Y %H:%M:%S') AS ts FROM raw""")
+def q_parse_timestamp(spark, sf):
+    r = _raw_text(spark, sf)
+    return r.select("series_id", readings.parse_timestamp(F.col("Date"), F.col("Time")).alias("ts"))
+
+
+@register("coerce_numeric", O.with_(_RAW_SQL) + f"""
+SELECT series_id, {rd("CASE WHEN reading IN ('?', 'nan', '') THEN NULL ELSE TRY_CAST(reading AS DOUBLE) END", 'value')},
+  CASE WHEN props IN ('?', 'nan', '') THEN NULL ELSE TRY_CAST(props AS DOUBLE) END AS props_value FROM raw""")
+def q_coerce_numeric(spark, sf):
+    r = _raw_text(spark, sf)
+    return rounded(r.select("series_id", readings.coerce_numeric("reading").alias("value"),
+                            readings.coerce_numeric("props").alias("props_value")))
+
+
+@register("project_target", O.with_(_RAW_SQL) + f"""
+SELECT series_id, strptime("Date" || ' ' || "Time", '%d/%m/%Y %H:%M:%S') AS ts,
+  {rd("TRY_CAST(reading AS DOUBLE)", 'value')} FROM raw""")
+def q_project_target(spark, sf):
+    s = readings.readings_to_series(_raw_text(spark, sf), "series_id", value="reading")
+    return rounded(features.project_target(s, "ts", "value"))
+
+
+@register("split_features_target", O.with_(*O.PREP) + "SELECT series_id, ts, " + ", ".join(
+    rd(c) if c.startswith("load") else c for c in O.FEATURE_COLS) + " FROM features")
+def q_split_features_target(spark, sf):
+    x, _ = features.split_features_target(prepare.hourly_features(spark, sf))
+    return rounded(x)
+
+
+@register("drop_incomplete", O.with_(*O.PREP) + "SELECT count(*) AS n_rows FROM features")
+def q_drop_incomplete(spark, sf):
+    d = features.lag_rolling(prepare.hourly_repaired(spark, sf))
+    return features.drop_incomplete(d).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("scalar_math", O.with_(*O.PREP) + f"""
+SELECT series_id, ts, {rd('abs(load - load_lag_1h)', 'abs_change')}, {rd('sqrt(load)', 'sqrt_load')},
+  {rd('ln(load + 1.0)', 'log_load')}, {rd('(load - load_lag_24h) / (load_lag_24h + 1e-08)', 'rel_change')},
+  {rd('CASE WHEN load_lag_168h = 0 THEN 1e-10 ELSE load_lag_168h END', 'guarded')}
+FROM features""")
+def q_scalar_math(spark, sf):
+    f = prepare.hourly_features(spark, sf)
+    return rounded(f.select(
+        "series_id", "ts", F.abs(F.col("load") - F.col("load_lag_1h")).alias("abs_change"),
+        F.sqrt("load").alias("sqrt_load"), F.ln(F.col("load") + 1.0).alias("log_load"),
+        ((F.col("load") - F.col("load_lag_24h")) / (F.col("load_lag_24h") + 1e-8)).alias("rel_change"),
+        F.when(F.col("load_lag_168h") == 0, F.lit(1e-10)).otherwise(F.col("load_lag_168h")).alias("guarded")))
+
+
+# DRF-10: validation-period stability check and long-term drift check.
+VALIDATION_DRIFT = DriftConfig(ks_drift_count=2, mape_alpha=1.10, mape_beta=1.25)
+
+
+def drift_validation(spark, sf):
+    """Reference = first half of validation; check A = second half; check B =
+    long-term-drift test rows (else the last 1000 test rows of the series)."""
+    f = monitor.features(spark, sf)
+    val = scenarios.split_at_fraction(f.where(F.col("split") == "val"), 0.5)
+    ref = val.where(F.col("part") == "first")
+    test = f.where(F.col("split") == "test")
+    labelled_b = test.where(F.col("scenario") == "long_term_drift")
+    fallback = scenarios.last_rows(test.join(labelled_b.select("series_id").distinct(), "series_id", "left_anti"), 1000)
+    cur = (val.where(F.col("part") == "second").drop("part").withColumn("check_id", F.lit("A"))
+           .unionByName(labelled_b.unionByName(fallback).withColumn("check_id", F.lit("B"))))
+    cfg = VALIDATION_DRIFT
+    d = drift.window_drift(ref, cur, cfg, "load", window_keys=("check_id",))
+    m0 = models.fit_grouped_linear(f.where(F.col("split") == "train"), x=HOURLY_BACKTEST.x_col)
+    base = models.evaluate(models.predict_linear(ref, m0)).select("series_id", F.col("mape").alias("baseline_mape"))
+    cm = models.evaluate(models.predict_linear(cur, m0), by=["series_id", "check_id"]).select("series_id", "check_id", "mape")
+    out = drift.mape_check(cm.join(base, "series_id"), alpha=cfg.mape_alpha, beta=cfg.mape_beta).join(d, ["series_id", "check_id"])
+    out = out.withColumn("overall_drift", F.col("psi_drift") | F.coalesce("ks_drift", F.lit(False)) | F.col("mape_drift"))
+    return out
+
+
+_DV_CTES = (*O.PREP, *O.model_ctes(),
+            """vpos AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS p,
+                 count(*) OVER (PARTITION BY series_id) AS n FROM features WHERE split = 'val')""",
+            "vref AS (SELECT * EXCLUDE (p, n) FROM vpos WHERE p < floor(n * 0.5))",
+            """vcur AS (SELECT * EXCLUDE (p, n), 'A' AS check_id FROM vpos WHERE p >= floor(n * 0.5)
+                 UNION ALL SELECT *, 'B' AS check_id FROM features WHERE scenario = 'long_term_drift')""",
+            *O.psi_ctes(ref_where="TRUE", cur="vcur", wkeys=("check_id",), ref_src="vref"),
+            *O.ks_ctes(ref_where="TRUE", cur="vcur", wkeys=("check_id",), ref_src="vref"),
+            """vbase AS (SELECT r.series_id, avg(abs((r.load - (m.a + m.b * r.load_lag_24h)) / (r.load + 1e-08))) * 100 AS baseline_mape
+               FROM vref r JOIN m0 m USING (series_id) GROUP BY 1)""",
+            """vm AS (SELECT c.series_id, c.check_id, avg(abs((c.load - (m.a + m.b * c.load_lag_24h)) / (c.load + 1e-08))) * 100 AS mape
+               FROM vcur c JOIN m0 m USING (series_id) GROUP BY ALL)""")
+
+
+@register("drift_validation", O.with_(*_DV_CTES) + f"""
+SELECT v.series_id, v.check_id, {rd('ps.psi', 'psi')}, {O.psi_drift_sql('ps.psi')} AS psi_drift,
+  coalesce(kv.ks_num_drifted, 0) AS ks_num_drifted, {rd('v.mape', 'mape')}, {rd('b.baseline_mape', 'baseline_mape')},
+  {rd('v.mape / b.baseline_mape', 'mape_ratio')}, v.mape / b.baseline_mape >= 1.25 AS mape_drift,
+  ({O.psi_drift_sql('ps.psi')} OR coalesce(kv.ks_num_drifted, 0) >= 2 OR v.mape / b.baseline_mape >= 1.25) AS overall_drift
+FROM vm v JOIN vbase b USING (series_id) JOIN psi_t ps USING (series_id, check_id)
+LEFT JOIN ks_v kv USING (series_id, check_id)""")
+def q_drift_validation(spark, sf):
+    d = drift_validation(spark, sf)
+    return rounded(d.select("series_id", "check_id", "psi", "psi_drift",
+                            F.coalesce(F.col("ks_num_drifted"), F.lit(0)).cast("int").alias("ks_num_drifted"),
+                            "mape", "baseline_mape", "mape_ratio", "mape_drift", "overall_drift"))

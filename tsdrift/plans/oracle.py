@@ -151,27 +151,33 @@ def breakpoints_cte(name: str = "bp", src: str = "ref", value: str = "load", bin
   FROM {src} WHERE {value} IS NOT NULL GROUP BY 1)"""
 
 
-def psi_ctes(value: str = "load", eps: float = PSI_EPSILON) -> tuple[str, ...]:
-    """PSI of window ``value`` against train ``value`` per (series, scenario, window)."""
+def psi_ctes(value: str = "load", eps: float = PSI_EPSILON,
+             ref_where: str = "split = 'train'", cur: str = "win",
+             wkeys: tuple[str, ...] = ("scenario", "window_id"), ref_src: str = "features") -> tuple[str, ...]:
+    """PSI of ``cur`` ``value`` against ``ref_src`` rows (``ref_where``) per
+    (series, wkeys...)."""
+    wk = ", ".join(wkeys)
+    wkw = ", ".join(f"w.{k}" for k in wkeys)
+    on = " AND ".join(f"cc.{k} = a.{k}" for k in wkeys)
     return (
-        f"ref AS (SELECT series_id, {value} AS v FROM features WHERE split = 'train' AND {value} IS NOT NULL)",
+        f"ref AS (SELECT series_id, {value} AS v FROM {ref_src} WHERE {ref_where} AND {value} IS NOT NULL)",
         breakpoints_cte("bp", "ref", "v"),
         "rb AS (SELECT r.series_id, len(list_filter(b.bp, lambda x: x < r.v)) AS bin FROM ref r JOIN bp b USING (series_id))",
         "rc AS (SELECT series_id, bin, count(*) AS c FROM rb GROUP BY ALL)",
         "rn AS (SELECT series_id, count(*) AS n FROM ref GROUP BY 1)",
-        f"cb AS (SELECT w.series_id, w.scenario, w.window_id, len(list_filter(b.bp, lambda x: x < w.{value})) AS bin "
-        f"FROM win w JOIN bp b USING (series_id) WHERE w.{value} IS NOT NULL)",
-        "cc AS (SELECT series_id, scenario, window_id, bin, count(*) AS c FROM cb GROUP BY ALL)",
-        "cn AS (SELECT series_id, scenario, window_id, count(*) AS n FROM cb GROUP BY ALL)",
-        """allbins AS (SELECT k.series_id, k.scenario, k.window_id, k.n, unnest(range(0, len(b.bp) + 1)) AS bin,
+        f"cb AS (SELECT w.series_id, {wkw}, len(list_filter(b.bp, lambda x: x < w.{value})) AS bin "
+        f"FROM {cur} w JOIN bp b USING (series_id) WHERE w.{value} IS NOT NULL)",
+        f"cc AS (SELECT series_id, {wk}, bin, count(*) AS c FROM cb GROUP BY ALL)",
+        f"cn AS (SELECT series_id, {wk}, count(*) AS n FROM cb GROUP BY ALL)",
+        f"""allbins AS (SELECT k.series_id, {', '.join(f'k.{x}' for x in wkeys)}, k.n, unnest(range(0, len(b.bp) + 1)) AS bin,
             len(b.bp) + 1 AS n_bins FROM cn k JOIN bp b USING (series_id))""",
         f"""psi_t AS (
-  SELECT a.series_id, a.scenario, a.window_id, a.n_bins,
+  SELECT a.series_id, {', '.join(f'a.{x}' for x in wkeys)}, a.n_bins,
     sum((coalesce(cc.c, 0) / a.n + {eps} - (coalesce(rc.c, 0) / rn.n + {eps}))
         * ln((coalesce(cc.c, 0) / a.n + {eps}) / (coalesce(rc.c, 0) / rn.n + {eps}))) AS psi
   FROM allbins a
   JOIN rn ON rn.series_id = a.series_id
-  LEFT JOIN cc ON cc.series_id = a.series_id AND cc.scenario = a.scenario AND cc.window_id = a.window_id AND cc.bin = a.bin
+  LEFT JOIN cc ON cc.series_id = a.series_id AND {on} AND cc.bin = a.bin
   LEFT JOIN rc ON rc.series_id = a.series_id AND rc.bin = a.bin
   GROUP BY ALL)""",
     )
@@ -193,36 +199,38 @@ def _unpivot(src: str, keys: str, feats, where: str = "TRUE") -> str:
             f"ON {on} INTO NAME feature VALUE value)")
 
 
-def ks_ctes(feats=HOURLY_DRIFT.features) -> tuple[str, ...]:
-    """KS statistic per (series, feature, scenario, window) of window values
-    against train values."""
+def ks_ctes(feats=HOURLY_DRIFT.features, ref_where: str = "split = 'train'", cur: str = "win",
+            wkeys: tuple[str, ...] = ("scenario", "window_id"), alpha: float = HOURLY_DRIFT.ks_alpha,
+            ref_src: str = "features") -> tuple[str, ...]:
+    """KS statistic per (series, feature, wkeys...) of ``cur`` values against
+    reference values."""
+    wk = ", ".join(wkeys)
+    part = f"series_id, {wk}, feature"
     return (
-        f"kref AS (SELECT * FROM {_unpivot('features', 'series_id', feats, "split = 'train'")} WHERE value IS NOT NULL)",
-        f"kcur AS (SELECT * FROM {_unpivot('win', 'series_id, scenario, window_id', feats)} WHERE value IS NOT NULL)",
+        f"kref AS (SELECT * FROM {_unpivot(ref_src, 'series_id', feats, ref_where)} WHERE value IS NOT NULL)",
+        f"kcur AS (SELECT * FROM {_unpivot(cur, 'series_id, ' + wk, feats)} WHERE value IS NOT NULL)",
         "knref AS (SELECT series_id, feature, count(*) AS n_ref FROM kref GROUP BY ALL)",
-        """kcv AS (
-  SELECT DISTINCT series_id, scenario, window_id, feature, value,
-    count(*) OVER (PARTITION BY series_id, scenario, window_id, feature ORDER BY value
-                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_le,
-    count(*) OVER (PARTITION BY series_id, scenario, window_id, feature, value) AS c_eq,
-    count(*) OVER (PARTITION BY series_id, scenario, window_id, feature) AS n_cur
+        f"""kcv AS (
+  SELECT DISTINCT series_id, {wk}, feature, value,
+    count(*) OVER (PARTITION BY {part} ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_le,
+    count(*) OVER (PARTITION BY {part}, value) AS c_eq,
+    count(*) OVER (PARTITION BY {part}) AS n_cur
   FROM kcur)""",
-        """kgap AS (
-  SELECT c.series_id, c.scenario, c.window_id, c.feature, c.value, c.c_le, c.c_eq, c.n_cur, n.n_ref,
+        f"""kgap AS (
+  SELECT c.series_id, {', '.join(f'c.{k}' for k in wkeys)}, c.feature, c.value, c.c_le, c.c_eq, c.n_cur, n.n_ref,
     count_if(r.value <= c.value) AS r_le, count_if(r.value < c.value) AS r_lt
   FROM kcv c JOIN knref n USING (series_id, feature)
   LEFT JOIN kref r ON r.series_id = c.series_id AND r.feature = c.feature
   GROUP BY ALL)""",
-        """ks_t AS (
-  SELECT series_id, scenario, window_id, feature, n_ref, n_cur,
+        f"""ks_t AS (
+  SELECT series_id, {wk}, feature, n_ref, n_cur,
     max(greatest(abs(r_le / n_ref - c_le / n_cur), abs(r_lt / n_ref - (c_le - c_eq) / n_cur))) AS ks_statistic
   FROM kgap GROUP BY ALL)""",
         f"""ks_p AS (SELECT *, {kolmogorov_sql('ks_statistic', 'n_ref', 'n_cur')} AS p_value FROM ks_t)""",
         f"""ks_v AS (
-  SELECT series_id, scenario, window_id,
-    string_agg(CASE WHEN p_value < {HOURLY_DRIFT.ks_alpha} THEN feature END, ','
-               ORDER BY {feature_order_sql(feats)}) AS drifted_features,
-    CAST(count_if(p_value < {HOURLY_DRIFT.ks_alpha}) AS INTEGER) AS ks_num_drifted
+  SELECT series_id, {wk},
+    string_agg(CASE WHEN p_value < {alpha} THEN feature END, ',' ORDER BY {feature_order_sql(feats)}) AS drifted_features,
+    CAST(count_if(p_value < {alpha}) AS INTEGER) AS ks_num_drifted
   FROM ks_p GROUP BY ALL)""",
     )
 
@@ -411,3 +419,20 @@ def bootstrap_ctes(name: str, src: str, keys: str, reps: int, seed: str = "tsdri
   SELECT n.{keys.replace(', ', ', n.')}, n.mean, quantile_cont(m.m, {lo}) AS ci_lower, quantile_cont(m.m, {hi}) AS ci_upper
   FROM {name}_n n JOIN {name}_m m USING ({keys}) GROUP BY ALL)""",
     )
+
+
+# ---------------------------------------------------------------- daily orders fixture
+from tsdrift.config import DAILY_SPLIT, HOLIDAY_MONTH_DAYS  # noqa: E402
+
+DAILY = """daily AS (
+  SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate) AS ts, avg(o_totalprice) AS value
+  FROM orders GROUP BY 1, 2)"""
+_MD = ", ".join(f"({m}, {d})" for m, d in HOLIDAY_MONTH_DAYS)
+DAILY_FEAT = f"""dhol AS (
+  SELECT make_date(CAST(y AS BIGINT), m, d) AS hd
+  FROM (SELECT DISTINCT year(ts) AS y FROM daily) yy, (VALUES {_MD}) md(m, d)),
+dfeat AS (
+  SELECT series_id, ts, value, {CALENDAR_COLS},
+    CAST(CAST(ts AS DATE) IN (SELECT hd FROM dhol) AS INTEGER) AS is_holiday,
+    {split_sql(DAILY_SPLIT)} AS split, {scenario_sql(DAILY_SPLIT)} AS scenario
+  FROM daily)"""

@@ -42,3 +42,33 @@ def hourly_features(spark: SparkSession, sf_dir: str, cfg: SplitConfig = HOURLY_
     """The labelled feature table of the event fixture."""
     feats = build_features(hourly_repaired(spark, sf_dir, block), holidays, block=block)
     return labelled(feats, cfg)
+
+
+def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean order value per priority and day."""
+    from tsdrift.operators.resample import DAY_MICROS
+    from tsdrift.sources.fixtures import daily_orders
+
+    return resample_mean(daily_orders(spark, sf_dir), DAY_MICROS)
+
+
+def rule_holidays(series: DataFrame, ts: str = "ts") -> DataFrame:
+    """Holiday table for the years present in ``series``, built from the
+    fixed month/day rule (one row per holiday date)."""
+    from pyspark.sql import functions as F
+
+    from tsdrift.config import HOLIDAY_MONTH_DAYS
+
+    md = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in HOLIDAY_MONTH_DAYS])
+    years = series.select(F.year(ts).alias("y")).distinct()
+    return years.select(F.explode(md).alias("md"), "y").select(
+        F.make_date("y", "md.m", "md.d").alias("holiday_date"))
+
+
+def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsdrift.config import DAILY_SPLIT
+    from tsdrift.operators.features import calendar_features, holiday_flag
+
+    d = daily_series(spark, sf_dir)
+    d = holiday_flag(calendar_features(d), rule_holidays(d))
+    return labelled(d, DAILY_SPLIT)
