@@ -115,7 +115,7 @@ def _step(dcfg: DriftConfig, cfg: BacktestConfig):
 
 
 def run_backtest(features: DataFrame, cfg: BacktestConfig, dcfg: DriftConfig,
-                 specs: Sequence[PolicySpec]) -> DataFrame:
+                 specs: Sequence[PolicySpec], materialize: bool = True) -> DataFrame:
     """Metrics log: one row per (series, policy, scenario, window) with
     timestamp, mape, rmse, psi, ks_drifted, overall_drift, fire, refit and
     the active model's fit time (null = initial model)."""
@@ -153,10 +153,16 @@ def run_backtest(features: DataFrame, cfg: BacktestConfig, dcfg: DriftConfig,
     metrics = outs[0]
     for o in outs[1:]:
         metrics = metrics.unionByName(o)
-    return metrics.select(*RUN, "o.window_id", from_epoch_micros("o.t_us").alias("timestamp"),
+    metrics = metrics.select(*RUN, "o.window_id", from_epoch_micros("o.t_us").alias("timestamp"),
                           "o.mape", "o.rmse", "o.psi", "o.ks_drifted", "o.overall_drift", "o.fire",
                           "o.refit", F.when(F.col("o.model_us").isNotNull(),
                                             from_epoch_micros("o.model_us")).alias("model_time"))
+    if materialize:
+        # the log is the result of an iterative job and is read by every
+        # comparison downstream: write it once to the shared checkpoint folder
+        ensure_checkpoint_dir(spark)
+        metrics = metrics.checkpoint()
+    return metrics
 
 
 def event_log(metrics: DataFrame) -> DataFrame:

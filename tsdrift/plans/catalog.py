@@ -43,6 +43,21 @@ def rounded(df: DataFrame, places: int = O.R) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def psi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSI and severity of each scoring window of each event series against
+    its training period (the flagship query)."""
+    from tsdrift.plans import monitor
+
+    f = monitor.features(spark, sf_dir)
+    ref = f.where(F.col("split") == "train").select("series_id", F.col("load").alias("value"))
+    cur = monitor.windows(f).select("series_id", "scenario", "window_id", F.col("load").alias("value"))
+    p = drift.psi(ref, cur, window_keys=("scenario", "window_id"), bins=HOURLY_DRIFT.bins,
+                  epsilon=HOURLY_DRIFT.epsilon)
+    p = drift.psi_check(p, HOURLY_DRIFT.psi_threshold)
+    return rounded(p.select("series_id", "scenario", "window_id", "psi", F.col("n_bins").cast("bigint"),
+                            "psi_severity", "psi_drift"))
+
+
 def test_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = prepare.hourly_features(spark, sf_dir)
     return scenarios.forecast_windows(f.where(F.col("split") == "test"),
@@ -153,19 +168,6 @@ SELECT series_id, scenario, window_id, {rd('psi')}, n_bins,
 FROM psi_t"""
 
 
-def psi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PSI and severity of each scoring window of each event series against
-    its training period (the flagship query)."""
-    ref = train_rows(spark, sf_dir).select("series_id", F.col("load").alias("value"))
-    cur = test_windows(spark, sf_dir).select("series_id", "scenario", "window_id", F.col("load").alias("value"))
-    p = drift.psi(ref, cur, window_keys=("scenario", "window_id"), bins=HOURLY_DRIFT.bins,
-                  epsilon=HOURLY_DRIFT.epsilon)
-    p = drift.psi_check(p, HOURLY_DRIFT.psi_threshold)
-    # psi is rounded before the severity so both sides classify the same value
-    return rounded(p.select("series_id", "scenario", "window_id", "psi", F.col("n_bins").cast("bigint"),
-                            "psi_severity", "psi_drift"))
-
-
 register("psi", _PSI_SQL)(psi_windows)
 
 
