@@ -182,3 +182,24 @@ def window_drift(ref: DataFrame, cur: DataFrame, cfg: DriftConfig, target: str =
                       "value", by, window_keys, cfg.bins, cfg.epsilon), cfg.psi_threshold)
     _, ks = ks_multi(ref, cur, cfg.features, by, window_keys, cfg.ks_drift_count, cfg.ks_alpha)
     return p.join(ks, [*by, *window_keys], "left")
+
+
+def drift_report(df: DataFrame) -> DataFrame:
+    """STR-F1: human-readable summary per row of a drift monitor result; the
+    drifted feature list appears only when some feature drifted."""
+    feats = F.when(F.col("ks_num_drifted") > 0,
+                   F.concat(F.lit("\n  Features: ["), F.array_join(F.transform(
+                       "drifted_features", lambda f: F.concat(F.lit("'"), f, F.lit("'"))), ", "), F.lit("]"))
+                   ).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit("=== Drift Detection Summary ===\n"),
+        F.format_string("Overall Drift Detected: %s\n", F.initcap(F.col("overall_drift").cast("string"))),
+        F.format_string("[PSI] Value: %.4f, Severity: %s, Drift: %s\n", "psi", "psi_severity",
+                        F.initcap(F.col("psi_drift").cast("string"))),
+        F.format_string("[KS Test] Drifted features: %d, Drift: %s", "ks_num_drifted",
+                        F.initcap(F.col("ks_drift").cast("string"))),
+        feats,
+        F.format_string("\n[MAPE Monitor] Ratio: %.2fx baseline\n", "mape_ratio"),
+        F.format_string("  Base: %.2f%%, Recent: %.2f%%\n", "baseline_mape", "mape"),
+        F.format_string("  Severity: %s, Drift: %s", "mape_severity", F.initcap(F.col("mape_drift").cast("string"))))
+    return df.withColumn("report", text)

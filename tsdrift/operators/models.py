@@ -132,7 +132,7 @@ def load_model(path: str) -> PipelineModel:
 
 
 def timeseries_folds(df: DataFrame, folds: int = TUNING_FOLDS, ts: str = "ts",
-                     keys: Sequence[str] = ()) -> DataFrame:
+                     keys: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
     """Expanding time folds as in a time-series split: with n rows and
     t = n // (folds + 1), the last ``folds`` blocks of t rows are validation
     parts 1..folds and everything before is part 0; fold k trains on parts
@@ -142,7 +142,7 @@ def timeseries_folds(df: DataFrame, folds: int = TUNING_FOLDS, ts: str = "ts",
 
     keyed = list(keys) or ["_all"]
     d = df if keys else df.withColumn("_all", F.lit(0))
-    d = row_position(d, keyed, ts, "_pos")
+    d = row_position(d, keyed, ts, "_pos", tiebreak=tiebreak)
     n = d.groupBy(*keyed).agg(F.count(F.lit(1)).alias("_n"))
     t = F.floor(F.col("_n") / (folds + 1))
     first = F.col("_n") - t * folds

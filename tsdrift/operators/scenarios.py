@@ -58,10 +58,11 @@ def filter_scenario(df: DataFrame, name: str | None) -> DataFrame:
 
 
 def row_position(df: DataFrame, keys: Sequence[str] = KEY, ts: str = "ts",
-                 out: str = "pos", block_micros: int = POSITION_BLOCK_MICROS) -> DataFrame:
-    """WIN-0: 0-based position in time order within ``keys``."""
+                 out: str = "pos", block_micros: int = POSITION_BLOCK_MICROS,
+                 tiebreak: Sequence[str] = ()) -> DataFrame:
+    """WIN-0: 0-based position in time order (then ``tiebreak``) within ``keys``."""
     block = F.floor(epoch_micros(ts) / F.lit(block_micros))
-    return prefix.positions(df, keys, [ts], block, out)
+    return prefix.positions(df, keys, [ts, *tiebreak], block, out)
 
 
 def split_at_fraction(df: DataFrame, fraction: float = 0.5, keys: Sequence[str] = KEY,

@@ -787,3 +787,123 @@ def q_drift_validation(spark, sf):
     return rounded(d.select("series_id", "check_id", "psi", "psi_drift",
                             F.coalesce(F.col("ks_num_drifted"), F.lit(0)).cast("int").alias("ks_num_drifted"),
                             "mape", "baseline_mape", "mape_ratio", "mape_drift", "overall_drift"))
+
+
+# ---------------------------------------------------------------- sources, sinks, forecaster, report (rows checks)
+from tsdrift.sources import files  # noqa: E402
+
+# Boosted-tree settings for the 30-day fixture (the published 200-250 trees
+# are kept as library defaults; the fixture uses fewer, shallower trees).
+FIXTURE_GBT = dict(n_estimators=20, max_depth=4, learning_rate=0.05, subsample=0.7, colsample_bytree=0.8, seed=42)
+FIXTURE_TUNING_SPACE = {"n_estimators": (5, 10), "max_depth": (2, 3), "learning_rate": (0.05, 0.1),
+                        "subsample": (0.8,), "colsample_bytree": (0.8,)}
+
+
+@register("read_readings")
+def q_read_readings(spark, sf):
+    """SRC-1: events written as ';'-separated text with '?' for missing
+    values, read back with every column as text, then parsed."""
+    path = files.run_folder(spark, "readings")
+    raw = _raw_text(spark, sf).select("series_id", "Date", "Time",
+                                      F.coalesce(F.col("reading"), F.lit("?")).alias("Global_active_power"))
+    raw.write.option("header", True).option("sep", ";").csv(path)
+    text = readings.read_readings(spark, path, cols=("series_id", "Date", "Time", "Global_active_power"))
+    return readings.readings_to_series(text, "series_id")
+
+
+@register("write_splits")
+def q_write_splits(spark, sf):
+    """SNK-1 + SRC-2: write the labelled feature table by split and reload
+    the test split (partition-pruned)."""
+    path = files.run_folder(spark, "splits")
+    files.write_splits(monitor.features(spark, sf), path)
+    return files.read_split(spark, path, "test")
+
+
+register("read_split")(q_write_splits)
+
+
+@register("write_run_logs")
+def q_write_run_logs(spark, sf):
+    """SNK-2 + SRC-3 + SNK-3: persist the backtest logs by run, reload them by
+    partition discovery and summarise."""
+    m, e = _runs(spark, sf)
+    path = files.run_folder(spark, "runs")
+    files.write_run_logs(m, e, path)
+    m2, e2 = files.read_run_logs(spark, path)
+    summary = E.run_summary(m2, e2)
+    files.write_summary(summary, f"{path}/summary")
+    return spark.read.parquet(f"{path}/summary")
+
+
+register("read_run_logs")(q_write_run_logs)
+register("write_summary")(q_write_run_logs)
+
+
+def _gbt_model(spark, sf):
+    f = monitor.features(spark, sf)
+    return models.fit_forecaster(f.where(F.col("split") == "train"), **FIXTURE_GBT), f
+
+
+@register("fit_forecaster")
+def q_fit_forecaster(spark, sf):
+    """MDL-1/2/3: boosted trees on the training split, scored on validation."""
+    model, f = _gbt_model(spark, sf)
+    return models.evaluate(models.predict(model, f.where(F.col("split") == "val")))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    """MDL-4: top 10 features of the fitted trees."""
+    model, _ = _gbt_model(spark, sf)
+    return models.feature_importance(model, top=10)
+
+
+@register("save_model")
+def q_save_model(spark, sf):
+    """SNK-4: save, reload and score with the reloaded model."""
+    model, f = _gbt_model(spark, sf)
+    path = files.run_folder(spark, "model")
+    models.save_model(model, path)
+    return models.predict(models.load_model(path), f.where(F.col("split") == "val")).select(
+        "series_id", "ts", "prediction")
+
+
+@register("timeseries_folds", O.with_(*O.PREP) + """
+SELECT series_id, ts, CAST(CASE WHEN p < n - (n // 4) * 3 THEN 0 ELSE (p - (n - (n // 4) * 3)) // (n // 4) + 1 END AS INTEGER) AS part
+FROM (SELECT series_id, ts, row_number() OVER (ORDER BY ts, series_id) - 1 AS p, count(*) OVER () AS n
+      FROM features WHERE split = 'train')""")
+def q_timeseries_folds(spark, sf):
+    t = monitor.features(spark, sf).where(F.col("split") == "train").select("series_id", "ts")
+    return models.timeseries_folds(t, 3, tiebreak=["series_id"]).select("series_id", "ts", "part")
+
+
+@register("tune")
+def q_tune(spark, sf):
+    """MDL-5: seeded random search over expanding time folds."""
+    f = monitor.features(spark, sf).where(F.col("split") == "train")
+    _, table = models.tune(f, space=FIXTURE_TUNING_SPACE, n_iter=3, folds=3)
+    return table
+
+
+@register("drift_report")
+def q_drift_report(spark, sf):
+    """STR-F1: the multi-line text summary of each window's drift check."""
+    m = monitor.static_monitor(monitor.features(spark, sf))
+    return drift.drift_report(m).select("series_id", "scenario", "window_id", "report")
+
+
+@register("stream_drift")
+def q_stream_drift(spark, sf):
+    """STM-1: the event stream (file source, availableNow) scored per day
+    against the training period."""
+    from tsdrift.sources.fixtures import event_readings
+    from tsdrift.streaming import drift_stream
+
+    base = files.run_folder(spark, "stream")
+    ev = event_readings(spark, sf)
+    ev.where(F.col("ts") >= "2024-01-16").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+    q = drift_stream.start_stream_drift(stream, ev.where(F.col("ts") < "2024-01-16"), f"{base}/out", f"{base}/ck")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
