@@ -907,3 +907,24 @@ def q_stream_drift(spark, sf):
     q = drift_stream.start_stream_drift(stream, ev.where(F.col("ts") < "2024-01-16"), f"{base}/out", f"{base}/ck")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_policy")
+def q_stream_policy(spark, sf):
+    """STM-2: the initial model's scored windows replayed as a file stream;
+    policy state (last trigger) kept per (series, policy) in the state store."""
+    from tsdrift.functions.timecols import epoch_micros
+    from tsdrift.streaming import policy_stream
+
+    base = files.run_folder(spark, "policy-stream")
+    sig = monitor.static_monitor(monitor.features(spark, sf)).select(
+        "series_id", "scenario", epoch_micros("window_start").alias("t_us"), "mape", "baseline_mape",
+        "overall_drift")
+    sig.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(sig.schema).parquet(f"{base}/in")
+    q = (policy_stream.stream_policy(stream, list(HOURLY_POLICIES), ("series_id", "scenario"))
+         .writeStream.outputMode("append")
+         .option("checkpointLocation", f"{base}/ck").format("parquet").option("path", f"{base}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

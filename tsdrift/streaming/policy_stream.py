@@ -18,7 +18,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tsdrift.config import PolicySpec
 from tsdrift.operators import policies
 
-OUT_SCHEMA = "series_id string, policy string, t_us long, fire boolean"
 STATE_SCHEMA = "last_us long"
 
 
@@ -41,23 +40,32 @@ def _fires(kind: str, row, last_us, baseline) -> bool:
     raise ValueError(f"Unknown policy: {kind}")
 
 
-def _step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("t_us")
-    out = []
-    for r in rows.itertuples(index=False):
-        fire = _fires(r.kind, r, last, r.baseline_mape)
-        if fire:
-            last = int(r.t_us)
-        out.append((key[0], key[1], int(r.t_us), bool(fire)))
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["series_id", "policy", "t_us", "fire"])
+def _make_step(keys: tuple[str, ...]):
+    n_keys = len(keys)
+    names = [*keys, "policy", "t_us", "fire"]
 
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values("t_us")
+        out = []
+        for r in rows.itertuples(index=False):
+            fire = _fires(r.kind, r, last, r.baseline_mape)
+            if fire:
+                last = int(r.t_us)
+            out.append((*key[:n_keys], key[n_keys], int(r.t_us), bool(fire)))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=names)
 
-def stream_policy(scored: DataFrame, specs: list[PolicySpec]) -> DataFrame:
-    """``scored``: (series_id, t_us, mape, baseline_mape, overall_drift)
-    stream, windows arriving in time order per series."""
+    return step
+
+
+def stream_policy(scored: DataFrame, specs: list[PolicySpec],
+                  keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """``scored``: (keys..., t_us, mape, baseline_mape, overall_drift) stream,
+    windows arriving in time order per key.  State is kept per
+    (keys..., policy)."""
     keyed = scored.withColumn("p", F.explode(policies.policy_array(specs))).select("*", "p.*").drop("p")
-    return keyed.groupBy("series_id", "policy").applyInPandasWithState(
-        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    out = ", ".join(f"{k} string" for k in keys) + ", policy string, t_us long, fire boolean"
+    return keyed.groupBy(*keys, "policy").applyInPandasWithState(
+        _make_step(tuple(keys)), out, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
