@@ -21,12 +21,17 @@ KS_VALUE_BUCKETS = 64
 
 
 def quantile_breakpoints(ref: DataFrame, value: str = "value", by: Sequence[str] = KEY,
-                         bins: int = PSI_BINS) -> DataFrame:
+                         bins: int = PSI_BINS, approx: bool = False) -> DataFrame:
     """DRF-1: ``bp`` = sorted distinct linear-interpolated percentiles at
-    0, 1/bins, ..., 1 of the non-null reference values."""
+    0, 1/bins, ..., 1 of the non-null reference values.
+
+    The exact percentile keeps each group's distinct values in one aggregation
+    buffer; for reference periods with very many distinct values per series,
+    ``approx=True`` uses the mergeable quantile sketch instead."""
     probs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    q = F.percentile_approx(value, probs, 100000) if approx else F.percentile(value, probs)
     return (ref.where(F.col(value).isNotNull()).groupBy(*by)
-               .agg(F.array_sort(F.array_distinct(F.percentile(value, probs))).alias("bp")))
+               .agg(F.array_sort(F.array_distinct(q.cast("array<double>"))).alias("bp")))
 
 
 def assign_bins(df: DataFrame, bp: DataFrame, value: str = "value", by: Sequence[str] = KEY) -> DataFrame:

@@ -28,7 +28,7 @@ from tsdrift.config import MAPE_BASE_ZERO_GUARD, MAPE_EPSILON, BacktestConfig, D
 from tsdrift.functions.timecols import epoch_micros, from_epoch_micros
 from tsdrift.operators import drift, joins, models, policies
 from tsdrift.operators.scenarios import forecast_windows
-from tsdrift.session import ensure_checkpoint_dir
+from tsdrift.session import materialize as write_table
 
 RUN = ("series_id", "policy", "scenario")
 OUT_T = ("array<struct<window_id:bigint,t_us:bigint,mape:double,rmse:double,psi:double,"
@@ -119,7 +119,6 @@ def run_backtest(features: DataFrame, cfg: BacktestConfig, dcfg: DriftConfig,
     """Metrics log: one row per (series, policy, scenario, window) with
     timestamp, mape, rmse, psi, ks_drifted, overall_drift, fire, refit and
     the active model's fit time (null = initial model)."""
-    spark = features.sparkSession
     m0 = initial_model(features, cfg)
     wt = window_table(features, cfg, dcfg)
     elem = F.struct(
@@ -131,8 +130,7 @@ def run_backtest(features: DataFrame, cfg: BacktestConfig, dcfg: DriftConfig,
     rounds = keyed.agg(F.max("chunk")).first()[0]
     rounds = 0 if rounds is None else int(rounds) + 1
     if rounds > 1:
-        ensure_checkpoint_dir(spark)
-        keyed = keyed.checkpoint()
+        keyed = write_table(keyed, "fold-input")
     state = (m0.select("series_id", "a", "b", "baseline_mape")
                .withColumn("last_us", F.lit(None).cast("bigint"))
                .withColumn("model_us", F.lit(None).cast("bigint")))
@@ -147,7 +145,7 @@ def run_backtest(features: DataFrame, cfg: BacktestConfig, dcfg: DriftConfig,
         init = F.struct("a", "b", "last_us", "model_us", F.expr(f"cast(array() as {OUT_T})").alias("out"))
         folded = g.select(*RUN, "baseline_mape", F.aggregate("ws", init, step).alias("s"))
         if rounds > 1:
-            folded = folded.checkpoint()
+            folded = write_table(folded, f"fold-round-{c}")
         outs.append(folded.select(*RUN, F.explode("s.out").alias("o")))
         state = folded.select(*RUN, "baseline_mape", "s.a", "s.b", "s.last_us", "s.model_us")
     metrics = outs[0]
@@ -160,8 +158,7 @@ def run_backtest(features: DataFrame, cfg: BacktestConfig, dcfg: DriftConfig,
     if materialize:
         # the log is the result of an iterative job and is read by every
         # comparison downstream: write it once to the shared checkpoint folder
-        ensure_checkpoint_dir(spark)
-        metrics = metrics.checkpoint()
+        metrics = write_table(metrics, "backtest")
     return metrics
 
 

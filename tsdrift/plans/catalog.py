@@ -608,7 +608,7 @@ def q_experiment_grid(spark, sf):
 
 
 # ---------------------------------------------------------------- daily fixture, parsing, filters
-from tsdrift.config import DAILY_SPLIT, HOURLY_SPLIT, DriftConfig  # noqa: E402
+from tsdrift.config import DriftConfig  # noqa: E402
 from tsdrift.sources import readings  # noqa: E402
 from tsdrift.sources.fixtures import table  # noqa: E402
 

@@ -13,7 +13,7 @@ from tsdrift.functions.timecols import epoch_micros
 from tsdrift.operators import drift, models, policies
 from tsdrift.operators.scenarios import forecast_windows
 from tsdrift.plans import backtest, prepare
-from tsdrift.session import ensure_checkpoint_dir
+from tsdrift.session import materialize as write_table
 
 WKEYS = ("scenario", "window_id")
 
@@ -21,8 +21,8 @@ WKEYS = ("scenario", "window_id")
 def features(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     f = prepare.hourly_features(spark, sf_dir)
     if materialize:
-        ensure_checkpoint_dir(spark)
-        f = f.checkpoint()
+        cols = f.columns
+        f = write_table(f, "features", partition_by="split").select(*cols)
     return f
 
 

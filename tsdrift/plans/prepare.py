@@ -14,6 +14,7 @@ from tsdrift.operators.resample import (
     DEFAULT_BLOCK, cap_outliers, complete_grid, interpolate_linear, resample_mean,
 )
 from tsdrift.operators.scenarios import chronological_split, label_scenarios
+from tsdrift.session import materialize as write_table
 from tsdrift.sources.fixtures import event_readings
 
 
@@ -38,9 +39,19 @@ def labelled(features: DataFrame, cfg: SplitConfig) -> DataFrame:
 
 
 def hourly_features(spark: SparkSession, sf_dir: str, cfg: SplitConfig = HOURLY_SPLIT,
-                    holidays=HOLIDAYS, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """The labelled feature table of the event fixture."""
-    feats = build_features(hourly_repaired(spark, sf_dir, block), holidays, block=block)
+                    holidays=HOLIDAYS, block: int = DEFAULT_BLOCK, materialize: bool = True) -> DataFrame:
+    """The labelled feature table of the event fixture.
+
+    The raw events are reduced to hourly means first and, by default, that
+    small table is written once to the shared checkpoint folder: the repair
+    steps read their input several times (grid range, gap join, fill carry,
+    outlier bound), and re-reading the raw events for each would multiply the
+    largest scan."""
+    hourly = hourly_series(spark, sf_dir)
+    if materialize:
+        hourly = write_table(hourly, "hourly")
+    repaired = cap_outliers(interpolate_linear(complete_grid(hourly, block=block), block=block))
+    feats = build_features(repaired, holidays, block=block)
     return labelled(feats, cfg)
 
 

@@ -51,3 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tsdrift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str, partition_by=None):
+    """Write ``df`` once as a Parquet table under the shared checkpoint folder
+    and return a reader of it.
+
+    Used where a plan is read several times downstream: it cuts the lineage
+    (a lost executor re-reads files instead of recomputing the plan), computes
+    the input exactly once (a reliable RDD checkpoint of an unpersisted plan
+    computes it twice), and later scans get column pruning, filter pushdown
+    and, with ``partition_by``, partition pruning."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base}/tsdrift-tables/{name}-{uuid.uuid4().hex[:12]}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    writer.parquet(path)
+    return spark.read.parquet(path)
