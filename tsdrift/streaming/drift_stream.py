@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsdrift.config import PSI_BINS, PSI_EPSILON
+from tsdrift.functions.timecols import epoch_micros, from_epoch_micros
 from tsdrift.operators import drift
 
 KEY = ("series_id",)
@@ -24,8 +25,9 @@ def binned_counts(readings: DataFrame, reference: DataFrame, every: str = "1 day
     """Streaming aggregation: rows per (series, event-time window, bin)."""
     bp = drift.quantile_breakpoints(reference, "value", KEY, bins)
     b = drift.assign_bins(readings.where(F.col("value").isNotNull()), bp, "value", KEY)
-    # watermarks need TIMESTAMP; naive times map 1:1 under the UTC session zone
-    b = b.withColumn("ts", F.col("ts").cast("timestamp"))
+    # watermarks need TIMESTAMP: map the naive time to the instant with the
+    # same epoch micros, so windows align with naive days in any session zone
+    b = b.withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
     return (b.withWatermark("ts", delay)
              .groupBy("series_id", F.window("ts", every).alias("w"), "bin")
              .agg(F.count(F.lit(1)).alias("n")))
@@ -54,8 +56,8 @@ def psi_from_counts(counts: DataFrame, ref_shares: DataFrame, epsilon: float = P
         return acc + (c - r) * F.ln(c / r)
 
     p = cs.join(rs, "series_id").select(
-        "series_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        "series_id", from_epoch_micros(F.unix_micros("w.start")).alias("window_start"),
+        from_epoch_micros(F.unix_micros("w.end")).alias("window_end"),
         F.aggregate(F.sequence(F.lit(0), F.col("n_bp")), F.lit(0.0), term).alias("psi"))
     return drift.psi_check(p, threshold)
 
