@@ -61,3 +61,17 @@ def test_same_result_any_partitioning(spark):
         outs.append(sorted(tuple(r) for r in f.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from tsdrift.operators.quantiles import exact_quantiles
+
+    rows = [("a", float((i * 7919) % 1013) / 7.0) for i in range(3000)] + [("b", 2.0)] * 50 + [("c", 1.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "v", probs, buckets=8, final_rows=40).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k]))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tsdrift.config import MAPE_BASE_ZERO_GUARD, PSI_BINS, PSI_EPSILON, DriftConfig
 from tsdrift.functions.stats import kolmogorov_pvalue, mape_severity, psi_severity
+from tsdrift.operators.quantiles import exact_quantiles
 
 KEY = ("series_id",)
 KS_VALUE_BUCKETS = 64
@@ -25,13 +26,15 @@ def quantile_breakpoints(ref: DataFrame, value: str = "value", by: Sequence[str]
     """DRF-1: ``bp`` = sorted distinct linear-interpolated percentiles at
     0, 1/bins, ..., 1 of the non-null reference values.
 
-    The exact percentile keeps each group's distinct values in one aggregation
-    buffer; for reference periods with very many distinct values per series,
-    ``approx=True`` uses the mergeable quantile sketch instead."""
-    probs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    q = F.percentile_approx(value, probs, 100000) if approx else F.percentile(value, probs)
-    return (ref.where(F.col(value).isNotNull()).groupBy(*by)
-               .agg(F.array_sort(F.array_distinct(q.cast("array<double>"))).alias("bp")))
+    Exact by distributed narrowing (``operators.quantiles``: no group is held
+    in one task); ``approx=True`` uses the mergeable quantile sketch."""
+    probs = [i / bins for i in range(bins + 1)]
+    if approx:
+        q = F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 100000)
+        return (ref.where(F.col(value).isNotNull()).groupBy(*by)
+                   .agg(F.array_sort(F.array_distinct(q.cast("array<double>"))).alias("bp")))
+    qs = exact_quantiles(ref, by, value, probs)
+    return qs.select(*by, F.array_sort(F.array_distinct("q")).alias("bp"))
 
 
 def assign_bins(df: DataFrame, bp: DataFrame, value: str = "value", by: Sequence[str] = KEY) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tsdrift.config import OUTLIER_FACTOR, OUTLIER_QUANTILE
 from tsdrift.functions.timecols import epoch_micros, from_epoch_micros
 from tsdrift.operators.prefix import fill_neighbours
+from tsdrift.operators.quantiles import exact_quantiles
 
 HOUR_MICROS = 3_600_000_000
 DAY_MICROS = 24 * HOUR_MICROS
@@ -69,10 +70,12 @@ def outlier_bounds(df: DataFrame, by: Sequence[str] = KEY, value: str = "value",
                    q: float = OUTLIER_QUANTILE, factor: float = OUTLIER_FACTOR,
                    approx: bool = False) -> DataFrame:
     """Per-series cap = factor * quantile(q) over all non-null values.  Exact
-    linear-interpolated percentile by default; ``approx`` uses a mergeable
-    sketch for very long series."""
-    qexpr = (F.percentile_approx(value, q, 10000) if approx else F.percentile(value, F.lit(q)))
-    return df.groupBy(*by).agg((qexpr * F.lit(factor)).alias("upper_bound"))
+    linear-interpolated quantile by default (distributed narrowing, see
+    ``operators.quantiles``); ``approx`` uses a mergeable sketch."""
+    if approx:
+        return df.groupBy(*by).agg((F.percentile_approx(value, q, 10000) * F.lit(factor)).alias("upper_bound"))
+    qs = exact_quantiles(df, by, value, [q])
+    return qs.select(*by, (F.col("q")[0] * F.lit(factor)).alias("upper_bound"))
 
 
 def cap_outliers(df: DataFrame, by: Sequence[str] = KEY, value: str = "value",
