@@ -13,6 +13,9 @@ task.  ``exact_quantiles`` finds the same order statistics by narrowing:
 3. once a range holds at most ``final_rows`` values (or a single distinct
    value) those few values are sorted to read the exact rank.
 
+When no group holds more than ``final_rows`` values the built-in aggregate is
+used directly (its buffer is then bounded too).
+
 The result equals Spark's ``percentile`` (linear interpolation between the
 two ranks).  Every round reads the input once; the small target table is
 written to the checkpoint folder between rounds.
@@ -46,10 +49,12 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
                            F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"))
     open_ = (F.col("_inside") > final_rows) & (F.col("_lo") < F.col("_hi"))
     largest = stats.agg(F.max("_n")).first()[0] or 0
-    rounds = max_rounds if largest > final_rows else 0
-    if rounds:
-        targets = materialize(targets, "quantile-targets")
-    for _ in range(rounds):
+    if largest <= final_rows:
+        # every group is small: the built-in exact aggregate's buffer is
+        # bounded by final_rows values, and it gives the same numbers
+        return v.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out))
+    targets = materialize(targets, "quantile-targets")
+    for _ in range(max_rounds):
         if targets.where(open_).isEmpty():
             break
         ranges = targets.where(open_).select(*by, "_lo", "_hi").distinct()
