@@ -153,11 +153,12 @@ def compare_policies(metrics: DataFrame, policy_a: str, policies_b: Sequence[str
     k = [*keys, "other_policy"]
     w = wilcoxon_signed_rank(pairs, k)
     d = cohens_d(pairs, k)
-    ba = bootstrap_ci(pairs.select(*k, "window_id", F.col("a").alias("mape")), k, reps=reps).select(
-        *k, F.col("mean").alias("a_mean"), F.col("ci_lower").alias("a_ci_lower"), F.col("ci_upper").alias("a_ci_upper"))
-    bb = bootstrap_ci(pairs.select(*k, "window_id", F.col("b").alias("mape")), k, reps=reps).select(
-        *k, F.col("mean").alias("b_mean"), F.col("ci_lower").alias("b_ci_lower"), F.col("ci_upper").alias("b_ci_upper"))
-    return (w.join(d, k).join(ba, k).join(bb, k)
+    # one resampling pass over both sides (side is part of the key)
+    long = pairs.select(*k, "window_id", "a", "b").unpivot([*k, "window_id"], ["a", "b"], "_side", "mape")
+    boot = bootstrap_ci(long, [*k, "_side"], reps=reps)
+    sides = boot.groupBy(*k).pivot("_side", ["a", "b"]).agg(
+        F.first("mean").alias("mean"), F.first("ci_lower").alias("ci_lower"), F.first("ci_upper").alias("ci_upper"))
+    return (w.join(d, k).join(sides, k)
              .withColumn("significant", F.col("p_value") < alpha)
              .withColumn("policy", F.lit(policy_a)))
 
