@@ -100,3 +100,13 @@ def test_many_short_series_blocked_equals_plain(spark):
         | (F.col("load_roll_mean_6h").isNull() != F.col("m6").isNull()))
     assert bad.count() == 0
     assert got.select("series_id").distinct().count() > 100
+
+
+def test_windows_match_brute_force(spark):
+    n = 17
+    df = hours(spark, [float(i) for i in range(n)]).withColumn("scenario", F.lit("x"))
+    for size, step in ((5, 3), (4, 4), (3, 5), (6, 1)):
+        got = sorted((r.window_id, int(r.value)) for r in
+                     scenarios.forecast_windows(df, size, step).select("window_id", "value").collect())
+        want = sorted((k, p) for k, s in enumerate(range(0, n, step)) for p in range(s, min(s + size, n)))
+        assert got == want, (size, step)
