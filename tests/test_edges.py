@@ -110,3 +110,18 @@ def test_windows_match_brute_force(spark):
                      scenarios.forecast_windows(df, size, step).select("window_id", "value").collect())
         want = sorted((k, p) for k, s in enumerate(range(0, n, step)) for p in range(s, min(s + size, n)))
         assert got == want, (size, step)
+
+
+def test_drift_report_lists_features_only_when_drifted(spark):
+    rows = [("s", 0, True, 0.3, "critical", True, 2, ["load_lag_24h", "hour_of_day"], True, 1.4, 10.0, 14.0,
+             "critical", True),
+            ("s", 1, False, 0.05, "stable", False, 0, [], False, 1.0, 10.0, 10.0, "stable", False)]
+    ddl = ("series_id string, window_id int, overall_drift boolean, psi double, psi_severity string, "
+           "psi_drift boolean, ks_num_drifted int, drifted_features array<string>, ks_drift boolean, "
+           "mape_ratio double, baseline_mape double, mape double, mape_severity string, mape_drift boolean")
+    out = {r.window_id: r.report for r in drift.drift_report(spark.createDataFrame(rows, ddl)).collect()}
+    assert "Features: ['load_lag_24h', 'hour_of_day']" in out[0]
+    assert "Features:" not in out[1]
+    assert "[PSI] Value: 0.3000, Severity: critical, Drift: True" in out[0]
+    assert "[MAPE Monitor] Ratio: 1.40x baseline" in out[0]
+    assert out[1].startswith("=== Drift Detection Summary ===\nOverall Drift Detected: False")
