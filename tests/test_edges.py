@@ -125,3 +125,12 @@ def test_drift_report_lists_features_only_when_drifted(spark):
     assert "[PSI] Value: 0.3000, Severity: critical, Drift: True" in out[0]
     assert "[MAPE Monitor] Ratio: 1.40x baseline" in out[0]
     assert out[1].startswith("=== Drift Detection Summary ===\nOverall Drift Detected: False")
+
+
+def test_rolling_exclude_current(spark):
+    df = hours(spark, [1.0, 2.0, 3.0, 4.0, 5.0])
+    inc = features.lag_rolling(df, lags=(), rolls=(2,), block=3)
+    exc = features.lag_rolling(df, lags=(), rolls=(2,), block=3, exclude_current=True)
+    order = "ts"
+    assert [r.load_roll_mean_2h for r in inc.orderBy(order).collect()] == [None, 1.5, 2.5, 3.5, 4.5]
+    assert [r.load_roll_mean_2h for r in exc.orderBy(order).collect()] == [None, None, 1.5, 2.5, 3.5]
