@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsdrift.llm import line_dedup, mixing, preference, quality_rules
-from tsdrift.llm.common import table
+from tsdrift.llm import html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules
+from tsdrift.llm.common import fold, table
 from tsdrift.llm.oracle import ORACLE  # noqa: F401  (read by the entry module)
 
 
@@ -40,10 +40,33 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents")).drop("first_shard")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.versions(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
+
+
+def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
+    protos = langid.prototypes(docs.where("not held_out"))
+    return langid.predict(docs.drop("lang"), protos)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "quality_ablation": quality_ablation,
     "op5_preference": op5_preference,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_packing": op6_packing,
+    "op7_html_main": op7_html_main,
+    "op10_language": op10_language,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
 }
