@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsdrift.llm import html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules
+from tsdrift.llm import html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules, simhash
 from tsdrift.llm.common import fold, table
+from tsdrift.session import materialize
 from tsdrift.llm.oracle import ORACLE  # noqa: F401  (read by the entry module)
 
 
@@ -40,6 +41,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents")).drop("first_shard")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(table(spark, sf_dir, "documents").select(
+        "doc_id", simhash.fingerprints(F.col("text")).alias("fp")), "simhash")
+    return simhash.near_duplicates(prints).select(
+        "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "quality_ablation": quality_ablation,
     "op5_preference": op5_preference,
+    "op2_simhash": op2_simhash,
     "op4_fingerprints": op4_fingerprints,
     "op6_packing": op6_packing,
     "op7_html_main": op7_html_main,
