@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsdrift.llm import html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules, simhash
+from tsdrift.llm import hpy_lm, html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules, simhash
 from tsdrift.llm.common import fold, table
 from tsdrift.session import materialize
 from tsdrift.llm.oracle import ORACLE  # noqa: F401  (read by the entry module)
@@ -48,6 +48,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hpy_lm.score(docs, fold(F.col("doc_id"), 5) == 1)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_ablation": quality_ablation,
     "op5_preference": op5_preference,
     "op2_simhash": op2_simhash,
+    "op3_language_model": op3_language_model,
     "op4_fingerprints": op4_fingerprints,
     "op6_packing": op6_packing,
     "op7_html_main": op7_html_main,
