@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+TABLES = "tsdrift-tables"  # folder of written intermediates
+_WRITTEN: list[str] = []
+
 # Settings the operators assume.  AQE re-plans shuffles at run time (coalesce
 # small partitions, split skewed join partitions); ANSI keeps bad casts loud.
 DEFAULT_CONF = {
@@ -48,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tsdrift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -66,9 +72,41 @@ def materialize(df, name: str, partition_by=None):
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    path = f"{base}/tsdrift-tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{TABLES}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df, partition: str = "") -> None:
+    """Delete the files of a table that ``materialize`` wrote (or of one of its
+    partitions, ``column=value``) once nothing reads them any more.  Files
+    elsewhere are left alone."""
+    for root in {f[:f.index("/", f.index(f"/{TABLES}/") + len(TABLES) + 2)] for f in df.inputFiles() if f"/{TABLES}/" in f}:
+        _delete(df.sparkSession, f"{root}/{partition}" if partition else root)
+
+
+def tables_written() -> list[str]:
+    return list(_WRITTEN)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Scope of a job: the tables ``materialize`` writes inside it are deleted at
+    its end, so whatever is needed later must be written out before."""
+    known = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[known:]:
+            _delete(spark, path)
+        del _WRITTEN[known:]
