@@ -183,7 +183,9 @@ def ablations(book: DataFrame, policies=POLICIES, rules: tuple[Rule, ...] = RULE
 
 
 def keep_passing(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` that ``policy`` keeps, columns unchanged."""
-    whole = docs.select("*", F.struct("*").alias("__row")) if "text" in docs.columns else docs
-    book = ledger(whole.select(F.col("__row").alias("row"), F.col("text")))
-    return book.where(passes(policy)).select("row.*")
+    """The rows of ``docs`` that ``policy`` keeps, columns unchanged.
+
+    The filter also reads a column the optimizer may not move a filter past;
+    below the ledger it would repeat every measurement per use."""
+    book = ledger(docs.select(F.struct("*").alias("row"), F.col("text"))).withColumn("__part", F.spark_partition_id())
+    return book.where(passes(policy) & (F.col("__part") >= 0)).select("row.*")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tsdrift.llm import hpy_lm, html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules, simhash
 from tsdrift.llm.common import fold, table
-from tsdrift.session import materialize
 from tsdrift.llm.oracle import ORACLE  # noqa: F401  (read by the entry module)
+from tsdrift.session import materialize
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_html_main": op7_html_main,
     "op10_language": op10_language,
+    "pipeline": corpus_pipeline.run,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
 }
