@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,14 @@ END_ID = 2
 OPEN_WINDOWS = 128
 FAN_IN = 8  # partitions merged per group and round
 FULL = 31 / 32  # a merged window this full is closed
-BATCH_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+BATCH_BYTES = 8 << 20
+CACHE_WORDS = 300_000  # each of words and parts; beyond it nothing more is kept
 
 PIECE = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, "
          "open boolean, members array<struct<window:long,base:long>>")
 # A word of plain Latin letters and a tail of ASCII signs without an apostrophe
 # splits into exactly these two parts; other words are encoded whole.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+SIMPLE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.M)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -62,7 +63,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
+        self.known: dict[bytes, bytes] = {}  # word to ids
+        self.parts: dict[str, bytes] = {"": b""}  # letter run or signs to ids
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -70,51 +72,60 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _encode(self, parts: list[str]) -> None:
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of distinct parts without white space, many to a call."""
-        for k in range(0, len(parts), 2000):
-            some = parts[k:k + 2000]
+        out: dict[str, bytes] = {}
+        for k in range(0, len(parts), 4000):
+            some = parts[k:k + 4000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.fromiter((s for s, _ in got.offsets), np.int64, len(got.offsets))
-            edges = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in some]))
-            ids = np.array(got.ids, dtype=np.uint32)
-            for p, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.parts[p] = ids[a:b].copy()
-
-    def words(self, distinct: list[bytes]) -> list[np.ndarray]:
-        split = []
-        for w in distinct:
-            s = w.decode("utf-8")
-            m = SIMPLE.fullmatch(s)
-            split.append((m[1].lower(), m[2]) if m else (s, ""))
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": np.empty(0, np.uint32)}
-        known = self.parts
-        self._encode(list(dict.fromkeys(p for pair in split for p in pair if p not in known)))
-        return [known[a] if not b else known[b] if not a else np.concatenate((known[a], known[b])) for a, b in split]
+            starts = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            edges = (4 * np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])).tolist()
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            out.update(zip(some, [ids[a:b] for a, b in zip(edges, edges[1:])], strict=True))
+        return out
+
+    def words(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as little-endian 32-bit numbers."""
+        found = list(map(self.known.get, distinct))
+        new = [w for w, ids in zip(distinct, found) if ids is None]
+        if not new:
+            return found
+        split = [(a if a.islower() else a.lower(), b) if not c else (c, "")
+                 for a, b, c in SIMPLE.findall(b"\n".join(new).decode("utf-8"))]
+        parts = self.parts
+        fresh = self._encode(list({p for pair in split for p in pair if p not in parts}))
+        if len(parts) < CACHE_WORDS:
+            parts.update(fresh)
+            made = [parts[a] + parts[b] for a, b in split]
+        else:
+            get = lambda p: fresh[p] if p in fresh else parts[p]
+            made = [get(a) + get(b) for a, b in split]
+        if len(self.known) < CACHE_WORDS:
+            self.known.update(zip(new, made))
+        more = iter(made)
+        return [ids if ids is not None else next(more) for ids in found]
 
     def texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of every text, end id included."""
-        order: dict[bytes, int] = {}
-        rows, counts = [], []
-        for t in texts:
-            ws = t.split()  # on ASCII white space
-            counts.append(len(ws))
-            rows.extend([order.setdefault(w, len(order)) for w in ws])
+        split = [t.split() for t in texts]  # on ASCII white space
+        flat = list(chain.from_iterable(split))
+        order = dict.fromkeys(flat)
+        order = dict(zip(order, range(len(order))))
+        index = np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
         ids = self.words(list(order))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(sizes) - sizes
-        index = np.array(rows, dtype=np.int64)
         at = 0
-        for n in counts:
+        for n in map(len, split):
             own = index[at:at + n]
             at += n
             lengths = sizes[own]
             total = int(lengths.sum())
             out = np.empty(total + 1, dtype="<u4")
             shift = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths)
-            out[:total] = flat[shift + np.arange(total)]
+            out[:total] = data[shift + np.arange(total)]
             out[total] = END_ID
             yield out
 
