@@ -37,7 +37,8 @@ SINGLE_WORDS = 12  # words at the start of a text that are pieces of their own
 TABLES = 3
 CELLS = 24  # of the fingerprint, all tables together
 GROWTH = 4
-BUCKET_CHARS = 16 << 20
+BUCKET_CHARS = 1 << 20
+MAX_BUCKETS = 1 << 14  # beyond this many they hold more characters
 BATCH_CHARS = 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -215,24 +216,39 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """Rows of ``docs`` in ascending order of id (null first, then text), dealt
     into buckets of consecutive ids; the first row of each bucket is also the
     last of the bucket before it (the very first follows the last bucket), as
-    ``halo``.  The driver sees the bounds and first ids of the buckets."""
+    ``halo``.  A task streams its buckets in order, so a bucket need not fit in
+    memory.  The driver sees the bounds and first ids of the buckets,
+    ``MAX_BUCKETS`` numbers each at most."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     chars = keyed.agg(F.sum(F.length("text"))).head()[0] or 0
-    parts = int(chars // bucket_chars) + 1
+    parts = min(MAX_BUCKETS, int(chars // bucket_chars) + 1)
     cuts = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(keyed.agg(F.percentile_approx("key", cuts, 100 * parts)).head()[0] or [])) if cuts else []
-    bucket = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    heads = sorted(keyed.groupBy(bucket.alias("bucket")).agg(F.min("key").alias("key")).collect())
-    before = {int(h["key"]): int(heads[i - 1]["bucket"]) for i, h in enumerate(heads)}
-    homes = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("halo")))
-    if before:
-        at = F.array_position(F.array(*[F.lit(k) for k in before]), F.col("key"))
-        homes = F.when(at > 0, F.concat(homes, F.array(F.struct(
-            F.element_at(F.array(*[F.lit(b) for b in before.values()]), F.when(at > 0, at).cast("int")).alias("bucket"),
-            F.lit(True).alias("halo"))))).otherwise(homes)
-    return keyed.withColumn("home", F.explode(homes)).select("doc_id", "text", "key", "home.*").repartition(
-        parts, "bucket").sortWithinPartitions("bucket", "halo", "key", "text")
+    bounds = np.unique(keyed.agg(F.percentile_approx("key", cuts, 20 * parts)).head()[0] or []) if cuts else []
+    bounds = np.array(bounds, dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def bucket(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), side="right"))
+
+    heads = sorted(keyed.groupBy(bucket("key").alias("bucket")).agg(F.min("key").alias("key")).collect())
+    first = np.array([h["key"] for h in heads], dtype=np.int64)  # ascending
+    before = np.array([heads[i - 1]["bucket"] for i in range(len(heads))], dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def ahead(keys: pd.Series) -> pd.Series:
+        """The bucket that ends with this key's row, -1 for most."""
+        k = keys.to_numpy(np.int64)
+        at = np.searchsorted(first, k)
+        hit = first[np.minimum(at, len(first) - 1)] == k
+        return pd.Series(np.where(hit, before[np.minimum(at, len(first) - 1)], -1))
+
+    dealt = keyed.withColumn("own", bucket("key")).withColumn("ahead", ahead("key"))
+    home = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("halo"))
+    guest = F.struct(F.col("ahead").alias("bucket"), F.lit(True).alias("halo"))
+    homes = F.explode(F.when(F.col("ahead") >= 0, F.array(home, guest)).otherwise(F.array(home)))
+    return dealt.select("doc_id", "text", "key", homes.alias("home")).select("doc_id", "text", "key", "home.*").repartition(
+        "bucket").sortWithinPartitions("bucket", "halo", "key", "text")
 
 
 def versions(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
