@@ -78,7 +78,7 @@ def materialize(df, name: str, partition_by=None):
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known, also for a table without files
 
 
 def _delete(spark: SparkSession, path: str) -> None:
