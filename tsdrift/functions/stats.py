@@ -19,14 +19,14 @@ def psi_severity(psi) -> Column:
     p = _c(psi)
     return (F.when(p < PSI_STABLE_BELOW, "stable")
             .when(p < PSI_WARNING_BELOW, "warning")
-            .otherwise("critical"))
+            .when(p.isNotNull(), "critical"))
 
 
 def mape_severity(ratio, alpha, beta) -> Column:
     r = _c(ratio)
     return (F.when(r >= F.lit(beta), "critical")
             .when(r >= F.lit(alpha), "warning")
-            .otherwise("stable"))
+            .when(r.isNotNull(), "stable"))
 
 
 def kolmogorov_pvalue(d, n, m) -> Column:
@@ -49,7 +49,8 @@ def kolmogorov_pvalue(d, n, m) -> Column:
 
 def normal_sf(z) -> Column:
     """Upper tail P(Z > z) of the standard normal, via the complementary error
-    function approximation erfc(x) with fractional error below 1.2e-7."""
+    function approximation erfc(x) with fractional error below 1.2e-7 (the
+    rational Chebyshev fit published in Numerical Recipes, section 6.2)."""
     x = F.abs(_c(z)) / F.sqrt(F.lit(2.0))
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
     poly = F.lit(0.17087277)

@@ -40,8 +40,8 @@ def quantile_breakpoints(ref: DataFrame, value: str = "value", by: Sequence[str]
 def assign_bins(df: DataFrame, bp: DataFrame, value: str = "value", by: Sequence[str] = KEY) -> DataFrame:
     """DRF-2: ``bin`` = number of breakpoints strictly below the value (the
     reference minimum is alone in bin 0; values above the maximum land in the
-    overflow bin len(bp))."""
-    return (df.join(bp, list(by))
+    overflow bin len(bp)); null for a series without breakpoints."""
+    return (df.join(bp, list(by), "left")
               .withColumn("bin", F.size(F.filter("bp", lambda b: b < F.col(value))))
               .drop("bp"))
 
@@ -60,14 +60,17 @@ def psi(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str]
 
     PSI = sum over bins 0..len(bp) of (c - r) * ln(c / r) with c, r the bin
     shares plus epsilon.  The overflow bin is always included, so a current
-    value above the reference maximum is counted instead of failing."""
+    value above the reference maximum is counted instead of failing.  A series
+    without reference keeps its rows: null scores, ``psi_status``
+    'no_reference'."""
     ref = ref.where(F.col(value).isNotNull())
     cur = cur.where(F.col(value).isNotNull())
     bp = bp if bp is not None else quantile_breakpoints(ref, value, by, bins)
     rs = _bin_shares(assign_bins(ref, bp, value, by), by, "r")
-    cs = _bin_shares(assign_bins(cur, bp, value, by), [*by, *window_keys], "c")
+    cs = _bin_shares(assign_bins(cur, bp, value, by).withColumn("bin", F.coalesce("bin", F.lit(-1))),
+                     [*by, *window_keys], "c")
     sizes = bp.select(*by, F.size("bp").alias("_nbp"))
-    j = cs.join(rs, list(by)).join(sizes, list(by))
+    j = cs.join(rs, list(by), "left").join(sizes, list(by), "left")
     eps = F.lit(epsilon)
 
     def term(acc, b):
@@ -76,7 +79,9 @@ def psi(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str]
         return acc + (c - r) * F.ln(c / r)
 
     value_psi = F.aggregate(F.sequence(F.lit(0), F.col("_nbp")), F.lit(0.0), term)
-    return j.select(*by, *window_keys, value_psi.alias("psi"), (F.col("_nbp") + 1).alias("n_bins"))
+    value_psi = F.when(F.col("_nbp").isNotNull() & F.col("rn").isNotNull(), value_psi)
+    return j.select(*by, *window_keys, value_psi.alias("psi"), (F.col("_nbp") + 1).alias("n_bins"),
+                    F.when(value_psi.isNotNull(), "ok").otherwise("no_reference").alias("psi_status"))
 
 
 def psi_check(df: DataFrame, threshold: float = 0.25, col: str = "psi") -> DataFrame:
@@ -87,6 +92,21 @@ def psi_check(df: DataFrame, threshold: float = 0.25, col: str = "psi") -> DataF
               .withColumn("psi_drift", (sev == "critical") | (F.col(col) >= F.lit(threshold))))
 
 
+def _running(counts: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """``counts`` (keys..., _vb, _v, _c) with the rows at or below each value
+    (``{prefix}_le``) and all rows of the key (``{prefix}_n``).  Counts run inside
+    a value bucket; lower buckets add one number each, from an array of at most
+    as many entries as there are buckets."""
+    inside = F.sum("_c").over(Window.partitionBy(*keys, "_vb").orderBy("_v"))
+    per_bucket = counts.groupBy(*keys, "_vb").agg(F.sum("_c").alias("_bn"))
+    lower = per_bucket.groupBy(*keys).agg(F.collect_list(F.struct("_vb", "_bn")).alias("_bc"),
+                                          F.sum("_bn").alias(f"{prefix}_n"))
+    before = F.aggregate(F.filter("_bc", lambda e: e["_vb"] < F.col("_vb")), F.lit(0).cast("bigint"),
+                         lambda x, e: x + e["_bn"])
+    return (counts.withColumn("_in", inside).join(lower, list(keys))
+                  .withColumn(f"{prefix}_le", F.col("_in") + before).drop("_in", "_bc"))
+
+
 def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str] = KEY,
                  window_keys: Sequence[str] = ("window_id",),
                  buckets: int = KS_VALUE_BUCKETS) -> DataFrame:
@@ -94,47 +114,39 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Seque
     ``p_value`` per (by, window_keys), nulls dropped.
 
     D = max over distinct current values v of the CDF gap at v and just below
-    v.  The reference count <= v comes from a windowed running count inside
-    value buckets (approximate reference quantiles, used only to spread the
-    work) plus the reference count of all lower buckets."""
+    v.  Both samples are first counted per distinct value (map-side combined, so
+    a value shared by many rows is one row), then counts run inside value
+    buckets (approximate reference quantiles, used only to spread the work).  A
+    key without reference keeps its rows, with null scores and ``ks_status``
+    'no_reference'."""
+    by, window_keys = list(by), list(window_keys)
     ref = ref.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     cur = cur.where(F.col(value).isNotNull()).select(*by, *window_keys, F.col(value).alias("_v"))
+    ref = ref.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cur = cur.groupBy(*by, *window_keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = ref.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", probs, 10000)).alias("_e"))
 
     def bucketed(d):
-        return (d.join(edges, list(by), "left")
+        return (d.join(edges, by, "left")
                  .withColumn("_vb", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col("_v"))), F.lit(0)))
                  .drop("_e"))
 
-    rb = bucketed(ref).withColumn("_isref", F.lit(1))
-    cb = bucketed(cur).withColumn("_isref", F.lit(0))
-    # reference rows per bucket, as one small sorted array per key (at most
-    # ``buckets`` entries); a bucket's offset = reference rows in lower buckets
-    per_bucket = rb.groupBy(*by, "_vb").agg(F.count(F.lit(1)).alias("_rc"))
-    counts = per_bucket.groupBy(*by).agg(F.collect_list(F.struct("_vb", "_rc")).alias("_bc"),
-                                         F.sum("_rc").alias("n_ref"))
-    u = rb.unionByName(cb, allowMissingColumns=True)
-    wv = Window.partitionBy(*by, "_vb").orderBy("_v")
-    u = (u.withColumn("_r_le", F.sum("_isref").over(wv.rangeBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_r_eq", F.sum("_isref").over(wv.rangeBetween(0, 0))))
-    c = (u.where(F.col("_isref") == 0).join(counts, list(by))
-          .withColumn("_off", F.aggregate(F.filter("_bc", lambda e: e["_vb"] < F.col("_vb")),
-                                          F.lit(0).cast("bigint"), lambda a, e: a + e["_rc"]))
-          .drop("_bc"))
-    wc = Window.partitionBy(*by, *window_keys).orderBy("_v")
-    c = (c.withColumn("_c_le", F.count(F.lit(1)).over(wc.rangeBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_c_eq", F.count(F.lit(1)).over(wc.rangeBetween(0, 0)))
-          .withColumn("n_cur", F.count(F.lit(1)).over(Window.partitionBy(*by, *window_keys))))
-    r_le = (F.col("_off") + F.col("_r_le")) / F.col("n_ref")
-    r_lt = (F.col("_off") + F.col("_r_le") - F.col("_r_eq")) / F.col("n_ref")
-    c_le = F.col("_c_le") / F.col("n_cur")
-    c_lt = (F.col("_c_le") - F.col("_c_eq")) / F.col("n_cur")
-    gap = F.greatest(F.abs(r_le - c_le), F.abs(r_lt - c_lt))
+    rb, cb = bucketed(ref), bucketed(cur)
+    # reference counts at the values of the current sample, zero where it has none
+    asked = rb.unionByName(cb.select(*by, "_vb", "_v", F.lit(0).cast("bigint").alias("_c")))
+    asked = asked.groupBy(*by, "_vb", "_v").agg(F.sum("_c").alias("_c"))
+    r = _running(asked, by, "r").select(*by, "_v", "r_le", (F.col("r_le") - F.col("_c")).alias("r_lt"), "r_n")
+    c = _running(cb, [*by, *window_keys], "c").join(r, [*by, "_v"])
+    n_ref = F.when(F.col("r_n") > 0, F.col("r_n"))
+    c_lt = F.col("c_le") - F.col("_c")
+    gap = F.greatest(F.abs(F.col("r_le") / n_ref - F.col("c_le") / F.col("c_n")),
+                     F.abs(F.col("r_lt") / n_ref - c_lt / F.col("c_n")))
     out = (c.groupBy(*by, *window_keys)
-            .agg(F.max(gap).alias("ks_statistic"), F.first("n_ref").alias("n_ref"),
-                 F.first("n_cur").alias("n_cur")))
-    return out.withColumn("p_value", kolmogorov_pvalue("ks_statistic", "n_ref", "n_cur"))
+            .agg(F.max(gap).alias("ks_statistic"), F.first("r_n").alias("n_ref"), F.first("c_n").alias("n_cur")))
+    p = F.when(F.col("n_ref") > 0, kolmogorov_pvalue("ks_statistic", "n_ref", "n_cur"))
+    return out.withColumn("p_value", p).withColumn(
+        "ks_status", F.when(F.col("n_ref") > 0, "ok").otherwise("no_reference"))
 
 
 def unpivot_features(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -69,20 +69,22 @@ def draw_index(seed: str, rep: Column, i: Column, n: Column) -> Column:
 def bootstrap_ci(values: DataFrame, keys: Sequence[str], pos: str = "window_id", value: str = "mape",
                  reps: int = BOOTSTRAP_REPS, conf: float = BOOTSTRAP_CONF, seed: str = "tsdrift") -> DataFrame:
     """EVL-4: percentile interval of ``reps`` resampled means, plus the sample
-    mean.  ``pos`` must be 0..n-1 per key.  Draws are exploded in two steps
-    (reps, then positions) with a shuffle between them, and joined back to
-    the values on (key, position)."""
-    n = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("mean"))
-    r = (n.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
-          .repartition(*keys, "_rep"))
-    draws = (r.select(*keys, "_n", "_rep", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
-              .withColumn(pos, draw_index(seed, F.col("_rep"), F.col("_i"), F.col("_n"))))
-    vals = values.select(*keys, F.col(pos).cast("bigint").alias(pos), F.col(value).alias("_v"))
-    means = draws.join(vals, [*keys, pos]).groupBy(*keys, "_rep").agg(F.avg("_v").alias("_m"))
+    mean.  A run is one array of its windows' values in order of ``pos``; only
+    the replicates are exploded, and each folds its draws over the array.  Runs
+    with equal values have equal intervals and are resampled once."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(pos).cast("bigint").alias("p"), F.col(value).alias("v"))))
+    runs = values.groupBy(*keys).agg(F.avg(value).alias("mean"), pairs.alias("_a")).select(
+        *keys, "mean", F.transform("_a", lambda s: s["v"]).alias("_a"))
+    n = F.size("_a").cast("bigint")
+    reps_of = runs.select("_a").distinct().select(
+        "_a", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep")).repartition(F.xxhash64("_a", "_rep"))
+    total = F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), F.lit(0.0), lambda acc, i: acc + F.get(
+        F.col("_a"), draw_index(seed, F.col("_rep"), i, n).cast("int")))
+    means = reps_of.select("_a", (total / n).alias("_m"))
     lo, hi = (1 - conf) / 2, (1 + conf) / 2
-    ci = means.groupBy(*keys).agg(F.percentile("_m", F.lit(lo)).alias("ci_lower"),
-                                  F.percentile("_m", F.lit(hi)).alias("ci_upper"))
-    return n.select(*keys, "mean").join(ci, list(keys))
+    ci = means.groupBy("_a").agg(F.percentile("_m", F.lit(lo)).alias("ci_lower"),
+                                 F.percentile("_m", F.lit(hi)).alias("ci_upper"))
+    return runs.join(ci, "_a").select(*keys, "mean", "ci_lower", "ci_upper")
 
 
 def _exact_signed_rank_cdf(n: Column, t: Column) -> Column:
@@ -141,32 +143,42 @@ def cohens_d(pairs: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b")
                     .otherwise(F.lit(0.0)).alias("cohens_d"))
 
 
+def policy_pairs(metrics: DataFrame, policy_a: str, policies_b: Sequence[str],
+                 keys: Sequence[str] = ("series_id", "scenario")) -> DataFrame:
+    """Windows of ``policy_a`` paired with those of each of ``policies_b``."""
+    mine = metrics.where(F.col("policy") == policy_a).withColumnRenamed("policy", "_pa")
+    other = (metrics.where(F.col("policy").isin(list(policies_b)))
+                    .withColumnRenamed("policy", "other_policy"))
+    return paired_metrics(mine, other, keys, "window_id", "mape").select(*keys, "other_policy", "window_id", "a", "b")
+
+
+def policy_tests(pairs: DataFrame, keys: Sequence[str], alpha: float = WILCOXON_ALPHA) -> DataFrame:
+    """Wilcoxon statistic and p-value, Cohen's d and significance per key."""
+    return (wilcoxon_signed_rank(pairs, keys).join(cohens_d(pairs, keys), list(keys))
+            .withColumn("significant", F.col("p_value") < alpha))
+
+
 def compare_policies(metrics: DataFrame, policy_a: str, policies_b: Sequence[str],
                      keys: Sequence[str] = ("series_id", "scenario"), reps: int = BOOTSTRAP_REPS,
                      alpha: float = WILCOXON_ALPHA) -> DataFrame:
     """EVL-7: policy_a against each of policies_b per key: bootstrap means and
     intervals of both, Wilcoxon statistic and p-value, significance, Cohen's d."""
-    mine = metrics.where(F.col("policy") == policy_a).withColumnRenamed("policy", "_pa")
-    other = (metrics.where(F.col("policy").isin(list(policies_b)))
-                    .withColumnRenamed("policy", "other_policy"))
-    pairs = paired_metrics(mine, other, keys, "window_id", "mape").select(*keys, "other_policy", "window_id", "a", "b")
+    pairs = policy_pairs(metrics, policy_a, policies_b, keys)
     k = [*keys, "other_policy"]
-    w = wilcoxon_signed_rank(pairs, k)
-    d = cohens_d(pairs, k)
     # one resampling pass over both sides (side is part of the key)
     long = pairs.select(*k, "window_id", "a", "b").unpivot([*k, "window_id"], ["a", "b"], "_side", "mape")
     boot = bootstrap_ci(long, [*k, "_side"], reps=reps)
     sides = boot.groupBy(*k).pivot("_side", ["a", "b"]).agg(
         F.first("mean").alias("mean"), F.first("ci_lower").alias("ci_lower"), F.first("ci_upper").alias("ci_upper"))
-    return (w.join(d, k).join(sides, k)
-             .withColumn("significant", F.col("p_value") < alpha)
-             .withColumn("policy", F.lit(policy_a)))
+    return policy_tests(pairs, k, alpha).join(sides, k).withColumn("policy", F.lit(policy_a))
 
 
 def significance_table(metrics: DataFrame, policy_a: str = "policy3",
-                       against: Sequence[str] = ("policy0", "policy1"), reps: int = BOOTSTRAP_REPS) -> DataFrame:
-    """EVL-8: one row per (series, scenario, comparison)."""
-    c = compare_policies(metrics, policy_a, against, reps=reps)
+                       against: Sequence[str] = ("policy0", "policy1")) -> DataFrame:
+    """EVL-8: one row per (series, scenario, comparison); tests only, nothing is
+    resampled."""
+    keys = ["series_id", "scenario", "other_policy"]
+    c = policy_tests(policy_pairs(metrics, policy_a, against), keys)
     label = F.concat(F.lit("P3 vs " if policy_a == "policy3" else f"{policy_a} vs "), F.col("other_policy"))
     return c.select("series_id", "scenario", label.alias("comparison"), "p_value", "cohens_d", "significant")
 

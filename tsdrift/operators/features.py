@@ -42,18 +42,21 @@ def holiday_table(spark, dates: Sequence[str] = HOLIDAYS) -> DataFrame:
     return spark.createDataFrame([(d,) for d in dates], "d string").select(F.to_date("d").alias("holiday_date"))
 
 
-def holiday_flag(df: DataFrame, holidays: DataFrame | Sequence[str] = HOLIDAYS, ts: str = "ts",
-                 max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def holiday_rule_flag(df: DataFrame, month_days: Sequence[tuple[int, int]], ts: str = "ts") -> DataFrame:
+    """PRJ-7 for holidays fixed by month and day in every year: an ``IN`` set."""
+    day = F.month(ts) * 100 + F.dayofmonth(ts)
+    return df.withColumn("is_holiday", day.isin([m * 100 + d for m, d in month_days]).cast("int"))
+
+
+def holiday_flag(df: DataFrame, holidays: DataFrame | Sequence[str] = HOLIDAYS, ts: str = "ts") -> DataFrame:
     """PRJ-7: 1 when the calendar date of ``ts`` is a holiday.
 
-    A literal list becomes an ``IN`` set; a holiday table is joined on the date,
-    broadcast only after its distinct row count is checked."""
+    A literal list becomes an ``IN`` set; a holiday table is joined on the date
+    (the planner broadcasts it if its size allows)."""
     day = F.to_date(ts)
     if not isinstance(holidays, DataFrame):
         return df.withColumn("is_holiday", day.isin(list(holidays)).cast("int"))
     dim = holidays.select(F.col(holidays.columns[0]).cast("date").alias("_hd")).distinct()
-    if dim.count() <= max_broadcast_rows:
-        dim = F.broadcast(dim)
     return (df.join(dim, day == F.col("_hd"), "left")
               .withColumn("is_holiday", F.col("_hd").isNotNull().cast("int"))
               .drop("_hd"))
@@ -109,9 +112,11 @@ def feature_columns(df: DataFrame, exclude: Sequence[str] = ("load", "scenario")
 
 def split_features_target(df: DataFrame, target: str = "load",
                           order: Sequence[str] = FEATURE_ORDER) -> tuple[DataFrame, DataFrame]:
-    """PRJ-8: (features, target) frames sharing the (series_id, ts) key; the
-    feature order is the training order when all of it is present."""
-    feats = [c for c in order if c in df.columns] or feature_columns(df)
+    """PRJ-8: (features, target) frames sharing the (series_id, ts) key: every
+    column but the target, the label and the keys, known features first in the
+    training order."""
+    known = [c for c in order if c in df.columns]
+    feats = known + [c for c in feature_columns(df, (target, "scenario")) if c not in known]
     return df.select("series_id", "ts", *feats), df.select("series_id", "ts", target)
 
 

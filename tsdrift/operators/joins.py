@@ -68,8 +68,7 @@ def paired_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], pos: str = "
              .join(b.select(*keys, *extra, pos, F.col(value).alias("b")), [*keys, pos]))
 
 
-def experiment_grid(policies: Sequence[str], scenarios: Sequence[str], spark) -> DataFrame:
-    """JON-4: every policy x scenario pair, built from two literal arrays."""
-    return (spark.range(1)
-                 .select(F.explode(F.array(*[F.lit(p) for p in policies])).alias("policy"))
-                 .select("policy", F.explode(F.array(*[F.lit(s) for s in scenarios])).alias("scenario")))
+def experiment_grid(policies: Sequence[str], labelled: DataFrame) -> DataFrame:
+    """JON-4: every policy (a literal list) with every scenario of ``labelled``."""
+    scenarios = labelled.where(F.col("scenario").isNotNull()).select("scenario").distinct()
+    return scenarios.select(F.explode(F.array(*[F.lit(p) for p in policies])).alias("policy"), "scenario")

@@ -37,12 +37,16 @@ def abs_pct_error(y, yhat) -> Column:
 def evaluate(df: DataFrame, y: str = "load", yhat: str = "prediction",
              by: Sequence[str] = KEY) -> DataFrame:
     """MDL-3: MAPE = mean(|(y - yhat) / (y + 1e-8)|) * 100 (signed epsilon),
-    RMSE and R2 per group, in one aggregation."""
+    RMSE and R2 per group, in one aggregation.  A group of one row or of one
+    constant target has no variance to explain: R2 is 1 if every prediction is
+    exact, else 0."""
     e = F.col(y) - F.col(yhat)
+    spread = F.var_pop(y) * F.count(y)
+    flat = F.when(F.sum(e * e) == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return (df.groupBy(*by).agg(
         (F.avg(abs_pct_error(y, yhat)) * 100).alias("mape"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"),
+        F.when(spread > 0, F.lit(1.0) - F.try_divide(F.sum(e * e), spread)).otherwise(flat).alias("r2"),
         F.count(F.lit(1)).alias("n")))
 
 
@@ -74,8 +78,9 @@ def fit_grouped_linear(df: DataFrame, by: Sequence[str] = KEY, x: str = "load_la
 
 def predict_linear(df: DataFrame, model: DataFrame, by: Sequence[str] = KEY,
                    x: str = "load_lag_24h") -> DataFrame:
-    """MDL-2 for the grouped model: prediction = a + b x, joined on the group."""
-    return (df.join(model.select(*by, "a", "b"), list(by))
+    """MDL-2 for the grouped model: prediction = a + b x, joined on the group;
+    null for a group without a model."""
+    return (df.join(model.select(*by, "a", "b"), list(by), "left")
               .withColumn("prediction", F.col("a") + F.col("b") * F.col(x))
               .drop("a", "b"))
 
@@ -136,19 +141,17 @@ def timeseries_folds(df: DataFrame, folds: int = TUNING_FOLDS, ts: str = "ts",
     """Expanding time folds as in a time-series split: with n rows and
     t = n // (folds + 1), the last ``folds`` blocks of t rows are validation
     parts 1..folds and everything before is part 0; fold k trains on parts
-    < k and validates on part k.  Positions are counted in time blocks, never
-    by one global ordered window."""
-    from tsdrift.operators.scenarios import row_position
-
-    keyed = list(keys) or ["_all"]
-    d = df if keys else df.withColumn("_all", F.lit(0))
-    d = row_position(d, keyed, ts, "_pos", tiebreak=tiebreak)
-    n = d.groupBy(*keyed).agg(F.count(F.lit(1)).alias("_n"))
+    < k and validates on part k.  Positions come from a range partitioning by
+    time (``prefix.range_positions``), so no task holds more than its share of
+    the rows, however many fall into one stretch of time.  Fewer rows than
+    folds + 1 all go to part 0."""
+    from tsdrift.operators.prefix import range_positions
+
+    d = range_positions(df, list(keys), [ts, *tiebreak], "_pos", "_n")
     t = F.floor(F.col("_n") / (folds + 1))
     first = F.col("_n") - t * folds
-    part = F.when(F.col("_pos") < first, 0).otherwise(F.floor((F.col("_pos") - first) / t) + 1)
-    out = d.join(n, keyed).withColumn("part", part.cast("int")).drop("_pos", "_n")
-    return out if keys else out.drop("_all")
+    part = F.when(F.col("_pos") < first, 0).otherwise(F.floor(F.try_divide(F.col("_pos") - first, t)) + 1)
+    return d.withColumn("part", part.cast("int")).drop("_pos", "_n")
 
 
 def sample_grid(space: dict = TUNING_SPACE, n_iter: int = TUNING_ITERATIONS, seed: int = 42) -> list[dict]:

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsdrift.session import materialize
+
 BLOCK = "_blk"
 OWN = "_own"
 
@@ -62,6 +64,34 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: C
              .drop("_off", "_rn", BLOCK))
 
 
+def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos",
+                    total: str | None = None) -> DataFrame:
+    """Exact 0-based position of each row within ``keys`` (none: of the table)
+    ordered by ``order``, and with ``total`` the number of rows of the key.
+
+    The rows are range-partitioned by (keys, order) and written in that order; a
+    partition holds an equal share of the rows whatever the keys or the spacing
+    in time.  Only one count per partition and one start per key are gathered."""
+    every = [*keys, *order]
+    numbered = materialize(df.repartitionByRange(*every).sortWithinPartitions(*every)
+                             .withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_mid", 33)
+    counts = numbered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    d = numbered.withColumn("_p", part).join(offsets, "_p").withColumn(
+        "_row", F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    if keys:
+        starts = d.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_total"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        starts = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first", "_total")
+        d = d.join(starts, same)
+    else:
+        d = d.crossJoin(counts.agg(F.sum("_c").alias("_total"))).withColumn("_first", F.lit(0))
+    cols = [*df.columns, (F.col("_row") - F.col("_first")).cast("bigint").alias(out)]
+    return d.select(*cols, *([F.col("_total").alias(total)] if total else []))
+
+
 def fill_neighbours(df: DataFrame, keys: Sequence[str], pos: str, value: str,
                     block_rows: int) -> DataFrame:
     """Add ``_prev`` / ``_next``: struct(pos, value) of the nearest non-null

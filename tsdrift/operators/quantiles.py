@@ -2,90 +2,92 @@
 
 ``percentile`` is exact but keeps every distinct value of a group in one
 aggregation buffer; a series holding a third of the rows would sit in one
-task.  ``exact_quantiles`` finds the same order statistics by narrowing:
-
-1. per group: n, min, max; each probability p needs the values at ranks
-   floor(p (n - 1)) and ceil(p (n - 1));
-2. each round, every open target's value range is cut into ``buckets`` equal
-   value buckets; a grouped count (map-side partial aggregation, so a hot
-   group is pre-reduced in every task) finds the bucket holding the rank,
-   whose observed [min, max] becomes the new range;
-3. once a range holds at most ``final_rows`` values (or a single distinct
-   value) those few values are sorted to read the exact rank.
-
-When no group holds more than ``final_rows`` values the built-in aggregate is
-used directly (its buffer is then bounded too).
-
-The result equals Spark's ``percentile`` (linear interpolation between the
-two ranks).  Every round reads the input once; the small target table is
-written to the checkpoint folder between rounds.
+task.  ``exact_quantiles`` finds the same order statistics by narrowing, the
+same way at every size:
+
+1. each probability p needs the values at ranks floor(p (n - 1)) and
+   ceil(p (n - 1));
+2. a grouped count over a fixed grid on the logarithm of the values (map-side
+   partial aggregation, so a hot group is pre-reduced in every task) gives n and
+   the cell that holds each rank;
+3. the observed [min, max] of that cell is the rank's next range, cut into
+   equal steps, until the range is a single value, which is the answer.
+
+Every cut separates the least from the greatest value of a range, so the loop
+ends.  The first, logarithmic cut leaves ranges inside a small part of a power
+of two, so a few equal-width cuts (16 bits each) read all 52 bits of a double.
+Infinities and NaN (greatest of all, as in Spark's ordering) get cells of their
+own.
+
+The result equals Spark's ``percentile`` (linear interpolation between the two
+ranks).  The values are written once; each round reads that narrow table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsdrift.session import materialize
 
-STATE = ("_k", "_lo", "_hi", "_below", "_inside")
+CELLS = 1 << 16
+LOG_SPAN = 1100.0  # |log2| of any finite double is below
+
+
+def _log_cell(v: Column) -> Column:
+    """A non-decreasing cell number: sign and base-2 logarithm on a fixed grid,
+    about 30 cells to a power of two."""
+    size = F.log2(F.abs(v)) + LOG_SPAN
+    grid = F.lit(CELLS / (2 * LOG_SPAN))
+    finite = F.when(v == 0, F.lit(0.0)).when(v > 0, F.floor(size * grid) + 1.0).otherwise(-F.floor(size * grid) - 1.0)
+    return (F.when(F.isnan(v), F.lit(4.0 * CELLS)).when(v == float("inf"), F.lit(3.0 * CELLS))
+             .when(v == float("-inf"), F.lit(-3.0 * CELLS)).otherwise(finite)).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    out: str = "q", buckets: int = 1024, final_rows: int = 20_000,
-                    max_rounds: int = 8) -> DataFrame:
+                    out: str = "q") -> DataFrame:
     """(by..., ``out`` array<double>) with the exact linear-interpolated
     quantiles of ``value`` at ``probs`` per group (nulls ignored)."""
     by = list(by)
-    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    stats = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"),
-                               F.max("_v").alias("_max"))
+    v = materialize(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")),
+                    "quantile-values")
+    counted = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")]
+
+    def located(targets: DataFrame, hist: DataFrame, keys: list[str]) -> DataFrame:
+        """Targets moved into the cell that holds their rank."""
+        w = Window.partitionBy(*keys, "_k").orderBy("_b")
+        before = F.col("_below") + F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return (targets.join(hist, keys).withColumn("_before", before)
+                .where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c")))
+                .select(*by, "_n", "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
+                        F.col("_before").alias("_below")))
+
+    hist = materialize(v.groupBy(*by, _log_cell(F.col("_v")).alias("_b")).agg(*counted), "quantile-cells")
+    totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
     pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in pos])))
-    targets = stats.select(*by, "_n", F.explode(ranks.cast("array<bigint>")).alias("_k"),
-                           F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
-                           F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"))
-    open_ = (F.col("_inside") > final_rows) & (F.col("_lo") < F.col("_hi"))
-    largest = stats.agg(F.max("_n")).first()[0] or 0
-    if largest <= final_rows:
-        # every group is small: the built-in exact aggregate's buffer is
-        # bounded by final_rows values, and it gives the same numbers
-        return v.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out))
-    targets = materialize(targets, "quantile-targets")
-    for _ in range(max_rounds):
-        if targets.where(open_).isEmpty():
-            break
-        ranges = targets.where(open_).select(*by, "_lo", "_hi").distinct()
-        width = F.col("_hi") - F.col("_lo")
-        b = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / width * buckets)).cast("int")
-        hist = (v.join(ranges, by)
-                 .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                 .groupBy(*by, "_lo", "_hi", b.alias("_b"))
-                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
-        w = Window.partitionBy(*by, "_lo", "_hi", "_k").orderBy("_b")
-        step = (targets.where(open_).join(hist, [*by, "_lo", "_hi"])
-                .withColumn("_before", F.coalesce(F.sum("_c").over(
-                    w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                .where((F.col("_below") + F.col("_before") <= F.col("_k"))
-                       & (F.col("_k") < F.col("_below") + F.col("_before") + F.col("_c")))
-                .select(*by, "_n", "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                        (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_inside")))
-        targets = materialize(targets.where(~open_).unionByName(step), "quantile-targets")
-    # final pick inside each small range
-    ranges = targets.select(*by, "_lo", "_hi").distinct()
-    vals = (v.join(ranges, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-             .groupBy(*by, "_lo", "_hi").agg(F.array_sort(F.collect_list("_v")).alias("_vals")))
-    picked = (targets.join(vals, [*by, "_lo", "_hi"], "left")
-              .withColumn("_x", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
-                          .otherwise(F.element_at("_vals", (F.col("_k") - F.col("_below") + 1).cast("int"))))
-              .groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_x"))).alias("_m")))
+    targets = totals.select(*by, "_n", F.explode(ranks.cast("array<bigint>")).alias("_k"),
+                            F.lit(0).cast("bigint").alias("_below"))
+    targets = materialize(located(targets, hist, by), "quantile-targets")
+    is_open = F.col("_lo") < F.col("_hi")
+    while not targets.where(is_open).isEmpty():
+        ranges = targets.where(is_open).select(*by, "_lo", "_hi").distinct()
+        # halved first: the width of two finite doubles may itself be infinite
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        cell = F.when(F.col("_v") == F.col("_hi"), F.lit(CELLS)).otherwise(
+            F.when(F.col("_v") == F.col("_lo"), F.lit(-1)).otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1))))
+        hist = (v.join(ranges, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                 .groupBy(*by, "_lo", "_hi", cell.cast("int").alias("_b")).agg(*counted))
+        step = located(targets.where(is_open), hist, [*by, "_lo", "_hi"])
+        targets = materialize(targets.where(~is_open).unionByName(step), "quantile-targets")
+    picked = targets.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_lo"))).alias("_m"))
 
     def interp(p: float):
         position = F.lit(float(p)) * (F.col("_n") - 1)
         lower, higher = F.floor(position), F.ceil(position)
         xl, xh = F.col("_m")[lower], F.col("_m")[higher]
-        return F.when(lower == higher, xl).otherwise((higher - position) * xl + (position - lower) * xh)
+        return F.when((lower == higher) | (xl == xh), xl).otherwise((higher - position) * xl + (position - lower) * xh)
 
     return picked.select(*by, F.array(*[interp(p) for p in probs]).alias(out))

@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsdrift.config import ScenarioRule, SplitConfig
-from tsdrift.functions.timecols import epoch_micros, ntz
+from tsdrift.functions.timecols import ntz
 from tsdrift.operators import prefix
 
 KEY = ("series_id",)
-# Rows are grouped into time blocks of this many micros when positions are
-# counted; for hourly rows a block holds at most 4096 rows per series.
-POSITION_BLOCK_MICROS = 4096 * 3_600_000_000
 
 
 def chronological_split(df: DataFrame, cfg: SplitConfig, ts: str = "ts") -> DataFrame:
@@ -58,11 +55,10 @@ def filter_scenario(df: DataFrame, name: str | None) -> DataFrame:
 
 
 def row_position(df: DataFrame, keys: Sequence[str] = KEY, ts: str = "ts",
-                 out: str = "pos", block_micros: int = POSITION_BLOCK_MICROS,
-                 tiebreak: Sequence[str] = ()) -> DataFrame:
-    """WIN-0: 0-based position in time order (then ``tiebreak``) within ``keys``."""
-    block = F.floor(epoch_micros(ts) / F.lit(block_micros))
-    return prefix.positions(df, keys, [ts, *tiebreak], block, out)
+                 out: str = "pos", tiebreak: Sequence[str] = ()) -> DataFrame:
+    """WIN-0: 0-based position in time order (then ``tiebreak``) within ``keys``,
+    by range partitioning: the row rate of a series does not matter."""
+    return prefix.range_positions(df, keys, [ts, *tiebreak], out)
 
 
 def split_at_fraction(df: DataFrame, fraction: float = 0.5, keys: Sequence[str] = KEY,

@@ -216,13 +216,11 @@ def q_ks_multi(spark, sf):
 
 @register("quantile_breakpoints", O.with_(*O.PREP, "trainf AS (SELECT * FROM features WHERE split = 'train')",
                                           O.breakpoints_cte("bp", "trainf", "load"))
-          + f"SELECT series_id, {O.snap('list_min(bp)')} AS bp_min, {O.snap('list_max(bp)')} AS bp_max, "
-            f"CAST(len(bp) AS INTEGER) AS n_breakpoints, {O.snap('list_sum(bp)')} AS bp_sum FROM bp")
+          + f"SELECT series_id, CAST(i AS INTEGER) AS i, {O.snap('bp[i + 1]')} AS breakpoint "
+            "FROM (SELECT series_id, bp, unnest(range(0, len(bp))) AS i FROM bp)")
 def q_quantile_breakpoints(spark, sf):
     bp = drift.quantile_breakpoints(train_rows(spark, sf), "load")
-    return rounded(bp.select("series_id", F.array_min("bp").alias("bp_min"), F.array_max("bp").alias("bp_max"),
-                             F.size("bp").alias("n_breakpoints"),
-                             F.aggregate("bp", F.lit(0.0), lambda a, b: a + b).alias("bp_sum")))
+    return rounded(bp.select("series_id", F.posexplode("bp").alias("i", "breakpoint")))
 
 
 @register("assign_bins", O.with_(*O.PREP, O.windows_cte(), *O.psi_ctes()[:2]) + """
@@ -512,7 +510,7 @@ SELECT w.series_id, w.scenario, 'P3 vs ' || w.other_policy AS comparison, {rd('w
 FROM wil w JOIN cd USING ({O.K3})""")
 def q_significance_table(spark, sf):
     m, _ = _runs(spark, sf)
-    return rounded(E.significance_table(m, reps=1))
+    return rounded(E.significance_table(m))
 
 
 @register("performance_table", O.with_(*_EVL_CTES) + f"""
@@ -602,9 +600,7 @@ def q_top_k(spark, sf):
 @register("experiment_grid", O.with_(*O.PREP) + "SELECT p.policy, s.scenario FROM (SELECT DISTINCT scenario FROM features "
           "WHERE scenario IS NOT NULL) s, (SELECT unnest(['" + "', '".join(POLICY_NAMES) + "']) AS policy) p")
 def q_experiment_grid(spark, sf):
-    f = prepare.hourly_features(spark, sf)
-    scen = f.where(F.col("scenario").isNotNull()).select("scenario").distinct()
-    return scen.select(F.explode(F.array(*[F.lit(p) for p in POLICY_NAMES])).alias("policy"), "scenario")
+    return joins.experiment_grid(POLICY_NAMES, prepare.hourly_features(spark, sf))
 
 
 # ---------------------------------------------------------------- daily fixture, parsing, filters
@@ -716,10 +712,11 @@ def q_split_features_target(spark, sf):
     return rounded(x)
 
 
-@register("drop_incomplete", O.with_(*O.PREP) + "SELECT count(*) AS n_rows FROM features")
+@register("drop_incomplete", O.with_(*O.PREP) + f"SELECT series_id, ts, {rd('load', 'value')}, {rd('load_lag_168h')}, "
+          f"{rd('load_roll_std_24h')} FROM features")
 def q_drop_incomplete(spark, sf):
-    d = features.lag_rolling(prepare.hourly_repaired(spark, sf))
-    return features.drop_incomplete(d).agg(F.count(F.lit(1)).alias("n_rows"))
+    d = features.drop_incomplete(features.lag_rolling(prepare.hourly_repaired(spark, sf)))
+    return rounded(d.select("series_id", "ts", "value", "load_lag_168h", "load_roll_std_24h"))
 
 
 @register("scalar_math", O.with_(*O.PREP) + f"""

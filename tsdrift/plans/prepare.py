@@ -23,7 +23,9 @@ def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_grid(spark: SparkSession, sf_dir: str, block: int = DEFAULT_BLOCK) -> DataFrame:
-    return complete_grid(hourly_series(spark, sf_dir), block=block)
+    """The complete grid of the hourly series, which is written once: the steps
+    from here on read their input several times."""
+    return complete_grid(write_table(hourly_series(spark, sf_dir), "hourly"), block=block)
 
 
 def hourly_filled(spark: SparkSession, sf_dir: str, block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -63,23 +65,9 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_mean(daily_orders(spark, sf_dir), DAY_MICROS)
 
 
-def rule_holidays(series: DataFrame, ts: str = "ts") -> DataFrame:
-    """Holiday table for the years present in ``series``, built from the
-    fixed month/day rule (one row per holiday date)."""
-    from pyspark.sql import functions as F
-
-    from tsdrift.config import HOLIDAY_MONTH_DAYS
-
-    md = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in HOLIDAY_MONTH_DAYS])
-    years = series.select(F.year(ts).alias("y")).distinct()
-    return years.select(F.explode(md).alias("md"), "y").select(
-        F.make_date("y", "md.m", "md.d").alias("holiday_date"))
-
-
 def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tsdrift.config import DAILY_SPLIT
-    from tsdrift.operators.features import calendar_features, holiday_flag
+    from tsdrift.config import DAILY_SPLIT, HOLIDAY_MONTH_DAYS
+    from tsdrift.operators.features import calendar_features, holiday_rule_flag
 
-    d = daily_series(spark, sf_dir)
-    d = holiday_flag(calendar_features(d), rule_holidays(d))
+    d = holiday_rule_flag(calendar_features(daily_series(spark, sf_dir)), HOLIDAY_MONTH_DAYS)
     return labelled(d, DAILY_SPLIT)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,9 @@ def read_run_logs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     metrics = spark.read.parquet(f"{root}/metrics")
     try:
         events = spark.read.schema(_event_schema(spark)).parquet(f"{root}/events")
-    except Exception:  # noqa: BLE001 - no event files at all
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         events = spark.createDataFrame([], EVENT_DDL)
     return metrics, events
 

@@ -34,9 +34,11 @@ def parse_timestamp(date: str | Column, time: str | Column, fmt: str = READING_T
 
 
 def coerce_numeric(col: str | Column, null_tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """PRJ-2: null tokens and unparsable text become null, the rest double."""
+    """PRJ-2: null tokens, unparsable text and any spelling of NaN become null,
+    the rest double."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(c.isin(list(null_tokens)), F.lit(None).cast("double")).otherwise(c.try_cast("double"))
+    x = c.try_cast("double")
+    return F.when(c.isin(list(null_tokens)) | F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
 def readings_to_series(df: DataFrame, series_id: str | None = None, date: str = "Date",
