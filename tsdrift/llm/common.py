@@ -25,10 +25,17 @@ def words(text: Column) -> Column:
 def content_key(*cols: str) -> list[Column]:
     """Two 64-bit hashes that identify the values of ``cols``: rows with equal
     values share a key whatever their ids are, so ids may be null or repeat."""
-    parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    parts = [x for c in cols for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     return [F.xxhash64(*parts).alias("key_a"), F.xxhash64(F.lit(7), *reversed(parts)).alias("key_b")]
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``row`` (a struct of all columns) with the content key of the
+    whole row, so that rows can be found again without a copy of the table."""
+    keys = content_key(*docs.columns)
+    return docs.select(F.struct("*").alias("row"), *keys)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (a null id counts as empty)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsdrift.llm.common import SPACE_CLASS, words
+from tsdrift.llm.common import SPACE_CLASS, keyed_rows, words
 from tsdrift.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -89,7 +89,8 @@ def dealt(sizes: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS, see
         "block", F.when(F.col("size") > 0, F.pmod(F.col("at"), F.col("n_blocks")))).drop("n_blocks")
     # without words: a window of their own for every few, as their order is idle
     idle = F.when(F.col("size") == 0, F.pmod(F.col("at"), F.lit(4096)))
-    w = Window.partitionBy("source", "block", idle).orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    more = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    w = Window.partitionBy("source", "block", idle).orderBy("at", "doc_id", *more).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
 
 
@@ -198,16 +199,20 @@ def mix(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, see
     """The mixed corpus: a row of ``docs`` for every draw, with ``shard``,
     ``place`` (sort by it inside the shard) and ``text`` cut after the words
     taken, white space kept.  Only the last block of a source is cut."""
-    numbered = materialize(docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"),
-        F.size(words(F.col("text"))).cast("long").alias("size")), "mix-documents")
-    got = takings(numbered.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size"),
-                  depth, block_words, seed).select("uid", F.explode("draws").alias("d"))
+    keyed = keyed_rows(docs).withColumn("size", F.size(words(F.col("row.text"))).cast("long"))
+    keys = ["key_a", "key_b"]
+    light = materialize(keyed.select(
+        *keys, F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size"), "mix-sizes")
+    repeated = materialize(light.groupBy(*keys).count().where("count > 1").select(*keys), "mix-repeated")
+    got = materialize(takings(light, depth, block_words, seed).select(*keys, F.explode("draws").alias("d")), "mix-draws")
+    # fully equal rows share their draws: one of them stands for all
+    once = keyed.join(repeated, keys, "left_semi").dropDuplicates(keys)
+    rows = keyed.join(got.join(repeated, keys, "left_anti"), keys).unionByName(
+        once.join(got.join(repeated, keys, "left_semi"), keys))
     chunks = F.split(F.col("row.text"), f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
     lead = F.when(F.col("row.text").rlike(f"^[{SPACE_CLASS}]"), 1).otherwise(0)
     cut = F.array_join(F.slice(chunks, F.lit(1), (F.col("d.words") + lead).cast("int")), "")
     text = F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col("row.text"))
-    rows = numbered.join(got, "uid")
     columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c)
                for c in docs.columns if c not in ("shard", "place")]
     return rows.select(*columns, F.col("d.shard").alias("shard"), F.col("d.place").alias("place"))

@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsdrift.llm.common import keyed_rows
 from tsdrift.llm.components import components
 from tsdrift.session import materialize
 
@@ -253,13 +254,17 @@ def hex_digits(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each group: that of the smallest doc_id (null last), then the
-    smallest hash of the whole row; of fully equal rows, one."""
-    numbered = materialize(docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"), fingerprints(F.col("text"), shingle).alias("fp")),
-        "near-documents")
-    light = materialize(numbered.select(
-        "uid", F.col("row.doc_id").alias("doc_id"), "fp", F.xxhash64("row").alias("content")), "near-keys")
-    groups = near_duplicates(light, radius)
-    chosen = groups.groupBy("component").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("content"), F.col("uid"))).alias("best"))
-    return numbered.join(chosen.select(F.col("best.uid").alias("u")), F.col("uid") == F.col("u"), "left_semi").select("row.*")
+    smallest hash of the whole row; of fully equal rows, one.  Only keys are
+    written; the chosen rows are found in ``docs`` by the key of their content."""
+    keyed = keyed_rows(docs)
+    light = materialize(keyed.select(
+        "key_a", "key_b", F.col("row.doc_id").alias("doc_id"), fingerprints(F.col("row.text"), shingle).alias("fp")), "near-keys")
+    best = near_duplicates(light, radius).groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key_a"), F.col("key_b"))).alias("best"))
+    best = best.select(F.col("best.key_a").alias("key_a"), F.col("best.key_b").alias("key_b"))
+    copies = light.groupBy("key_a", "key_b").agg(F.count("*").alias("copies"))
+    chosen = materialize(best.join(copies, ["key_a", "key_b"]), "near-chosen")
+    repeated = materialize(chosen.where("copies > 1"), "near-repeated")
+    single = keyed.join(chosen.where("copies = 1"), ["key_a", "key_b"], "left_semi")
+    once = keyed.join(repeated, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"])
+    return single.unionByName(once).select("row.*")
