@@ -50,7 +50,7 @@ def test_stream_drift_equals_batch(spark):
     stream = spark.readStream.schema(cur.schema).parquet(src)
     q = drift_stream.start_stream_drift(stream, ref, out + "/psi", ck, every="1 day", delay="1 hour")
     q.awaitTermination()
-    got = spark.read.parquet(out + "/psi")
+    got = drift_stream.read_windows(spark, out + "/psi")
     closed = got.agg(F.max("window_end")).first()[0]
     batch = drift.psi(ref, cur.withColumn("window_start", F.window("ts", "1 day").start),
                       window_keys=("window_start",))
@@ -58,6 +58,11 @@ def test_stream_drift_equals_batch(spark):
     g = {(r.series_id, r.window_start): r.psi for r in got.collect()}
     assert g and all(abs(g[k] - b[k]) < 1e-9 for k in g)
     assert all(k[1] < closed for k in g)
+    for _ in range(2):  # a repeated close changes nothing
+        drift_stream.close_open_windows(cur, ref, out + "/psi")
+        rows = drift_stream.read_windows(spark, out + "/psi").collect()
+        assert len(rows) == len(b) > len(g)  # every (series, day) once
+        assert all(abs(r.psi - b[r.series_id, r.window_start]) < 1e-9 for r in rows)
 
 
 def test_stream_policy_equals_batch(spark):

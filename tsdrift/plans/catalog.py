@@ -796,7 +796,9 @@ FIXTURE_TUNING_SPACE = {"n_estimators": (5, 10), "max_depth": (2, 3), "learning_
                         "subsample": (0.8,), "colsample_bytree": (0.8,)}
 
 
-@register("read_readings")
+@register("read_readings", O.with_(_RAW_SQL) + f"""
+SELECT series_id, strptime("Date" || ' ' || "Time", '%d/%m/%Y %H:%M:%S') AS ts,
+  {rd("TRY_CAST(reading AS DOUBLE)", 'value')} FROM raw""")
 def q_read_readings(spark, sf):
     """SRC-1: events written as ';'-separated text with '?' for missing
     values, read back with every column as text, then parsed."""
@@ -805,36 +807,56 @@ def q_read_readings(spark, sf):
                                       F.coalesce(F.col("reading"), F.lit("?")).alias("Global_active_power"))
     raw.write.option("header", True).option("sep", ";").csv(path)
     text = readings.read_readings(spark, path, cols=("series_id", "Date", "Time", "Global_active_power"))
-    return readings.readings_to_series(text, "series_id")
+    return rounded(readings.readings_to_series(text, "series_id"))
 
 
-@register("write_splits")
-def q_write_splits(spark, sf):
-    """SNK-1 + SRC-2: write the labelled feature table by split and reload
-    the test split (partition-pruned)."""
+_SPLIT_COLS = ("load", *O.FEATURE_COLS)
+_SPLIT_SQL = "SELECT series_id, ts, " + ", ".join(rd(c) if c.startswith("load") else c for c in _SPLIT_COLS) + ", split, scenario FROM features"
+
+
+def _written_splits(spark, sf) -> str:
     path = files.run_folder(spark, "splits")
     files.write_splits(monitor.features(spark, sf), path)
-    return files.read_split(spark, path, "test")
+    return path
 
 
-register("read_split")(q_write_splits)
+@register("write_splits", O.with_(*O.PREP) + _SPLIT_SQL)
+def q_write_splits(spark, sf):
+    """SNK-1: the labelled feature table written by split, all of it read back."""
+    return rounded(spark.read.parquet(_written_splits(spark, sf)))
 
 
-@register("write_run_logs")
-def q_write_run_logs(spark, sf):
-    """SNK-2 + SRC-3 + SNK-3: persist the backtest logs by run, reload them by
-    partition discovery and summarise."""
-    m, e = _runs(spark, sf)
+@register("read_split", O.with_(*O.PREP) + _SPLIT_SQL + " WHERE split = 'test'")
+def q_read_split(spark, sf):
+    """SRC-2: one split reloaded (partition-pruned)."""
+    return rounded(files.read_split(spark, _written_splits(spark, sf), "test"))
+
+
+def _written_logs(spark, sf) -> str:
     path = files.run_folder(spark, "runs")
-    files.write_run_logs(m, e, path)
-    m2, e2 = files.read_run_logs(spark, path)
-    summary = E.run_summary(m2, e2)
-    files.write_summary(summary, f"{path}/summary")
-    return spark.read.parquet(f"{path}/summary")
+    files.write_run_logs(*_runs(spark, sf), path)
+    return path
+
+
+@register("write_run_logs", O.with_(*_BT_CTES) + _FOLD_SELECT + " FROM fold")
+def q_write_run_logs(spark, sf):
+    """SNK-2: the metric log persisted by run and read back."""
+    return rounded(spark.read.parquet(f"{_written_logs(spark, sf)}/metrics").select(*_BT_COLS))
+
 
+@register("read_run_logs", ORACLE["event_log"])
+def q_read_run_logs(spark, sf):
+    """SRC-3: run keys come from the folders; the event log of every run."""
+    _, events = files.read_run_logs(spark, _written_logs(spark, sf))
+    return events.select("series_id", "policy", "scenario", "timestamp", "event", "retrain_time_seconds", "trigger_reason")
 
-register("read_run_logs")(q_write_run_logs)
-register("write_summary")(q_write_run_logs)
+
+@register("write_summary", ORACLE["run_summary"])
+def q_write_summary(spark, sf):
+    """SNK-3: the summary of the reloaded logs, written and read back."""
+    path = _written_logs(spark, sf)
+    files.write_summary(E.run_summary(*files.read_run_logs(spark, path)), f"{path}/summary")
+    return rounded(spark.read.parquet(f"{path}/summary").select(*_SUMM_COLS))
 
 
 def _gbt_model(spark, sf):
@@ -903,7 +925,8 @@ def q_stream_drift(spark, sf):
     stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
     q = drift_stream.start_stream_drift(stream, ev.where(F.col("ts") < "2024-01-16"), f"{base}/out", f"{base}/ck")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    drift_stream.close_open_windows(ev.where(F.col("ts") >= "2024-01-16"), ev.where(F.col("ts") < "2024-01-16"), f"{base}/out")
+    return drift_stream.read_windows(spark, f"{base}/out")
 
 
 @register("stream_policy")

@@ -10,12 +10,13 @@ Rows later than the watermark are dropped by Spark's state store.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsdrift.config import PSI_BINS, PSI_EPSILON
 from tsdrift.functions.timecols import epoch_micros, from_epoch_micros
 from tsdrift.operators import drift
+from tsdrift.session import materialize
 
 KEY = ("series_id",)
 
@@ -29,7 +30,7 @@ def binned_counts(readings: DataFrame, reference: DataFrame, every: str = "1 day
     # same epoch micros, so windows align with naive days in any session zone
     b = b.withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
     return (b.withWatermark("ts", delay)
-             .groupBy("series_id", F.window("ts", every).alias("w"), "bin")
+             .groupBy("series_id", F.window("ts", every).alias("w"), F.coalesce("bin", F.lit(-1)).alias("bin"))
              .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -64,14 +65,32 @@ def psi_from_counts(counts: DataFrame, ref_shares: DataFrame, epsilon: float = P
 
 def start_stream_drift(readings: DataFrame, reference: DataFrame, out_path: str, checkpoint: str,
                        every: str = "1 day", delay: str = "1 hour", available_now: bool = True):
-    """Run STM-1 into a Parquet table at ``out_path`` (append, exactly once
-    per window through the checkpoint)."""
-    shares = reference_shares(reference).cache()
+    """Run STM-1 into a Parquet table at ``out_path``, one folder per
+    micro-batch: a batch replayed after a failure overwrites its own folder, so a
+    window is there once.  Windows still open at the end of a bounded replay are
+    added by ``close_open_windows``."""
+    shares = materialize(reference_shares(reference), "stream-reference")
     counts = binned_counts(readings, reference, every, delay)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        psi_from_counts(batch, shares).write.mode("append").parquet(out_path)
+        psi_from_counts(batch, shares).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     w = counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
+
+
+def read_windows(spark: SparkSession, out_path: str) -> DataFrame:
+    """All windows written so far."""
+    return spark.read.option("basePath", out_path).parquet(f"{out_path}/batch=*").drop("batch")
+
+
+def close_open_windows(readings: DataFrame, reference: DataFrame, out_path: str, every: str = "1 day",
+                       delay: str = "1 hour") -> None:
+    """After a bounded replay: score the windows of ``readings`` (the replayed
+    rows, as a batch) that no micro-batch emitted, as the watermark never passed
+    their end, and write them as batch -1."""
+    spark = readings.sparkSession
+    done = spark.read.option("basePath", out_path).parquet(f"{out_path}/batch=[0-9]*").select("series_id", "window_start")
+    scored = psi_from_counts(binned_counts(readings, reference, every, delay), reference_shares(reference))
+    scored.join(done, ["series_id", "window_start"], "left_anti").write.mode("overwrite").parquet(f"{out_path}/batch=-1")
