@@ -28,6 +28,22 @@ def test_malformed_and_bare_pages():
     assert text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_article_text_is_not_lost_by_name():
+    page = """<article class="post comments-open"><h2 id="search-algorithms">Search</h2><h2 id="related-work" class="share">Related</h2>
+    <p class="share-price">Price</p><p>A <span class="notice">small</span> word</p><div class="share">Share</div>
+    <div class="Social share">Us</div></article>"""
+    assert text(page) == "Search\nRelated\nPrice\nA small word"
+    assert text('<div class="nav-box">menu</div><h2 id="related-work">Related</h2><p>x') == "Related\nx"
+    assert text('<article class="comment">c</article><p>x') == "x"
+
+
+def test_markup_after_raw_text_is_read():
+    page = '<script>var a = "<!-- ";</script><nav><a href="/">home</a></nav><p>One</p><!-- ad --><p>Two</p>'
+    assert text(page) == "One\nTwo"
+    assert text("<style>a<!-- b</style><footer>foot</footer><p>One <b>two</b>") == "One two"
+    assert text('<script>if (a <b && c == "') == "" and text("<script>x <y </script><p>z") == "z"
+
+
 def test_template_subtrees_of_a_host_go(spark):
     rows = [(i, f"http://a.org/{i}", f"<article><h1>Title {i}</h1><p>Own words number {i}</p><div><p>Follow our channel</p></div></article>")
             for i in range(12)]

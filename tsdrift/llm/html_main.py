@@ -98,7 +98,9 @@ def _class_words(attributes: dict[str, str]) -> set[str]:
 
 def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether an element never holds the article; ``inside``: it stands in an
-    article or main element, whose own header holds the title."""
+    article or main element, whose own header holds the title.  There, and for
+    the article itself, only a whole class token names a part; a heading's id is
+    made of its text, and inline elements are parts of sentences."""
     if tag in DROPPED:
         return True
     if tag == "header":
@@ -112,12 +114,14 @@ def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return False
     if attributes.get("role", "").lower() in ROLES:
         return True
-    words = _class_words(attributes) & NAMED
+    classes = set(attributes.get("class", "").lower().split())
     if tag in KEPT_CONTAINERS:
-        return bool(words & READERS)
+        return bool(classes & READERS)
+    if tag in HEADINGS:
+        return not inside and bool(_class_words({"class": attributes.get("class", "")}) & NAMED)
     if inside:
-        words.discard("header")
-    return bool(words)
+        return tag not in INLINE and bool(classes & NAMED - {"header"})
+    return bool(_class_words(attributes) & NAMED)
 
 
 class _Node:
@@ -161,9 +165,7 @@ def parse(html: str | None) -> list[tuple[str, list[_Node]]]:
         node = to
 
     at, end = 0, len(html)
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue  # inside raw text
+    while m := TOKEN.search(html, at):  # from the end of raw text on
         if m.start() > at and not node.drop:
             run.append(unescape(html[at:m.start()]))
         at = m.end()
