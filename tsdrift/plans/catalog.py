@@ -789,12 +789,6 @@ def q_drift_validation(spark, sf):
 # ---------------------------------------------------------------- sources, sinks, forecaster, report (rows checks)
 from tsdrift.sources import files  # noqa: E402
 
-# Boosted-tree settings for the 30-day fixture (the published 200-250 trees
-# are kept as library defaults; the fixture uses fewer, shallower trees).
-FIXTURE_GBT = dict(n_estimators=20, max_depth=4, learning_rate=0.05, subsample=0.7, colsample_bytree=0.8, seed=42)
-FIXTURE_TUNING_SPACE = {"n_estimators": (5, 10), "max_depth": (2, 3), "learning_rate": (0.05, 0.1),
-                        "subsample": (0.8,), "colsample_bytree": (0.8,)}
-
 
 @register("read_readings", O.with_(_RAW_SQL) + f"""
 SELECT series_id, strptime("Date" || ' ' || "Time", '%d/%m/%Y %H:%M:%S') AS ts,
@@ -861,7 +855,7 @@ def q_write_summary(spark, sf):
 
 def _gbt_model(spark, sf):
     f = monitor.features(spark, sf)
-    return models.fit_forecaster(f.where(F.col("split") == "train"), **FIXTURE_GBT), f
+    return models.fit_forecaster(f.where(F.col("split") == "train")), f
 
 
 @register("fit_forecaster")
@@ -901,7 +895,7 @@ def q_timeseries_folds(spark, sf):
 def q_tune(spark, sf):
     """MDL-5: seeded random search over expanding time folds."""
     f = monitor.features(spark, sf).where(F.col("split") == "train")
-    _, table = models.tune(f, space=FIXTURE_TUNING_SPACE, n_iter=3, folds=3)
+    _, table = models.tune(f)
     return table
 
 
