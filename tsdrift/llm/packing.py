@@ -8,9 +8,10 @@ is merged in rounds, a few partitions' windows at a time, until one group is
 left; those rounds move window descriptors only, never ids.
 
 Texts are tokenized word by word, as the tokenizer's own splitting never joins
-across white space: per batch each distinct word is looked up once, and the
-worker keeps the ids of letter runs it has seen (a bounded cache, which only
-saves time).
+across white space.  A batch is split, and its words numbered, as Arrow arrays;
+the ids of the distinct letter runs and signs are looked up in the worker's cache
+(bounded, it only saves time), the unknown ones encoded many to a call, and the
+ids of all texts of the batch gathered at once.
 
 Defined cases: a null or empty text is a document of its end id alone; repeated
 rows and null ids are packed like any other row; an empty table gives no rows.
@@ -18,14 +19,14 @@ rows and null ids are packed like any other row; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +39,15 @@ OPEN_WINDOWS = 128
 FAN_IN = 8  # partitions merged per group and round
 FULL = 31 / 32  # a merged window this full is closed
 BATCH_BYTES = 8 << 20
-CACHE_WORDS = 300_000  # each of words and parts; beyond it nothing more is kept
+CACHE_PARTS = 1_000_000  # beyond it nothing more is kept
 
 PIECE = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, "
          "open boolean, members array<struct<window:long,base:long>>")
 # A word of plain Latin letters and a tail of ASCII signs without an apostrophe
 # splits into exactly these two parts; other words are encoded whole.
-SIMPLE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.M)
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SIMPLE = r"^[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\[-`{-~]*$"
+MEMBERS = pa.list_(pa.struct([("window", pa.int64()), ("base", pa.int64())]))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,8 +66,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}  # word to ids
-        self.parts: dict[str, bytes] = {"": b""}  # letter run or signs to ids
+        self.parts = pa.array([""], pa.string())  # known parts: part k has
+        self.sizes = np.zeros(1, np.int64)  # sizes[k] ids
+        self.ids = np.empty(0, "<u4")  # that follow those of the parts before
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -72,62 +76,72 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _encode(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of distinct parts without white space, many to a call."""
-        out: dict[str, bytes] = {}
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of distinct parts without white space, many to a call."""
+        sizes, ids = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
         for k in range(0, len(parts), 4000):
             some = parts[k:k + 4000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             starts = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
-            edges = (4 * np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])).tolist()
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            out.update(zip(some, [ids[a:b] for a, b in zip(edges, edges[1:])], strict=True))
-        return out
-
-    def words(self, distinct: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, as little-endian 32-bit numbers."""
-        found = list(map(self.known.get, distinct))
-        new = [w for w, ids in zip(distinct, found) if ids is None]
-        if not new:
-            return found
-        split = [(a if a.islower() else a.lower(), b) if not c else (c, "")
-                 for a, b, c in SIMPLE.findall(b"\n".join(new).decode("utf-8"))]
-        parts = self.parts
-        fresh = self._encode(list({p for pair in split for p in pair if p not in parts}))
-        if len(parts) < CACHE_WORDS:
-            parts.update(fresh)
-            made = [parts[a] + parts[b] for a, b in split]
-        else:
-            get = lambda p: fresh[p] if p in fresh else parts[p]
-            made = [get(a) + get(b) for a, b in split]
-        if len(self.known) < CACHE_WORDS:
-            self.known.update(zip(new, made))
-        more = iter(made)
-        return [ids if ids is not None else next(more) for ids in found]
+            widths = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            sizes.append(np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(widths)])))
+            ids.append(np.array(got.ids, dtype="<u4"))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _lookup(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, sizes, ids): ids of every part, ``sizes`` and ``ids`` running
+        over known and new parts, ``place`` where a part is in them."""
+        at = pc.index_in(parts, value_set=self.parts)
+        new = parts.filter(pc.is_null(at)).unique()
+        if not len(new):
+            return at.to_numpy(zero_copy_only=False), self.sizes, self.ids
+        sizes, ids = self._encode(new.to_pylist())
+        known = pa.concat_arrays([self.parts, new])
+        sizes, ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        if len(self.parts) < CACHE_PARTS:
+            self.parts, self.sizes, self.ids = known, sizes, ids
+        return pc.index_in(parts, value_set=known).to_numpy(), sizes, ids
 
     def texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of every text, end id included."""
-        split = [t.split() for t in texts]  # on ASCII white space
-        flat = list(chain.from_iterable(split))
-        order = dict.fromkeys(flat)
-        order = dict(zip(order, range(len(order))))
-        index = np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
-        ids = self.words(list(order))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        data = np.frombuffer(b"".join(ids), "<u4")
+        ids, begin = self.batch(pa.array([t.decode("utf-8") for t in texts], pa.string()))
+        yield from np.split(ids, begin[1:-1])
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (strings, none null), end ids included, in one
+        array, and where each text begins in it (one more for the end)."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        # a word is two parts: its letters and its signs, or itself and nothing
+        simple = pc.match_substring_regex(words, SIMPLE)
+        letters = pc.if_else(simple, pc.utf8_lower(pc.ascii_rtrim(words, characters=SIGNS)), words)
+        tail = pc.if_else(simple, pc.subtract(pc.binary_length(words), pc.binary_length(pc.ascii_rtrim(words, characters=SIGNS))), 0)
+        some = pc.greater(tail, 0)
+        signs = pa.array([w[-n:] for w, n in zip(words.filter(some).to_pylist(), tail.filter(some).to_pylist())], pa.string())
+        place, sizes, ids = self._lookup(pa.concat_arrays([letters, signs]))
         first = np.cumsum(sizes) - sizes
-        at = 0
-        for n in map(len, split):
-            own = index[at:at + n]
-            at += n
-            lengths = sizes[own]
-            total = int(lengths.sum())
-            out = np.empty(total + 1, dtype="<u4")
-            shift = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths)
-            out[:total] = data[shift + np.arange(total)]
-            out[total] = END_ID
-            yield out
+        # ids of the distinct words, the end id as one more
+        n = len(words)
+        parts = np.zeros((n + 1, 2), np.int64)
+        parts[:n, 0] = place[:n]
+        parts[np.flatnonzero(some.to_numpy(zero_copy_only=False)), 1] = place[n:]  # part 0 is empty
+        parts[n, 0] = len(sizes)
+        sizes, first, ids = np.append(sizes, 1), np.append(first, len(ids)), np.append(ids, np.uint32(END_ID)).astype("<u4")
+        flat = _gather(ids, first, sizes, parts.ravel())
+        widths = sizes[parts].sum(axis=1)
+        begin = np.cumsum(widths) - widths
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), ends, n)
+        lengths = np.r_[0, np.cumsum(widths[order])]
+        return _gather(flat, begin, widths, order), np.r_[0, lengths[ends + np.arange(1, len(ends) + 1)]]
+
+
+def _gather(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs ``data[first[k]:first[k] + sizes[k]]`` for every k of ``order``."""
+    own = sizes[order]
+    shift = np.repeat(first[order] - (np.cumsum(own) - own), own)
+    return data[shift + np.arange(len(shift))]
 
 
 class OpenWindows:
@@ -155,41 +169,45 @@ class OpenWindows:
         return self.next - 1
 
 
-def _small(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[bytes]]]:
-    ids, texts, size = [], [], 0
-    for pdf in batches:
-        for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-            b = t.encode("utf-8") if isinstance(t, str) else b""
-            ids.append(d)
-            texts.append(b)
-            size += len(b)
-            if size >= BATCH_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _small(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """ids and texts of a few rows at a time: ``BATCH_BYTES``, or one longer text."""
+    for batch in batches:
+        ids, texts = batch.column(0), pc.fill_null(batch.column(1).cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+            yield ids.slice(at, to - at), texts.slice(at, to - at)
+            at = to
 
 
 def _packer(path: str, length: int, limit: int):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.load(path)
         windows = OpenWindows(TaskContext.get().partitionId() << 32, length, limit)
-        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset"]
-        for ids, texts in _small(batches):
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "open", "members"]
+        kind = pa.null()
+        for doc_ids, texts in _small(batches):
+            kind = doc_ids.type
+            got, begin = tokenizer.batch(texts)
+            data = memoryview(np.ascontiguousarray(got)).cast("B")
             out = []
-            for d, got in zip(ids, tokenizer.texts(texts), strict=True):
-                n = len(got)
-                for start in range(0, n, length):
-                    piece = got[start:start + length]
-                    window, offset = (windows.open(), 0) if len(piece) == length else windows.place(len(piece))
-                    out.append((d, start, len(piece), zlib.crc32(piece.tobytes()), n, window, offset))
-            pdf = pd.DataFrame(out, columns=columns)
-            yield pdf.assign(open=False, members=None)
+            for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+                for start in range(a, b, length):
+                    n = min(length, b - start)
+                    window, offset = (windows.open(), 0) if n == length else windows.place(n)
+                    out.append((k, start - a, n, zlib.crc32(data[4 * start:4 * (start + n)]), b - a, window, offset))
+            rows = np.array(out, dtype=np.int64).T
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids.take(pa.array(rows[0])), *map(pa.array, rows[1:]), pa.array(np.zeros(len(out), bool)),
+                 pa.nulls(len(out), MEMBERS)], names)
         if windows.room:
-            yield pd.DataFrame({
-                "doc_id": None, "start": None, "length": [length - free for free, _ in windows.room], "ids_crc32": None,
-                "doc_tokens": None, "window": [w for _, w in windows.room], "offset": None, "open": True,
-                "members": [[{"window": w, "base": 0}] for _, w in windows.room]})
+            n, none = len(windows.room), pa.nulls(len(windows.room), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, kind), none, pa.array([length - free for free, _ in windows.room], pa.int64()), none, none,
+                 pa.array([w for _, w in windows.room], pa.int64()), none, pa.array(np.ones(n, bool)),
+                 pa.array([[{"window": w, "base": 0}] for _, w in windows.room], MEMBERS)], names)
 
     return run
 
@@ -225,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: in
     """Pieces of all rows of ``docs`` (doc_id, text): doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset."""
     kind = dict(docs.dtypes)["doc_id"]
-    done = materialize(docs.select("doc_id", "text").mapInPandas(
+    done = materialize(docs.select("doc_id", "text").mapInArrow(
         _packer(tokenizer, length, open_windows), PIECE.format(id=kind)), "packed")
     left = done.where("open").select("window", F.col("length").alias("total"), "members")
     parts = left.agg(F.max(F.shiftright("window", 32))).head()[0]
