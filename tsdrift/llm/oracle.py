@@ -144,7 +144,50 @@ SELECT doc_id, size, source_size, target,
   coalesce(list_sum(list_transform(uses, lambda u: greatest(0, least(size, u - before)))), 0)::BIGINT AS taken
 FROM docs LEFT JOIN taken t ON docs.source IS NOT DISTINCT FROM t.source AND docs.block = t.block"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASES = rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, k::BIGINT AS k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, a FROM parts),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+kept AS (SELECT p.* FROM parts p LEFT JOIN most m USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+cuts AS (SELECT lang, phrase, k AS size, a, w, unnest(range(1, k)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, c.k,
+         ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.size], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000"""
+
+SEARCH = rf"""WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark),
+stats AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS all_terms FROM docs WHERE len(w) > 0),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+           FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), stats),
+asked AS (SELECT i, item_id, unnest(w) AS t FROM items),
+scored AS (
+  SELECT i, item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(docs.w) * n_docs) // all_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN docs USING (d), stats GROUP BY i, item_id, d, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50"""
+
 ORACLE = {
+    "op11_phrases": PHRASES,
+    "op12_search": SEARCH,
     "op1_quality_rules": QUALITY,
     "quality_ablation": ABLATION,
     "op5_preference": PREFERENCE,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tsdrift.llm import hpy_lm, html_main, iblt, langid, line_dedup, mixing, packing, preference, quality_rules, simhash
+from tsdrift.llm import (
+    hpy_lm, html_main, iblt, langid, lexical, line_dedup, mixing, packing, phrases, preference, quality_rules, simhash)
 from tsdrift.llm.common import fold, table
 from tsdrift.llm.oracle import ORACLE  # noqa: F401  (read by the entry module)
 from tsdrift.session import materialize
@@ -73,6 +74,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), protos)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "quality_ablation": quality_ablation,
@@ -86,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
+    "op11_phrases": op11_phrases,
+    "op12_search": op12_search,
 }
