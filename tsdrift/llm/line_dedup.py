@@ -11,7 +11,10 @@ back is one short array of line hashes per host.
 
 Defined cases: a null host is a host of its own; a null text stays null, an
 empty one empty, and both count as pages of their host; repeated rows count as
-pages of their own and get the same result; blank lines are kept.
+pages of their own and get the same result; blank lines are kept; a line on
+exactly the ratio of the pages stays; an empty table gives an empty table; a very
+long text is split whole.  All columns of the input stay, whatever their names,
+but one named ``dropped_lines`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsdrift.llm.common import SPACE, SPACE_CLASS
+from tsdrift.llm.common import SPACE, SPACE_CLASS, unused
 from tsdrift.session import materialize
 
 RATIO = 0.05
@@ -62,16 +65,17 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     planner knows its size and broadcasts it only if that is below the
     session's limit; otherwise the host join shuffles, and its hot partitions
     are split at run time."""
+    of, bad, all_, kept = unused(docs.columns, "__host", "__bad", "__lines", "__kept")
     per_host = materialize(boilerplate(docs, host, text, ratio, min_pages).groupBy(
-        F.col("host").alias("__host")).agg(F.collect_list("line").alias("__bad")), "boilerplate")
-    joined = docs.join(per_host, F.col(host).eqNullSafe(F.col("__host")), "left")
+        F.col("host").alias(of)).agg(F.collect_list("line").alias(bad)), "boilerplate")
+    joined = docs.join(per_host, F.col(host).eqNullSafe(F.col(of)), "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     parts = F.split(F.col(text), "\n")
-    staged = joined.withColumn("__bad", F.coalesce("__bad", none)).withColumn("__lines", F.when(
-        F.size("__bad") > 0, parts)).withColumn("__kept", F.filter(
-            "__lines", lambda x: ~F.array_contains(F.col("__bad"), line_hash(x))))
-    cut = F.size("__kept") < F.size("__lines")
-    columns = [F.when(cut, F.array_join("__kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c)
-               for c in docs.columns if c != "dropped_lines"]
-    dropped = F.when(cut, F.size("__lines") - F.size("__kept")).otherwise(0).cast("long")
+    staged = joined.withColumn(bad, F.coalesce(bad, none)).withColumn(all_, F.when(
+        F.size(bad) > 0, parts)).withColumn(kept, F.filter(
+            all_, lambda x: ~F.array_contains(F.col(bad), line_hash(x))))
+    cut = F.size(kept) < F.size(all_)
+    columns = [F.when(cut, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`")
+               for c in docs.columns if c.lower() != "dropped_lines"]
+    dropped = F.when(cut, F.size(all_) - F.size(kept)).otherwise(0).cast("long")
     return staged.select(*columns, dropped.alias("dropped_lines"))

@@ -12,21 +12,34 @@
 3. Splitting tree: each source's quota is its number of blocks.  The root holds
    all quotas; a node gives half of its blocks to its left child, drawn without
    replacement over all sources (a multivariate hypergeometric draw), the rest
-   to the right child, down to the output shards.  Every shard then owns a
-   disjoint range of each source's permuted blocks and orders its documents by
-   a hash of its own.
+   to the right child, down to the output shards.  The draw of a node is its
+   blocks in the order of a hash: the lower half goes left.  Every shard then
+   owns a disjoint range of each source's permuted blocks and orders its
+   documents by a hash of its own.
 
 All draws come from hashes of the seed and the position, so reruns agree.
-Windows run over one block of documents or over the table of blocks, whose
-length follows ``block_words``, never over the documents of a source.
+Windows run over one block of documents, over the blocks of a source, or over
+``BUCKETS`` counts; never over the documents of a source.  There are ``MAX_BLOCKS``
+blocks at most (one more per source), which grow with the corpus beyond that, and
+a shard for about every ``SHARD_WORDS`` words.
+
+Texts are shuffled once, to their shard: a block follows from the document alone,
+and whether and where a block is taken from the table of blocks.  That table is
+sent to all tasks while it has at most ``SENT_BLOCKS`` rows (counted); beyond that it
+is joined.  Only documents of blocks taken in part are looked up one by one.
 
 Defined cases: a null source is a source of its own, last in order; null and
 blank texts have size 0 and are never taken; repeated rows count each; equal
-rows of one id share that id's takings in order.
+rows of one id share that id's takings in order; empty tables give no rows; a
+document longer than a block is in a block with others, which is then longer.
+``summary`` and ``takings`` return columns of their own only, besides those named
+there; ``mixed_documents`` returns all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +52,10 @@ MOST = 2.0
 BLOCK_WORDS = 16384
 MAX_BLOCKS = 1 << 20  # beyond this many blocks they grow with the corpus
 SEED = 42
-DEPTH = 4  # of the tree: 2^DEPTH output shards
-SPREAD = 16  # tasks that write one shard
+SHARD_WORDS = 1 << 24  # of an output shard, about
+TASK_WORDS = 1 << 20  # written by a task, about
+BUCKETS = 4096
+SENT_BLOCKS = 1 << 21  # rows of the block table sent to all tasks, some 100 MB
 
 
 def unit(*parts: Column) -> Column:
@@ -76,15 +91,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
             F.least(F.col("cap"), F.col("common") * F.col("weight"))).alias("target"))
 
 
+def block_width(sizes: DataFrame, block_words: int) -> int:
+    """Words of a block: ``block_words``, or what makes ``MAX_BLOCKS`` of all words."""
+    return max(block_words, ceil((sizes.agg(F.sum("size")).head()[0] or 0) / MAX_BLOCKS))
+
+
+def n_blocks(source_size: Column, width: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(source_size / F.lit(width))).cast("long")
+
+
+def document_hash(doc_id: Column, size: Column, seed: int) -> Column:
+    return unit(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), size)
+
+
 def dealt(sizes: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """``sizes`` with ``block``, ``at`` (place in the block) and ``before``
     (words of the block ahead of the document); a document without words gets
     no block."""
-    width = F.greatest(F.lit(block_words), F.ceil(F.sum("source_size").over(Window.partitionBy()) / F.lit(MAX_BLOCKS)))
-    blocks = aims.select(
-        F.col("source").alias("s"), "source_size", "target",
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / width)).cast("long").alias("n_blocks"))
-    at = unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size"))
+    width = block_width(sizes, block_words)
+    blocks = aims.select(F.col("source").alias("s"), "source_size", "target", n_blocks(F.col("source_size"), width).alias("n_blocks"))
+    at = document_hash(F.col("doc_id"), F.col("size"), seed)
     placed = sizes.join(blocks, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("at", at).withColumn(
         "block", F.when(F.col("size") > 0, F.pmod(F.col("at"), F.col("n_blocks")))).drop("n_blocks")
     # without words: a window of their own for every few, as their order is idle
@@ -108,119 +134,132 @@ def drawn_blocks(placed: DataFrame, aims: DataFrame, seed: int = SEED) -> DataFr
     cut = passes.withColumn("use", F.least(F.col("block_words"), due - before)).where("use > 0")
     slot = F.row_number().over(Window.partitionBy("source").orderBy(
         "epoch", unit(F.lit(seed + 1), F.coalesce(F.col("source"), F.lit("")), F.col("epoch"), F.col("block")), "block"))
-    return cut.select("source", "epoch", "block", F.col("use").cast("long"), (slot - 1).cast("long").alias("slot"))
-
-
-def _left_share(quotas: Column, node: Column, seed: int) -> Column:
-    """Blocks per source that go to the left child: of all blocks of the node
-    half are drawn without replacement.  Block after block, one goes left with
-    probability (left places open) / (blocks remaining)."""
-    total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q)
-    start = F.struct(F.floor(total / 2).cast("long").alias("open"), total.alias("rest"),
-                     F.array().cast("array<bigint>").alias("got"))
+    return cut.select("source", "epoch", "block", "block_words", F.col("use").cast("long"), (slot - 1).cast("long").alias("slot"))
 
-    def source(acc: Column, q: Column) -> Column:
-        inner = F.struct(acc["open"].alias("open"), acc["rest"].alias("rest"), F.lit(0).cast("long").alias("n"))
 
-        def block(a: Column, _i: Column) -> Column:
-            draw = F.pmod(F.xxhash64(F.lit(seed + 2), node, a["rest"]), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            left = (draw * a["rest"] < a["open"]).cast("long")
-            return F.struct((a["open"] - left).alias("open"), (a["rest"] - 1).alias("rest"), (a["n"] + left).alias("n"))
-
-        steps = F.when(q > 0, F.sequence(F.lit(1).cast("long"), q)).otherwise(F.array().cast("array<bigint>"))
-        return F.aggregate(F.array(F.aggregate(steps, inner, block)), acc, lambda o, d: F.struct(
-            d["open"].alias("open"), d["rest"].alias("rest"), F.concat(o["got"], F.array(d["n"])).alias("got")))
-
-    return F.aggregate(quotas, start, source)["got"]
+def depth_for(words: int, shard_words: int = SHARD_WORDS) -> int:
+    """Levels of a tree with a shard for about every ``shard_words`` words."""
+    return max(0, ceil(log2(max(1, words / shard_words))))
 
 
 def split_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     """Quota of every output shard: rows (source, shard, quota, first), where
     ``first`` is the shard's first slot in the source's permuted blocks.
 
-    ``quotas`` has one row per source; a node of the tree is one row with the
-    quotas of all sources, so a level is a projection and an explode."""
-    nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct(
-        F.col("source").isNull().alias("last"), F.col("source"), F.col("quota")))).alias("q")).select(
-        F.lit(1).cast("long").alias("node"), F.transform("q", lambda x: x["source"]).alias("names"),
-        F.transform("q", lambda x: x["quota"]).alias("quotas"))
-    for _ in range(depth):
-        split = nodes.withColumn("left", _left_share(F.col("quotas"), F.col("node"), seed))
-        children = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")),
-            F.struct((F.col("node") * 2 + 1).alias("node"),
-                     F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas")))
-        nodes = split.select("names", F.explode(children).alias("c")).select("c.node", "names", "c.quotas")
-    leaves = nodes.select((F.col("node") - (1 << depth)).alias("shard"),
-                          F.explode(F.arrays_zip("names", "quotas")).alias("x")).select(
-        F.col("x.names").alias("source"), "shard", F.col("x.quotas").alias("quota"))
+    ``quotas`` has one row per source.  A node orders its blocks by a hash and
+    gives the lower half to its left child; as the children keep that order, the
+    shard of a block follows from its place among all blocks.  Places are counted
+    in ``BUCKETS`` ranges of the hash.  Without replacement: every block has one
+    place."""
+    draw = unit(F.lit(seed + 2), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("i"))
+    blocks = quotas.where("quota > 0").select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("i"))
+    drawn = blocks.withColumn("draw", draw).withColumn("bucket", F.shiftright("draw", 60 - BUCKETS.bit_length() + 1))
+    counts = drawn.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("bucket", before.alias("ahead"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("draw", "source", "i")) - 1
+    placed = drawn.withColumn("inside", inside).join(counts, "bucket").withColumn("place", F.col("ahead") + F.col("inside"))
+    # node, its first place and its number of blocks, level by level
+    start = F.struct(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("lo"), F.col("total").cast("long").alias("n"))
+
+    def level(at: Column, _i: Column) -> Column:
+        half = F.floor(at["n"] / 2).cast("long")
+        left = F.col("place") < at["lo"] + half
+        return F.struct((at["node"] * 2 + F.when(left, 0).otherwise(1)).alias("node"),
+                        F.when(left, at["lo"]).otherwise(at["lo"] + half).alias("lo"),
+                        F.when(left, half).otherwise(at["n"] - half).alias("n"))
+
+    steps = F.sequence(F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
+    leaves = placed.withColumn("shard", F.aggregate(steps, start, level)["node"]).groupBy("source", "shard").agg(
+        F.count("*").cast("long").alias("quota"))
     w = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.withColumn("first", F.coalesce(F.sum("quota").over(w), F.lit(0)).cast("long"))
 
 
-def takings(sizes: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def _plan(sizes: DataFrame, shard_words: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(aims, placed, owned): targets per source; documents in blocks; per taken
+    block its ``uses`` (epoch, words used, shard) and whether it is ``whole``."""
+    aims = targets(sizes)
+    placed = dealt(sizes, aims, block_words, seed)
+    blocks = drawn_blocks(placed.select("source", "block", "size").where("size > 0"), aims, seed)
+    total = sizes.agg(F.sum("size")).head()[0] or 0
+    shares = split_tree(blocks.groupBy("source").agg(F.count("*").cast("long").alias("quota")),
+                        depth_for(total * SHARE, shard_words), seed)
+    slots = shares.select(F.col("source").alias("s"), "shard", F.explode(
+        F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("at_slot"))
+    owned = blocks.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("at_slot"))).groupBy(
+        F.col("source").alias("s"), F.col("block").alias("b")).agg(
+        F.sort_array(F.collect_list(F.struct("epoch", "use", "shard"))).alias("uses"),
+        F.min(F.col("use") == F.col("block_words")).alias("whole"))
+    return aims, placed, owned
+
+
+def _draws(uses: Column, seed: int, before: Column) -> Column:
+    """What the uses of a block take of one document (size, at, before)."""
+    each = F.transform(F.coalesce(uses, F.array().cast("array<struct<epoch:bigint,use:bigint,shard:bigint>>")), lambda u: F.struct(
+        u["epoch"].alias("epoch"), u["shard"].alias("shard"),
+        F.xxhash64(F.lit(seed + 3), u["shard"], u["epoch"], F.col("at"), before).alias("place"),
+        F.least(F.col("size"), u["use"] - before).alias("words")))
+    return F.filter(each, lambda d: d["words"] > 0)
+
+
+def takings(sizes: DataFrame, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """``sizes`` (doc_id, source, size and any other columns) with source_size,
     target and ``draws``: an array of (epoch, shard, place, words), one for
     every time the mix takes words of the document, from its start.
 
     ``sizes`` is read several times: pass a written table."""
-    aims = targets(sizes)
-    placed = dealt(sizes, aims, block_words, seed)
-    blocks = drawn_blocks(placed.select("source", "block", "size").where("size > 0"), aims, seed)
-    shares = split_tree(blocks.groupBy("source").agg(F.count("*").cast("long").alias("quota")), depth, seed)
-    # a shard owns a range of its source's slots: at most 2^depth ranges per source
-    ranges = shares.where("quota > 0").groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(
-        F.struct((F.col("first") + F.col("quota")).alias("end"), F.col("shard")))).alias("ends"))
-    owned = blocks.join(ranges, F.col("source").eqNullSafe(F.col("s"))).select(
-        "s", F.col("block").alias("b"), "epoch", "use",
-        F.get(F.filter("ends", lambda e: e["end"] > F.col("slot")), F.lit(0))["shard"].alias("shard"))
-    owned = owned.groupBy("s", "b").agg(F.sort_array(F.collect_list(F.struct("epoch", "use", "shard"))).alias("uses"))
+    _, placed, owned = _plan(sizes, shard_words, block_words, seed)
     joined = placed.join(owned, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    draws = F.filter(
-        F.transform(F.coalesce("uses", F.array().cast("array<struct<epoch:bigint,use:bigint,shard:bigint>>")), lambda u: F.struct(
-            u["epoch"].alias("epoch"), u["shard"].alias("shard"),
-            F.xxhash64(F.lit(seed + 3), u["shard"], u["epoch"], F.col("at"), F.col("before")).alias("place"),
-            F.least(F.col("size"), u["use"] - F.col("before")).alias("words"))),
-        lambda d: d["words"] > 0)
-    return joined.withColumn("draws", draws).drop("s", "b", "uses", "at", "before", "block")
+    return joined.withColumn("draws", _draws(F.col("uses"), seed, F.col("before"))).drop("s", "b", "uses", "whole", "at", "before", "block")
 
 
-def summary(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def summary(docs: DataFrame, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken, and the
     output shard of its first draw."""
-    got = takings(materialize(sized(docs), "mix-sizes"), depth, block_words, seed)
+    got = takings(materialize(sized(docs), "mix-sizes"), shard_words, block_words, seed)
     return got.select(
         "doc_id", "size", "source_size", "target",
         F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"),
         F.get("draws", F.lit(0))["shard"].alias("first_shard"))
 
 
-def mix(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: a row of ``docs`` for every draw, with ``shard``,
-    ``place`` (sort by it inside the shard) and ``text`` cut after the words
-    taken, white space kept.  Only the last block of a source is cut."""
+def _mixed(docs: DataFrame, shard_words: int, block_words: int, seed: int) -> DataFrame:
+    """A row of ``docs`` (as ``row``) for every draw, with ``text`` cut after the
+    words taken, ``shard`` and ``place`` (sort by it inside the shard)."""
     keyed = keyed_rows(docs).withColumn("size", F.size(words(F.col("row.text"))).cast("long"))
     keys = ["key_a", "key_b"]
     light = materialize(keyed.select(
         *keys, F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size"), "mix-sizes")
-    repeated = materialize(light.groupBy(*keys).count().where("count > 1").select(*keys), "mix-repeated")
-    got = materialize(takings(light, depth, block_words, seed).select(*keys, F.explode("draws").alias("d")), "mix-draws")
+    aims, placed, owned = _plan(light, shard_words, block_words, seed)
+    owned = materialize(owned, "mix-blocks")
+    few = owned.count() <= SENT_BLOCKS
+    # documents of blocks taken in part: their places in the block decide
+    part = owned.where("not whole")
+    inner = materialize(placed.join(part, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(
+        *keys, F.explode(_draws(F.col("uses"), seed, F.col("before"))).alias("d")), "mix-parts")
+    cuts = aims.select(F.col("source").alias("s_"), n_blocks(F.col("source_size"), block_width(light, block_words)).alias("n_blocks"))
+    at = document_hash(F.col("row.doc_id"), F.col("size"), seed)
+    rows = keyed.where("size > 0").withColumn("at", at).join(cuts, F.col("row.source").eqNullSafe(F.col("s_"))).withColumn(
+        "block_", F.pmod("at", "n_blocks"))
+    taken = rows.join(F.broadcast(owned) if few else owned, F.col("row.source").eqNullSafe(F.col("s")) & (F.col("block_") == F.col("b")))
+    whole = taken.where("whole").select("row", "size", F.explode(_draws(F.col("uses"), seed, F.lit(0))).alias("d"))
     # fully equal rows share their draws: one of them stands for all
-    once = keyed.join(repeated, keys, "left_semi").dropDuplicates(keys)
-    rows = keyed.join(got.join(repeated, keys, "left_anti"), keys).unionByName(
-        once.join(got.join(repeated, keys, "left_semi"), keys))
+    once = taken.where("not whole").select("row", "size", *keys).dropDuplicates(keys)
+    pieces = whole.unionByName(once.join(inner, keys).select("row", "size", "d"))
     chunks = F.split(F.col("row.text"), f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
     lead = F.when(F.col("row.text").rlike(f"^[{SPACE_CLASS}]"), 1).otherwise(0)
     cut = F.array_join(F.slice(chunks, F.lit(1), (F.col("d.words") + lead).cast("int")), "")
     text = F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col("row.text"))
-    columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c)
-               for c in docs.columns if c not in ("shard", "place")]
-    return rows.select(*columns, F.col("d.shard").alias("shard"), F.col("d.place").alias("place"))
-
-
-def mixed_documents(docs: DataFrame, depth: int = DEPTH, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as rows of ``documents``, shuffled inside each shard; n_chars
-    follows the text."""
-    rows = mix(docs, depth, block_words, seed).withColumn("n_chars", F.length("text").cast("long"))
-    order = rows.repartition(F.col("shard"), F.pmod(F.col("place"), F.lit(SPREAD))).sortWithinPartitions("shard", "place")
-    return order.select(*[c for c in docs.columns if c not in ("shard", "place")])
+    return pieces.select("row", text.alias("text"), "size", F.col("d.shard").alias("shard"), F.col("d.place").alias("place"))
+
+
+def mixed_documents(docs: DataFrame, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as rows of ``docs``, shuffled inside each shard; n_chars (long)
+    follows the text.  Only the last block of a source is cut.  A task writes a
+    range of a shard of about ``TASK_WORDS`` words."""
+    rows = _mixed(docs, shard_words, block_words, seed)
+    spread = max(1, shard_words // TASK_WORDS)
+    order = rows.repartition(F.col("shard"), F.pmod(F.col("place"), F.lit(spread))).sortWithinPartitions("shard", "place")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return order.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -185,7 +185,27 @@ scored AS (
 SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 50"""
 
+NEAR_SETS = rf"""WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT d, doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM docs),
+sized AS (SELECT d, doc_id, len(s) AS n FROM sets),
+shingles AS (SELECT d, len(s) AS n, unnest(s) AS s FROM sets),
+links AS (
+  SELECT x, y FROM (
+    SELECT a.d AS x, b.d AS y, a.n AS nx, b.n AS ny, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.d < b.d AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL)
+  WHERE 100 * c >= 80 * (nx + ny - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT d, d AS r FROM sized
+  UNION SELECT reach.d, y FROM reach JOIN both_ways ON r = x)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(t.doc_id) AS component_id, s.doc_id IS NOT DISTINCT FROM min(t.doc_id) AS kept
+FROM reach JOIN sized s USING (d) JOIN sized t ON t.d = r GROUP BY s.d, s.doc_id, s.n"""
+
 ORACLE = {
+    "op13_setsketch": NEAR_SETS,
     "op11_phrases": PHRASES,
     "op12_search": SEARCH,
     "op1_quality_rules": QUALITY,

@@ -1,13 +1,12 @@
 """Phrase collocations by the stripes pattern.
 
 A stripe belongs to a prefix (no word up to four) and counts the words that follow
-it inside a piece of text; what follows without being counted by name (the end of
-the piece, or a word that cannot make a frequent phrase) is counted under the empty
-word.  Stripes of one prefix are merged elementwise.  One merged structure gives
+it inside a piece of text.  Stripes of one prefix are merged elementwise.  One merged
+structure gives
 
 * extensions: the count of prefix + word for every word of the stripe;
-* prefix totals: the sum of a stripe is the count of its prefix, and that of the
-  empty prefix the number of words;
+* prefix totals: the sum of the stripe of the empty prefix is the number of words, and
+  the count of any prefix is its last word's entry in the stripe one word shorter;
 * subsumption maxima: the largest extension of a phrase to the right in its own
   stripe, to the left over the stripes whose entry ends with it.
 
@@ -15,10 +14,11 @@ A longer phrase is never more frequent than a part of it, so a candidate that so
 longer candidate subsumes is subsumed by one that is a single word longer.
 
 Passes.  First the stripes of the empty prefix; then those of one word, of frequent
-words only; then those of two to four words, along frequent word pairs only.  What is
-frequent is tested by a bit table of phrase hashes.  A false hit only costs work, as
-counts are of the words themselves; the table has 16 bits per frequent phrase, at
-most ``FILTER_BITS`` (32 MB); beyond it the test passes more, the results stay exact.
+words only; those of two words, along frequent word pairs; and those of three and four
+words, along frequent triples.  What is frequent is tested by a bit table of phrase
+hashes.  A false hit only costs work, as counts are of the words themselves; the table
+has 16 bits per frequent phrase, at most ``FILTER_BITS`` (32 MB); beyond it the test
+passes more, the results stay exact.
 
 Skew.  A stripe is cut into slices by the hash of the next word: of a word that
 occurs f times about f / ``SLICE``, so that a frequent prefix is merged by many
@@ -55,8 +55,8 @@ FILTER_BITS = 1 << 28
 MERGE = 3_000_000  # stripe entries merged at a time
 
 TABLE = byte_table(b" \t", b".,;:!?" + byte_ranges((0x0A, 0x0D)))
-STRIPE = "lang string, prefix string, slice int, words array<string>, counts array<long>"
-ENTRIES = pa.list_(pa.string()), pa.list_(pa.int64())
+# a stripe on its way: words joined by a space, which no word has, and 32-bit counts
+STRIPE = "lang string, prefix string, slice int, words string, counts binary"
 
 
 def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
@@ -110,18 +110,25 @@ def frequent(entries: DataFrame, words: int) -> Frequent:
 
 
 def _rows(lang: str, prefixes: pa.Array, prefix: np.ndarray, slices: np.ndarray, words: pa.Array, counts: np.ndarray):
-    """Stripe rows from entries ordered by (prefix, slice)."""
-    if not len(prefix):
-        return None
+    """Stripe rows from entries (one at least) ordered by (prefix, slice)."""
     edge = np.r_[True, (prefix[1:] != prefix[:-1]) | (slices[1:] != slices[:-1])]
     at = np.flatnonzero(edge)
-    offsets = pa.array(np.append(at, len(prefix)).astype(np.int32))
+    ends = np.append(at, len(prefix)).astype(np.int32)
+    data = counts.astype("<u4").tobytes()
     return pa.RecordBatch.from_arrays([
         pa.array([lang] * len(at), pa.string()), prefixes.take(pa.array(prefix[at])), pa.array(slices[at].astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))],
+        pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " "),
+        pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(4 * ends), pa.py_buffer(data)])],
         ["lang", "prefix", "slice", "words", "counts"])
 
 
+def _entries(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, counts, entries per row) of stripe rows."""
+    words = pc.split_pattern(table["words"].combine_chunks(), " ")
+    data = b"".join(table["counts"].to_pylist())
+    return words.flatten(), np.frombuffer(data, "<u4").astype(np.int64), pc.list_value_length(words).to_numpy()
+
+
 def _chunks(batches: Iterable[pa.RecordBatch]):
     """Per chunk and language: (lang, distinct words, word of every token, piece of every token)."""
     for table in gathered(batches, 1, CHUNK):
@@ -167,7 +174,7 @@ def _growth(known: Frequent, size: int, lengths: tuple[int, ...], hot: dict[str,
                 here = at.is_valid().to_numpy(zero_copy_only=False)
                 wide[at.drop_null().to_numpy()] = np.array(list(hot[lang].values()))[here]
             part = (hashes >> np.uint64(8)).astype(np.int64) & 0x7FFFFFFF
-            every, more = pa.concat_arrays([words, pa.array([""])]), len(words)
+            more = len(words)
             for m in lengths:
                 ok = reduce(np.logical_and, (good[k:k + n] for k in range(m - size + 1)))
                 at = np.flatnonzero(ok)
@@ -179,15 +186,15 @@ def _growth(known: Frequent, size: int, lengths: tuple[int, ...], hot: dict[str,
                     pairs, number = np.unique(number * more + token[at + k], return_inverse=True)
                     names = pc.binary_join_element_wise(names.take(pa.array(pairs // more)), words.take(pa.array(pairs % more)), " ")
                 follows = good[at + m - size + 1] & (piece[np.minimum(at + m, n - 1)] == piece[at])
-                word = np.where(follows, token[np.minimum(at + m, n - 1)], more)
-                keys, counts = np.unique(number * (more + 1) + word, return_counts=True)
-                prefix, word = keys // (more + 1), keys % (more + 1)
+                keys, counts = np.unique(number[follows] * more + token[at[follows] + m], return_counts=True)
+                prefix, word = keys // more, keys % more
                 slices = np.zeros(len(keys), np.int64)
                 if m == 1:
-                    slices = np.where(word < more, part[np.minimum(word, more - 1)] % wide[prefix], 0)
+                    slices = part[word] % wide[prefix]
                     order = np.lexsort((slices, prefix))
                     prefix, word, counts, slices = prefix[order], word[order], counts[order], slices[order]
-                yield _rows(lang, names, prefix, slices, every.take(pa.array(word)), counts)
+                if len(keys):
+                    yield _rows(lang, names, prefix, slices, words.take(pa.array(word)), counts)
 
     return run
 
@@ -202,22 +209,18 @@ def _merge(least: int):
         edge = np.ones(len(table), bool)
         if len(table) > 1:
             edge[1:] = reduce(np.logical_or, (pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) for k in keys))
-        words, counts = (table[c].combine_chunks() for c in ("words", "counts"))
-        owner = np.repeat(np.cumsum(edge) - 1, pc.list_value_length(words).to_numpy())
-        coded = words.flatten().dictionary_encode()
+        words, counts, sizes = _entries(table)
+        owner = np.repeat(np.cumsum(edge) - 1, sizes)
+        coded = words.dictionary_encode()
         names, width = coded.dictionary, max(1, len(coded.dictionary))
         entry, place = np.unique(owner * width + coded.indices.to_numpy(), return_inverse=True)
         total = np.zeros(len(entry), np.int64)
-        np.add.at(total, place, counts.flatten().to_numpy())
+        np.add.at(total, place, counts)
         owner, word = entry // width, entry % width
         groups = int(edge.sum())
         sums = np.zeros(groups, np.int64)
         np.add.at(sums, owner, total)
-        named = np.ones(width, bool)
-        blank = pc.index(names, "").as_py()
-        if blank >= 0:
-            named[blank] = False
-        keep = (total >= least) & named[word]
+        keep = total >= least
         offsets = pa.array(np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=groups))].astype(np.int32))
         first = pa.array(np.flatnonzero(edge))
         return pa.RecordBatch.from_arrays([
@@ -229,7 +232,7 @@ def _merge(least: int):
         held, size = [], 0
         for batch in batches:
             held.append(batch)
-            size += pc.sum(pc.list_value_length(batch.column(3))).as_py() or 0
+            size += (pc.sum(pc.binary_length(batch.column(4))).as_py() or 0) // 4
             if size >= MERGE:
                 table = pa.Table.from_batches(held)
                 last = len(table) - 1  # the last key may go on
@@ -238,7 +241,7 @@ def _merge(least: int):
                 if begin:
                     yield merged(table.slice(0, begin))
                     held = table.slice(begin).combine_chunks().to_batches()
-                    size = pc.sum(pc.list_value_length(table["words"].slice(begin))).as_py() or 0
+                    size = (pc.sum(pc.binary_length(table["counts"].slice(begin))).as_py() or 0) // 4
                 else:  # one stripe so far: shorten it
                     held, size = _shortened(table), 0
         if held:
@@ -249,13 +252,13 @@ def _merge(least: int):
 
 def _shortened(table: pa.Table) -> list[pa.RecordBatch]:
     """The rows of one stripe as a single row."""
-    coded = table["words"].combine_chunks().flatten().dictionary_encode()
+    words, some, _ = _entries(table.combine_chunks())
+    coded = words.dictionary_encode()
     counts = np.zeros(len(coded.dictionary), np.int64)
-    np.add.at(counts, coded.indices.to_numpy(), table["counts"].combine_chunks().flatten().to_numpy())
-    offsets = pa.array([0, len(counts)], pa.int32())
-    return [pa.RecordBatch.from_arrays(
-        [table[c].combine_chunks()[:1] for c in ("lang", "prefix", "slice")]
-        + [pa.ListArray.from_arrays(offsets, coded.dictionary), pa.ListArray.from_arrays(offsets, pa.array(counts))], table.schema.names)]
+    np.add.at(counts, coded.indices.to_numpy(), some)
+    lang, prefix, slice_ = (table[c][0].as_py() for c in ("lang", "prefix", "slice"))
+    none = np.zeros(len(counts), np.int64)
+    return [_rows(lang, pa.array([prefix]), none, none + slice_, coded.dictionary, counts)]
 
 
 def merged_stripes(stripes: DataFrame, least: int, name: str) -> DataFrame:
@@ -285,10 +288,10 @@ def stripes(docs: DataFrame, least: int = LEAST_COUNT) -> dict[int, DataFrame]:
     for r in words.where(F.col("count") > each).collect():  # HOT_WORDS rows at most
         hot.setdefault(r["lang"], {})[r["word"]] = -(-r["count"] // each)
     one = merged_stripes(texts.mapInArrow(_growth(frequent(words, 1), 1, (1,), hot), STRIPE), least, "stripes-1")
-    pairs = frequent(entries(one), 2)
-    longer = tuple(range(2, MOST_WORDS))
-    more = merged_stripes(texts.mapInArrow(_growth(pairs, 2, longer, {}), STRIPE), least, "stripes-2")
-    return {0: root, 1: one} | {k: more.where(F.size(F.split("prefix", " ")) == k) for k in longer}
+    two = merged_stripes(texts.mapInArrow(_growth(frequent(entries(one), 2), 2, (2,), {}), STRIPE), least, "stripes-2")
+    longer = tuple(range(3, MOST_WORDS))
+    more = merged_stripes(texts.mapInArrow(_growth(frequent(entries(two), 3), 3, longer, {}), STRIPE), least, "stripes-3")
+    return {0: root, 1: one, 2: two} | {k: more.where(F.size(F.split("prefix", " ")) == k) for k in longer}
 
 
 def _part(words: Column, start, length) -> Column:
@@ -299,8 +302,6 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP) -> D
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     found = stripes(docs, least)
     totals = found[0].groupBy("lang").agg(F.sum("total").alias("n"))
-    lefts = reduce(DataFrame.unionByName, [found[k].select("lang", "prefix", "total") for k in range(1, MOST_WORDS)])
-    lefts = lefts.groupBy("lang", "prefix").agg(F.sum("total").alias("l"))  # slices of one prefix
     singles = entries(found[0]).select("lang", F.col("word").alias("phrase"), F.col("count").alias("a"))
     longer = materialize(reduce(DataFrame.unionByName, [entries(found[k]) for k in range(1, MOST_WORDS)]).select(
         "lang", "prefix", F.concat_ws(" ", "prefix", "word").alias("phrase"), F.col("count").alias("a")), "phrases")
@@ -316,10 +317,11 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP) -> D
     size = F.size(words)
     cuts = own.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select(
         "*", _part(words, F.lit(1), F.col("k")).alias("left"), _part(words, F.col("k") + 1, size - F.col("k")).alias("right"))
-    rights = singles.unionByName(longer.select("lang", "phrase", "a")).select(
-        F.col("lang").alias("lang_r"), F.col("phrase").alias("phrase_r"), F.col("a").alias("r"))
-    both = cuts.join(rights, (F.col("lang") == F.col("lang_r")) & (F.col("right") == F.col("phrase_r"))).join(
-        lefts.select(F.col("lang").alias("lang_l"), "prefix", "l"), (F.col("lang") == F.col("lang_l")) & (F.col("left") == F.col("prefix")))
+    known = singles.unionByName(longer.select("lang", "phrase", "a"))
+    both = cuts
+    for side, name in (("left", "l"), ("right", "r")):
+        own = known.select(F.col("lang").alias("lang_"), F.col("phrase").alias("phrase_"), F.col("a").alias(name))
+        both = both.join(own, (F.col("lang") == F.col("lang_")) & (F.col(side) == F.col("phrase_"))).drop("lang_", "phrase_")
     both = both.join(totals.select(F.col("lang").alias("lang_n"), "n"), F.col("lang") == F.col("lang_n"))
     wide = "decimal(19,0)"
     score = F.expr(f"(cast(1000 * a as {wide}) * cast(n as {wide})) div (cast(l as {wide}) * cast(r as {wide}))")

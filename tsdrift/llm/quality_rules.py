@@ -7,8 +7,11 @@ ledger without reading a text again.
 
 Defined cases: a null or blank text has no words and zero in every measurement
 (it fails ``few_words``); repeated rows give repeated ledger rows; an empty
-table gives an empty ledger.  The measurements are linear in the text except
-for one sort of the window hashes, which only texts that repeat a window pay.
+table gives an empty ledger; a value equal to a limit passes, as every rule asks
+for more or less.  All columns of the input stay, but one named like a measurement
+or ``fail_bits`` is replaced.  Very long texts are measured whole: linear in the
+text except for one sort of the window hashes, which only texts that repeat a
+window pay.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsdrift.llm.common import SPACE_CLASS, words
+from tsdrift.llm.common import SPACE_CLASS, unused, words
 
 WINDOW = 5  # words of a window for repeated passages
 
@@ -76,38 +79,40 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = docs.columns
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
              "n_upper", "n_letters", "n_exclaim")
-    keep = [c for c in keep if c not in names and not c.startswith("__")]
+    keep = [f"`{c}`" for c in keep if c.lower() not in names]
+    n_word, n_line, n_symbol, n_bang, n_up, n_letter, n_hash, n_sorted, n_at = unused(
+        docs.columns, "__words", "__lines", "__symbols", "__exclaim", "__upper", "__letters", "__hash", "__sorted", "__at")
 
     def left(pattern: str) -> Column:
         return F.length(F.regexp_replace(t, pattern, ""))
 
     one = docs.select(
         *keep,
-        words(F.col(text)).alias("__words"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")).alias("__lines"),
-        left(r"[^#*$%&|<>]+").alias("__symbols"),
-        left(r"[^!]+").alias("__exclaim"),
-        left(r"\P{Lu}+").alias("__upper"),
-        left(r"\P{L}+").alias("__letters"),
+        words(F.col(text)).alias(n_word),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")).alias(n_line),
+        left(r"[^#*$%&|<>]+").alias(n_symbol),
+        left(r"[^!]+").alias(n_bang),
+        left(r"\P{Lu}+").alias(n_up),
+        left(r"\P{L}+").alias(n_letter),
     )
-    w = F.col("__words")
+    w = F.col(n_word)
     two = one.select(
         "*",
         F.when(
             F.size(w) >= WINDOW,
             F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW),
                         lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
-        ).otherwise(F.array().cast("array<bigint>")).alias("__hash"),
+        ).otherwise(F.array().cast("array<bigint>")).alias(n_hash),
     )
-    h = F.col("__hash")
+    h = F.col(n_hash)
     repeats = F.size(F.array_distinct(h)) < F.size(h)
     none = F.array().cast("array<struct<hash:bigint,at:int>>")
     three = two.select(
-        *[c for c in two.columns if c != "__hash"],
+        *keep, n_word, n_line, n_symbol, n_bang, n_up, n_letter,
         F.when(repeats, F.sort_array(F.transform(
-            h, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))).otherwise(none).alias("__sorted"),
+            h, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))).otherwise(none).alias(n_sorted),
     )
-    s = F.col("__sorted")
+    s = F.col(n_sorted)
 
     def twin(e: Column, k: Column) -> Column:
         # get() with an index of -1 is null, as past the end
@@ -115,18 +120,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.get(s, k + 1)["hash"] == e["hash"], F.lit(False))
 
     four = three.select(
-        *[c for c in three.columns if c != "__sorted"],
-        F.sort_array(F.transform(F.filter(s, twin), lambda e: e["at"])).alias("__at"),
+        *keep, n_word, n_line, n_symbol, n_bang, n_up, n_letter,
+        F.sort_array(F.transform(F.filter(s, twin), lambda e: e["at"])).alias(n_at),
     )
-    at = F.col("__at")
+    at = F.col(n_at)
     covered = F.aggregate(
         F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1), x + WINDOW) - x)),
         F.lit(0), lambda a, x: a + x)
-    lines = F.col("__lines")
+    lines = F.col(n_line)
     values = (
-        F.size(w), F.length(F.array_join(w, "")), F.col("__symbols"), F.size(lines),
+        F.size(w), F.length(F.array_join(w, "")), F.col(n_symbol), F.size(lines),
         F.size(lines) - F.size(F.array_distinct(lines)), covered,
-        F.col("__upper"), F.col("__letters"), F.col("__exclaim"),
+        F.col(n_up), F.col(n_letter), F.col(n_bang),
     )
     return four.select(*keep, *[v.cast("long").alias(n) for n, v in zip(names, values, strict=True)])
 

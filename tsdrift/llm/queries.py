@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tsdrift.llm import (
-    hpy_lm, html_main, iblt, langid, lexical, line_dedup, mixing, packing, phrases, preference, quality_rules, simhash)
+    hpy_lm, html_main, iblt, langid, lexical, line_dedup, mixing, packing, phrases, preference, quality_rules, setsketch, simhash)
 from tsdrift.llm.common import fold, table
 from tsdrift.llm.oracle import ORACLE  # noqa: F401  (read by the entry module)
 from tsdrift.session import materialize
@@ -82,6 +82,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "quality_ablation": quality_ablation,
@@ -97,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op11_phrases": op11_phrases,
     "op12_search": op12_search,
+    "op13_setsketch": op13_setsketch,
 }

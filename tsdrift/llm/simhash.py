@@ -27,8 +27,11 @@ linked to each other, so a large group of near copies costs about its size
 times the points outside the group.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked
-like any other; fewer words than a shingle are one shingle; repeated rows share
-a fingerprint; null ids never name a component unless all its ids are null.
+like any other; fewer words than a shingle are one shingle; a bit set in exactly
+half of the hashes is 0; repeated rows share a fingerprint; null ids never name a
+component unless all its ids are null; an empty table gives no rows; very long
+texts are hashed whole.  All columns of the input stay, whatever their names, but
+one named ``component_id`` is replaced.
 """
 
 from __future__ import annotations
@@ -239,13 +242,21 @@ def links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POI
 def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``prints`` (doc_id, fp and any other columns; a written table) with
     component_id: the smallest doc_id reachable over links."""
+    rows, least = _grouped(prints, radius)
+    keep = [F.col("row").getField(c).alias(c) for c in prints.columns if c.lower() != "component_id"]
+    return rows.select(*keep, least.alias("component_id"))
+
+
+def _grouped(prints: DataFrame, radius: int) -> tuple[DataFrame, Column]:
+    """The rows of ``prints`` as ``row`` with their ``component``, and the column of
+    its smallest doc_id."""
     points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     groups = components(materialize(links(points.select("fp"), radius), "fingerprint-links"))
     named = points.join(groups, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
     ids = named.join(names, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id", "component")
-    return prints.join(ids, F.col("fp") == F.col("f")).drop("f")
+    return prints.select(F.struct("*").alias("row")).join(ids, F.col("row.fp") == F.col("f")), F.col("component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -259,7 +270,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS
     keyed = keyed_rows(docs)
     light = materialize(keyed.select(
         "key_a", "key_b", F.col("row.doc_id").alias("doc_id"), fingerprints(F.col("row.text"), shingle).alias("fp")), "near-keys")
-    best = near_duplicates(light, radius).groupBy("component").agg(F.min(F.struct(
+    best = _grouped(light, radius)[0].select("component", "row.*").groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key_a"), F.col("key_b"))).alias("best"))
     best = best.select(F.col("best.key_a").alias("key_a"), F.col("best.key_b").alias("key_b"))
     copies = light.groupBy("key_a", "key_b").agg(F.count("*").alias("copies"))
