@@ -1,4 +1,10 @@
-"""Connected components of an edge table by alternating star contractions."""
+"""Connected components of an edge table by alternating star contractions.
+
+Defined cases: nodes may be of any type that can be ordered and hashed; repeated
+edges, both directions of an edge and edges of a node to itself change nothing; an
+edge with a null end is left out; an empty table gives no rows; columns other than
+the two ends are never looked at.
+"""
 
 from __future__ import annotations
 

@@ -36,7 +36,9 @@ which add them up per document.  Draws are seeded by shard and round.
 
 Words are known by a 64-bit hash.  Defined cases: a null or blank text is its
 end token; repeated rows count each; without any training text every token is
-unknown.
+unknown; an empty table gives no rows; a very long text is a block of its own.  Ids
+are whole numbers (other types are cast to long; text that is no number raises).
+Columns other than doc_id, text and those ``held_out`` uses are never looked at.
 """
 
 from __future__ import annotations

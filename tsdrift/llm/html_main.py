@@ -15,7 +15,9 @@ White space in a block becomes one space, blocks are trimmed and joined by
 Defined cases: a null or empty page has the empty text; malformed markup is
 read as far as it goes (an unclosed element ends with its parent, an unclosed
 comment or tag takes the rest); a null or unparsable url belongs to no host and
-loses nothing to templates; repeated rows get equal results.
+loses nothing to templates; repeated rows and ids get equal results; an empty table
+gives no rows; a very long page is parsed whole.  Columns other than page_id, url
+and html are never looked at.
 """
 
 from __future__ import annotations

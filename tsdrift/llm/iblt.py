@@ -17,7 +17,11 @@ The smallest sketch, in base64, is the fingerprint.  All documents of a batch
 are sketched and peeled together in arrays.
 
 Defined cases: a null text is the empty one; two texts without words have
-likeness 1; equal texts have equal fingerprints.
+likeness 1; equal texts have equal fingerprints.  Ids are whole numbers, as they
+must be ascending (other types are cast to long; text that is no number raises);
+repeated ids follow each other in the order of their texts, a null id comes
+first.  An empty table gives no rows, a very long text is a batch of its own, and
+columns other than doc_id and text are never looked at.
 """
 
 from __future__ import annotations

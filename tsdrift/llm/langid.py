@@ -18,7 +18,10 @@ the prototypes (one vector per language, the label set) reach the driver.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows with a null language or without letters are not learned from; without any
-prototype everything is ``und``.
+prototype everything is ``und``.  Of languages with equal cosines the first by
+name is taken; repeated rows get equal predictions; an empty table gives no rows;
+a very long text is read whole, as a batch of its own.  All columns of the input
+but text stay, one named ``lang_pred`` or ``score`` is replaced.
 """
 
 from __future__ import annotations

@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsdrift.llm.bittable import MAX_BITS, BitTable, bit_table
 from tsdrift.llm.bytewords import byte_ranges, byte_table, gathered, split
 from tsdrift.session import materialize
 
@@ -51,7 +52,7 @@ TOP = 2000
 CHUNK = 12 << 20  # bytes of text combined in a task before the shuffle
 SLICE = 1 << 20  # occurrences of a prefix per slice of its stripe
 HOT_WORDS = 1 << 16  # a word below one in so many occurrences is not sliced
-FILTER_BITS = 1 << 28
+FILTER_BITS = MAX_BITS
 MERGE = 3_000_000  # stripe entries merged at a time
 
 TABLE = byte_table(b" \t", b".,;:!?" + byte_ranges((0x0A, 0x0D)))
@@ -74,23 +75,10 @@ def phrase_hash(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class Frequent:
-    """A bit table of hashes; a hash that was put in is always found."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(64 * len(bits) - 1)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
-def frequent(entries: DataFrame, words: int) -> Frequent:
+def frequent(entries: DataFrame, words: int) -> BitTable:
     """Bit table of the phrases (lang, prefix, word) of ``words`` words."""
-    size = 1 << max(16, int(np.ceil(np.log2(16 * max(1, entries.count())))))
-    size = min(size, FILTER_BITS)
 
-    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
                 own = batch.filter(pc.equal(batch.column(0), lang))
@@ -98,15 +86,9 @@ def frequent(entries: DataFrame, words: int) -> Frequent:
                 if words > 1:
                     before = pc.split_pattern(own.column(1), " ")
                     parts = [word_hashes(pc.list_element(before, k), lang) for k in range(words - 1)] + parts
-                at = phrase_hash(parts) & np.uint64(size - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(parts).view(np.int64))], ["hash"])
 
-    got = entries.select("lang", "prefix", "word").mapInArrow(places, "at long").groupBy(
-        F.shiftright("at", 6).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[got["cell"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return Frequent(bits)
+    return bit_table(entries.select("lang", "prefix", "word").mapInArrow(hashes, "hash long"), "hash", FILTER_BITS)
 
 
 def _rows(lang: str, prefixes: pa.Array, prefix: np.ndarray, slices: np.ndarray, words: pa.Array, counts: np.ndarray):
@@ -154,7 +136,7 @@ def _root(slices: int):
     return run
 
 
-def _growth(known: Frequent, size: int, lengths: tuple[int, ...], hot: dict[str, dict[str, int]]):
+def _growth(known: BitTable, size: int, lengths: tuple[int, ...], hot: dict[str, dict[str, int]]):
     """Stripes of the prefixes of ``lengths`` words all of whose runs of ``size``
     words are frequent; a next word counts by name if the run it ends is, too."""
 

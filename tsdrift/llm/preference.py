@@ -12,7 +12,10 @@ Defined cases: turns are ordered by number, null first, then role and text; an
 exactly repeated row of a conversation counts once; a null text is empty; a null
 role is ``unknown`` and never trained on; a pair without a rejected side has an
 empty rejected completion; two equal sides have the whole conversation as
-prompt and empty completions; no turn at all gives empty strings.
+prompt and empty completions; no turn at all gives empty strings; a null
+conversation id is a conversation without a partner; an empty table gives no pairs;
+very long turns are rendered whole.  Columns other than conv_id, turn, role and text
+are never looked at.
 """
 
 from __future__ import annotations

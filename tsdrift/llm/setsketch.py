@@ -51,6 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsdrift.llm.bittable import BitTable, bit_table
 from tsdrift.llm.bytewords import byte_table, gathered, split
 from tsdrift.llm.common import SPACE, content_key
 from tsdrift.llm.components import components
@@ -244,13 +245,15 @@ def _spanning(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and its shingles."""
+    """The rows with the shingles of their text (second column) instead of it."""
     for table in gathered(batches, 1, CHUNK):
         table = table.combine_chunks()
         owner, shingles = shingle_sets(pa.concat_arrays(table["text"].chunks))
         ends = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(table)))].astype(np.int32))
+        names = [c for c in table.column_names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(table["id"].chunks), pa.ListArray.from_arrays(ends, pa.array(shingles.view(np.int64)))], ["id", "shingles"])
+            [*(pa.concat_arrays(table[c].chunks) for c in names), pa.ListArray.from_arrays(ends, pa.array(shingles.view(np.int64)))],
+            [*names, "shingles"])
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,26 +287,102 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _shared(limit: int):
+    """Sorted band values (bucket, id) to the members of those that more than one has:
+    bucket, id, centre (the smallest id), and whether there are more than ``limit``."""
+
+    def rows(bucket: int, ids: list[np.ndarray], large: bool, centre: int) -> pa.RecordBatch:
+        every = np.concatenate(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(every), bucket)), pa.array(every), pa.array(np.full(len(every), centre)),
+             pa.array(np.full(len(every), large))], ["bucket", "id", "centre", "large"])
+
+    def inside(bucket, ids, first, n) -> Iterator[pa.RecordBatch]:
+        """Values that begin and end in a batch, all at once."""
+        for many, large in (((n > 1) & (n <= limit), False), (n > limit, True)):
+            if many.any():
+                sizes = n[many]
+                at = np.repeat(first[many] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[at]), pa.array(ids[at]), pa.array(np.repeat(ids[first[many]], sizes)),
+                     pa.array(np.full(len(at), large))], ["bucket", "id", "centre", "large"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, centre, large = None, [], 0, 0, False  # the value that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            first, n = edges[:-1], np.diff(edges)
+            goes_on = now is not None and bucket[0] == now
+            if goes_on:
+                held.append(ids[:n[0]])
+                size += int(n[0])
+            if now is not None and (len(first) > 1 or not goes_on):
+                if size and (size > 1 or large):
+                    yield rows(now, held, large or size > limit, centre)
+                now = None
+            if now is None:
+                yield from inside(bucket, ids, first[int(goes_on):-1], n[int(goes_on):-1])
+                part = ids[first[-1]:]
+                now, held, size, centre, large = int(bucket[-1]), [part], len(part), int(part[0]), False
+            if size > limit or (large and size):  # no need to hold them any longer
+                yield rows(now, held, True, centre)
+                held, size, large = [], 0, True
+        if now is not None and size and (size > 1 or large):
+            yield rows(now, held, large, centre)
+
+    return run
+
+
+def _only(known: BitTable, columns: list[str]):
+    """Rows whose first column, a hash, may be known; the other columns of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(known.has(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays(some.columns[1:], columns)
+
+    return run
+
+
+def _registers_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n and registers of the sets that ``ids`` (id, a written table) names, and of
+    few others, found without shuffling those of all sets."""
+    known = bit_table(ids, F.xxhash64("id"))
+    return reps.select(F.xxhash64("id").alias("h"), "id", "n", "registers").mapInArrow(
+        _only(known, ["id", "n", "registers"]), "id long, n long, registers binary")
+
+
 def candidates(reps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b) that connect all plausible pairs of ``reps`` (id, n, registers; a
     written table) sharing a band value."""
     values = reps.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
-    shared = values.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1")
-    members = materialize(values.join(shared, "bucket").select("bucket", "id", "centre", "members"), "band-members")
-    star = members.where("id <> centre").groupBy("id", "centre").agg(F.max("members").alias("members"))
-    own = reps.select("id", "n", "registers")
-    both = star.where(F.col("members") <= bucket).join(own.toDF("id", "n_a", "registers_a"), "id").join(
-        own.toDF("centre", "n_b", "registers_b"), "centre")
+    members = materialize(values.select("bucket", "id").repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(
+        _shared(bucket), "bucket long, id long, centre long, large boolean"), "band-members")
+    star = members.where("id <> centre").groupBy("id", "centre").agg(F.max("large").alias("large"))
+    sizes = reps.select("id", "n")
+    near = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    sized = materialize(star.where("not large").join(sizes.toDF("id", "n_a"), "id").join(sizes.toDF("centre", "n_b"), "centre").select(
+        "id", "centre", near.alias("near")), "star-sizes")
+    pairs = sized.where("near")
+    needed = materialize(pairs.select(F.explode(F.array("id", "centre")).alias("id")).distinct(), "star-sets")
+    own = materialize(_registers_of(reps, needed), "star-registers")
+    both = pairs.join(own.toDF("id", "n_a", "registers_a"), "id").join(own.toDF("centre", "n_b", "registers_b"), "centre")
     tested = materialize(both.select(F.col("id").alias("a"), F.col("centre").alias("b"), "n_a", "registers_a", "n_b", "registers_b")
                          .mapInArrow(_tested, "a long, b long, ok boolean"), "stars")
     # band values with a member that its star does not connect, and two others
-    some = members.where((F.col("members") > 2) & (F.col("members") <= bucket))
-    ok = tested.select(F.col("a").alias("id"), F.col("b").alias("centre"), "ok")
-    marked = some.join(ok, ["id", "centre"], "left").withColumn("main", F.coalesce("ok", F.lit(True)))
-    open_ = marked.groupBy("bucket").agg(F.min("main").alias("all_main")).where(~F.col("all_main")).select("bucket")
-    rest = marked.join(open_, "bucket").join(own, "id").select("bucket", "id", "main", "n", "registers")
-    spanning = rest.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_spanning, "a long, b long")
-    large = star.where(F.col("members") > bucket).select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    linked = tested.where("ok").select(F.col("a").alias("id"), F.col("b").alias("centre"), F.lit(True).alias("ok"))
+    marked = members.where("not large").join(linked, ["id", "centre"], "left").withColumn(
+        "main", F.coalesce("ok", F.col("id") == F.col("centre")))
+    open_ = marked.groupBy("bucket").agg(F.count_if(~F.col("main")).alias("out"), F.count("*").alias("members")).where(
+        "out > 0 and members > 2").select("bucket")
+    rest = materialize(marked.join(open_, "bucket").select("bucket", "id", "main"), "open-values")
+    inner = _registers_of(reps, materialize(rest.select("id").distinct(), "open-sets"))
+    spanning = rest.join(inner, "id").select("bucket", "id", "main", "n", "registers").repartition("bucket").sortWithinPartitions(
+        "bucket", "id").mapInArrow(_spanning, "a long, b long")
+    large = star.where("large").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     return tested.where("ok").select("a", "b").unionByName(spanning).unionByName(large)
 
 
@@ -311,26 +390,32 @@ def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, unit: int = UNIT)
     """Exact links (a, b) that connect all similar sets inside the clusters that
     ``pairs`` make of ``reps`` (id, n, at: id and key of one text)."""
     clusters = components(materialize(pairs, "plausible"))
-    members = materialize(reps.join(clusters, F.col("id") == F.col("node")).select(
+    members = materialize(reps.select("id", "n", "at").join(clusters, F.col("id") == F.col("node")).select(
         "id", "n", F.col("component").alias("cluster"), F.col("at.doc_id").alias("of"), F.col("at.key_a").alias("a"), F.col("at.key_b").alias("b")),
         "cluster-members")
     before = F.expr("sum(n) over (partition by cluster order by n, id rows between unbounded preceding and 1 preceding)")
-    blocks = materialize(members.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / F.lit(unit))), "cluster-blocks")
+    blocks = members.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / F.lit(unit)))
+    counts = blocks.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"), F.min("id").alias("hub"))
+    placed = materialize(blocks.join(counts, "cluster").drop("n"), "cluster-blocks")
+    kind = dict(docs.dtypes)["doc_id"]
+    # the members' texts, found without shuffling the others
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *content_key("text"))
-    found = texts.join(members, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    some = texts.select("key_a", "doc_id", "text", "key_a", "key_b").mapInArrow(
+        _only(bit_table(placed, "a"), ["doc_id", "text", "key_a", "key_b"]), f"doc_id {kind}, text string, key_a long, key_b long")
+    found = some.join(placed, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("of")))
     # equal rows of one id fetch the set again: any of them will do
-    sets = materialize(found.select("id", "text").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles array<long>"), "cluster-sets")
-    counts = blocks.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"), F.min("id").alias("hub"))
-    placed = blocks.join(counts, "cluster").join(sets, "id").select("cluster", "block", "blocks", "hub", "id", "shingles")
-    single = placed.where("blocks = 1").select(
-        "cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "id", F.lit(True).alias("seed"), F.lit(False).alias("main"), "shingles")
-    hubs = counts.where("blocks > 1").join(sets, F.col("hub") == F.col("id")).select(F.col("cluster").alias("c"), F.col("shingles").alias("hub_set"))
+    sets = materialize(found.select("id", "text", "cluster", "block", "blocks", "hub").dropDuplicates(["id"]).mapInArrow(
+        _sets, "id long, cluster long, block long, blocks long, hub long, shingles array<long>"), "cluster-sets")
+    zero = F.lit(0).cast("long")
+    single = sets.where("blocks = 1").select(
+        "cluster", zero.alias("i"), zero.alias("j"), "id", F.lit(True).alias("seed"), F.lit(False).alias("main"), "shingles")
+    hubs = sets.where("blocks > 1 and id = hub").select(F.col("cluster").alias("c"), F.col("shingles").alias("hub_set"))
     common = F.size(F.array_intersect("shingles", "hub_set"))
     near = 100 * common >= PERCENT * (F.size("shingles") + F.size("hub_set") - common)
-    wide = materialize(placed.where("blocks > 1").join(hubs, F.col("cluster") == F.col("c")).select(
+    wide = materialize(sets.where("blocks > 1").join(hubs, F.col("cluster") == F.col("c")).select(
         "cluster", "block", "blocks", "hub", "id", near.alias("main"), "shingles"), "wide-clusters")
     by_hub = wide.where("main and id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    others = F.explode(F.sequence(zero, F.col("blocks") - 1))
     seeds = wide.where("not main").withColumn("j", others).select(
         "cluster", F.col("block").alias("i"), "j", "id", F.lit(True).alias("seed"), "main", "shingles")
     rows = wide.withColumn("i", others).select("cluster", "i", F.col("block").alias("j"), "id", F.lit(False).alias("seed"), "main", "shingles")
