@@ -72,7 +72,8 @@ def targets(sizes, weights=(5, 2, 1)):
 
 
 def boilerplate(rows, ratio, least):
-    """(host, line) pairs of rows (host, text)."""
+    """(host, line) pairs of rows (host, text); equal texts are one page."""
+    rows = set(rows)
     pages, count = Counter(h for h, _ in rows), Counter()
     for h, t in rows:
         count.update({(h, x.strip(SPACES)) for x in (t or "").split("\n") if words(x)})

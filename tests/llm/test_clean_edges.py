@@ -87,7 +87,7 @@ def test_very_long_texts(spark):
 
 def template_texts(pages, min_pages, ratio):
     """Main texts by counting recurring subtrees on parsed pages, all in one place."""
-    parsed = [(p, html_main.host_of(u), html_main.parse(h)) for p, u, h in pages]
+    parsed = [(p, html_main.host_of(u), [(t, [n.digest.digest() for n in around]) for t, around in html_main.parse(h)]) for p, u, h in pages]
     different = {(host, tuple(t for t, _ in blocks)): {s for _, around in blocks for s in around} for _, host, blocks in parsed if host}
     out = {}
     for page, host, blocks in parsed:

@@ -7,7 +7,7 @@ from tsdrift.llm import line_dedup as L
 def test_equals_brute_force(spark):
     docs = data.documents(spark)
     rows = data.rows()
-    bad = brute.boilerplate([(r[3], r[1]) for r in rows], 0.05, 5)
+    bad = brute.boilerplate([(r[3], r[1]) for r in rows], 0.01, 5)
     assert any("Subscribe" in line for _, line in bad)
     got = L.drop_boilerplate(docs).collect()
     assert len(got) == len(rows)
@@ -35,3 +35,19 @@ def test_empty_table_and_clashing_columns(spark):
     got = L.drop_boilerplate(docs)
     assert got.columns == [c for c in docs.columns if c != "dropped_lines"] + ["dropped_lines"]
     assert got.count() == docs.count()
+
+
+def test_a_source_of_hundreds_of_pages(spark):
+    own = [f"own words of page {i}" for i in range(600)]
+    rows = [(i, own[i] + ("\nSeen on seven pages" if i < 7 else "") + ("\nSeen on six" if 10 <= i < 16 else "")
+             + ("\nSeen on four" if 20 <= i < 24 else "") + "\nImprint", None, "a", 1) for i in range(600)]
+    rows += [(1000 + i, "A page of many copies\nwith lines of its own\nImprint", None, "a", 1) for i in range(300)]  # one page
+    rows += [(2000, None, None, "a", 0), (2001, "", None, "a", 0), (2002, "", None, "a", 0)]
+    got = {r["doc_id"]: r for r in L.drop_boilerplate(spark.createDataFrame(rows, data.SCHEMA).repartition(9)).collect()}
+    assert len(got) == len(rows)
+    assert got[3]["text"] == own[3] and got[3]["dropped_lines"] == 2  # 7 of 603 pages are more than 1 %
+    assert got[12]["text"] == own[12] + "\nSeen on six"  # 6 of 603 are not
+    assert got[21]["text"] == own[21] + "\nSeen on four"
+    assert got[1299]["text"] == "A page of many copies\nwith lines of its own" and got[2000]["text"] is None
+    bad = brute.boilerplate([(r[3], r[1]) for r in rows], L.RATIO, L.MIN_PAGES)
+    assert all(r["text"] == brute.drop_lines("a", next(x[1] for x in rows if x[0] == d), bad) for d, r in got.items())

@@ -55,7 +55,7 @@ def test_equals_brute_force(spark, least):
 def test_slices_chunks_and_a_small_bit_table_change_nothing(spark, monkeypatch):
     rows = data.rows(2)
     want = expected([(r[2], r[1]) for r in rows], 4)
-    for name, value in (("SLICE", 5), ("HOT_WORDS", 100000), ("CHUNK", 4000), ("MERGE", 50), ("FILTER_BITS", 128)):
+    for name, value in (("SLICE", 5), ("HOT_WORDS", 100000), ("BUCKET_WORDS", 100), ("CHUNK", 4000), ("MERGE", 50), ("FILTER_BITS", 128)):
         monkeypatch.setattr(P, name, value)
     found = P.stripes(data.documents(spark, 2).select("lang", "text").repartition(3), 4)
     assert found[1].groupBy("lang", "prefix").count().where("count > 1").count() > 0  # sliced

@@ -48,7 +48,7 @@ def test_quality_rules(stages):
 
 
 def test_line_dedup(stages):
-    bad = brute.boilerplate([(r[3], r[1]) for r in stages[1][2]], 0.05, 5)
+    bad = brute.boilerplate([(r[3], r[1]) for r in stages[1][2]], 0.01, 5)
     want = []
     for d, t, lang, s, _ in stages[1][2]:
         t = brute.drop_lines(s, t, bad)

@@ -3,15 +3,17 @@
 Pages are grouped by host.  A line (trimmed, with at least one word) is
 boilerplate of a host when it stands on at least ``min_pages`` pages of that
 host and on more than ``ratio`` of all its pages; every occurrence of it on
-that host is dropped.  A line is counted once per page.
+that host is dropped.  A line is counted once per page, and pages with equal text
+count once, so copies of a page do not make its lines boilerplate.
 
-Counting is map-side combined per (host, line hash), so a host with a third of
-all pages, or a line on all of them, costs each task one row.  What is joined
-back is one short array of line hashes per host.
+Counting is map-side combined, per (host, text hash) first and per (host, line
+hash) then, so a host with a third of all pages, a page of a thousand copies or a
+line on all pages costs each task one row.  What is joined back is one array of line
+hashes per host, fewer than (lines per page) / ratio.
 
 Defined cases: a null host is a host of its own; a null text stays null, an
-empty one empty, and both count as pages of their host; repeated rows count as
-pages of their own and get the same result; blank lines are kept; a line on
+empty one empty, and each counts as one page of its host; repeated rows are one
+page and get the same result; blank lines are kept; a line on
 exactly the ratio of the pages stays; an empty table gives an empty table; a very
 long text is split whole.  All columns of the input stay, whatever their names,
 but one named ``dropped_lines`` is replaced.
@@ -22,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsdrift.llm.common import SPACE, SPACE_CLASS, unused
+from tsdrift.llm.common import SPACE, SPACE_CLASS, content_key, unused
 from tsdrift.session import materialize
 
-RATIO = 0.05
+RATIO = 0.01
 MIN_PAGES = 5
 
 
@@ -36,9 +38,10 @@ def line_hash(line: Column) -> Column:
 
 
 def page_lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """One row per page with its host and the distinct hashes of its lines."""
+    """One row per host and different text with the distinct hashes of its lines."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
-    return docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(lines, line_hash)).alias("lines"))
+    pages = docs.select(F.col(host).alias("host"), *content_key(text), F.array_distinct(F.transform(lines, line_hash)).alias("lines"))
+    return pages.groupBy("host", "key_a", "key_b").agg(F.first("lines").alias("lines")).select("host", "lines")
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
@@ -60,8 +63,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """``docs`` with boilerplate lines taken out of ``text``, plus
     ``dropped_lines``.
 
-    A host has fewer boilerplate lines than (lines per page) / ratio, so their
-    hashes travel as one array per host.  That table is written first: the
+    That table of hashes per host is written first: the
     planner knows its size and broadcasts it only if that is below the
     session's limit; otherwise the host join shuffles, and its hot partitions
     are split at run time."""

@@ -93,14 +93,15 @@ joined AS (
 SELECT conv_id AS pair_id, prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask FROM joined"""
 
 LINE_DEDUP = r"""WITH pages AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+texts AS (SELECT DISTINCT source, text FROM documents),
 lines AS (
-  SELECT r, source, unnest(list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)),
+  SELECT source, unnest(list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)),
     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), lambda x: trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))))) AS line
-  FROM pages),
-totals AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
+  FROM texts),
+totals AS (SELECT source, count(*) AS n FROM texts GROUP BY source),
 bad AS (
   SELECT l.source, l.line FROM (SELECT source, line, count(*) AS c FROM lines GROUP BY ALL) l
-  JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE c >= 5 AND c > n * 0.05),
+  JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE c >= 5 AND c > n * 0.01),
 lists AS (SELECT source, list(line) AS ls FROM bad GROUP BY source),
 done AS (
   SELECT p.doc_id, p.source, p.text, string_split(p.text, chr(10)) AS a,

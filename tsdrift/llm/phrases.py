@@ -20,10 +20,12 @@ hashes.  A false hit only costs work, as counts are of the words themselves; the
 has 16 bits per frequent phrase, at most ``FILTER_BITS`` (32 MB); beyond it the test
 passes more, the results stay exact.
 
-Skew.  A stripe is cut into slices by the hash of the next word: of a word that
-occurs f times about f / ``SLICE``, so that a frequent prefix is merged by many
-tasks; the at most 65,536 words this concerns are sent to the tasks.  Tasks combine
-``CHUNK`` bytes of text before the shuffle, and merge sorted stripes as a stream.
+Work and skew.  Tasks combine ``CHUNK`` bytes of text; what they send is a bundle of
+stripes per bucket of prefixes, a bucket for about every ``BUCKET_WORDS`` words of the
+corpus.  A stripe is cut into slices by the hash of the next word: of a word that
+occurs f times about f / ``SLICE``, so that a frequent prefix is merged in many
+buckets; the at most 65,536 words this concerns are sent to the tasks.  A task merges
+one bucket at a time and holds its distinct entries.
 
 Defined cases: a null text is empty, a null language is ``und``; a text without words
 has no stripe; repeated rows count each; empty tables give no phrases; very long texts
@@ -53,11 +55,13 @@ CHUNK = 12 << 20  # bytes of text combined in a task before the shuffle
 SLICE = 1 << 20  # occurrences of a prefix per slice of its stripe
 HOT_WORDS = 1 << 16  # a word below one in so many occurrences is not sliced
 FILTER_BITS = MAX_BITS
-MERGE = 3_000_000  # stripe entries merged at a time
+BUCKET_WORDS = 1 << 21
+MERGE = 3_000_000  # stripe entries gathered before they are merged
 
 TABLE = byte_table(b" \t", b".,;:!?" + byte_ranges((0x0A, 0x0D)))
-# a stripe on its way: words joined by a space, which no word has, and 32-bit counts
-STRIPE = "lang string, prefix string, slice int, words string, counts binary"
+# stripes on their way: prefixes joined by a line end and words by a space, which no
+# word has, with 32-bit numbers of words per prefix and counts per word
+BUNDLE = "lang string, bucket long, prefixes string, sizes binary, words string, counts binary"
 
 
 def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
@@ -91,24 +95,35 @@ def frequent(entries: DataFrame, words: int) -> BitTable:
     return bit_table(entries.select("lang", "prefix", "word").mapInArrow(hashes, "hash long"), "hash", FILTER_BITS)
 
 
-def _rows(lang: str, prefixes: pa.Array, prefix: np.ndarray, slices: np.ndarray, words: pa.Array, counts: np.ndarray):
-    """Stripe rows from entries (one at least) ordered by (prefix, slice)."""
-    edge = np.r_[True, (prefix[1:] != prefix[:-1]) | (slices[1:] != slices[:-1])]
-    at = np.flatnonzero(edge)
-    ends = np.append(at, len(prefix)).astype(np.int32)
-    data = counts.astype("<u4").tobytes()
-    return pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(at), pa.string()), prefixes.take(pa.array(prefix[at])), pa.array(slices[at].astype(np.int32)),
-        pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " "),
-        pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(4 * ends), pa.py_buffer(data)])],
-        ["lang", "prefix", "slice", "words", "counts"])
+def _joined(values: pa.Array, ends: np.ndarray, separator: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), separator)
+
+
+def _numbers(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    data = pa.py_buffer(values.astype("<u4").tobytes())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), data])
 
 
-def _entries(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(words, counts, entries per row) of stripe rows."""
-    words = pc.split_pattern(table["words"].combine_chunks(), " ")
-    data = b"".join(table["counts"].to_pylist())
-    return words.flatten(), np.frombuffer(data, "<u4").astype(np.int64), pc.list_value_length(words).to_numpy()
+def _bundles(lang: str, names: pa.Array, prefix: np.ndarray, slices: np.ndarray, words: pa.Array, word: np.ndarray,
+             counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket from entries (one at least) ordered by (prefix, slice):
+    number of its prefix in ``names``, of its word in ``words``, and its count."""
+    first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (slices[1:] != slices[:-1])])
+    sizes = np.diff(np.append(first, len(prefix)))
+    own, back = np.unique(prefix[first], return_inverse=True)
+    place = phrase_hash([word_hashes(names.take(pa.array(own)), lang)[back], slices[first].astype(np.uint64)])
+    bucket = (place % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, sizes, first = bucket[order], sizes[order], first[order]
+    ends = np.r_[0, np.cumsum(sizes)]
+    entry = np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    stripes = np.append(at, len(bucket))
+    return pa.RecordBatch.from_arrays([
+        pa.array([lang] * len(at), pa.string()), pa.array(bucket[at]),
+        _joined(names.take(pa.array(prefix[first])), stripes, "\n"), _numbers(sizes, stripes),
+        _joined(words.take(pa.array(word[entry])), ends[stripes], " "), _numbers(counts[entry], ends[stripes])],
+        ["lang", "bucket", "prefixes", "sizes", "words", "counts"])
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]):
@@ -123,20 +138,20 @@ def _chunks(batches: Iterable[pa.RecordBatch]):
                 yield lang, coded.dictionary, coded.indices.to_numpy().astype(np.int64), piece
 
 
-def _root(slices: int):
+def _root(buckets: int):
     """Stripes of the empty prefix."""
 
     def run(batches):
         for lang, words, token, _ in _chunks(batches):
-            part = (word_hashes(words, lang) % np.uint64(slices)).astype(np.int64)
+            part = (word_hashes(words, lang) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            yield _rows(lang, pa.array([""]), np.zeros(len(order), np.int64), part[order], words.take(pa.array(order)),
-                        np.bincount(token, minlength=len(words))[order])
+            yield _bundles(lang, pa.array([""]), np.zeros(len(order), np.int64), part[order], words, order,
+                           np.bincount(token, minlength=len(words))[order], buckets)
 
     return run
 
 
-def _growth(known: BitTable, size: int, lengths: tuple[int, ...], hot: dict[str, dict[str, int]]):
+def _growth(known: BitTable, size: int, lengths: tuple[int, ...], hot: dict[str, dict[str, int]], buckets: int):
     """Stripes of the prefixes of ``lengths`` words all of whose runs of ``size``
     words are frequent; a next word counts by name if the run it ends is, too."""
 
@@ -176,77 +191,86 @@ def _growth(known: BitTable, size: int, lengths: tuple[int, ...], hot: dict[str,
                     order = np.lexsort((slices, prefix))
                     prefix, word, counts, slices = prefix[order], word[order], counts[order], slices[order]
                 if len(keys):
-                    yield _rows(lang, names, prefix, slices, words.take(pa.array(word)), counts)
+                    yield _bundles(lang, names, prefix, slices, words, word, counts, buckets)
 
     return run
 
 
-def _merge(least: int):
-    """Sorted stripes merged elementwise as they come: the total of each, and its
-    entries of ``least`` and more."""
-
-    def merged(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        keys = [table[c].combine_chunks() for c in ("lang", "prefix", "slice")]
-        edge = np.ones(len(table), bool)
-        if len(table) > 1:
-            edge[1:] = reduce(np.logical_or, (pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) for k in keys))
-        words, counts, sizes = _entries(table)
-        owner = np.repeat(np.cumsum(edge) - 1, sizes)
-        coded = words.dictionary_encode()
-        names, width = coded.dictionary, max(1, len(coded.dictionary))
-        entry, place = np.unique(owner * width + coded.indices.to_numpy(), return_inverse=True)
-        total = np.zeros(len(entry), np.int64)
-        np.add.at(total, place, counts)
-        owner, word = entry // width, entry % width
-        groups = int(edge.sum())
-        sums = np.zeros(groups, np.int64)
-        np.add.at(sums, owner, total)
-        keep = total >= least
-        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=groups))].astype(np.int32))
-        first = pa.array(np.flatnonzero(edge))
+class Merged:
+    """Distinct (key, word) entries of stripes with their counts; a key is a language
+    and a prefix, joined by a line end."""
+
+    def __init__(self):
+        self.keys, self.words = pa.array([], pa.string()), pa.array([], pa.string())
+        self.key, self.word, self.count = (np.empty(0, np.int64) for _ in range(3))
+
+    def add(self, rows: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        prefixes = pc.split_pattern(table["prefixes"].combine_chunks(), "\n")
+        langs = table["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(table)), pc.list_value_length(prefixes).to_numpy())))
+        sizes = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<u4")
+        words = pc.split_pattern(table["words"].combine_chunks(), " ").flatten()
+        keys = pa.concat_arrays([self.keys, pc.binary_join_element_wise(langs, prefixes.flatten(), "\n")]).dictionary_encode()
+        names = pa.concat_arrays([self.words, words]).dictionary_encode()
+        key, word = keys.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)
+        known, width = len(self.keys), max(1, len(names.dictionary))
+        key = np.r_[key[:known][self.key], np.repeat(key[known:], sizes)]
+        word = np.r_[word[:len(self.words)][self.word], word[len(self.words):]]
+        count = np.r_[self.count, np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").astype(np.int64)]
+        entry, place = np.unique(key * width + word, return_inverse=True)
+        self.count = np.zeros(len(entry), np.int64)
+        np.add.at(self.count, place, count)
+        self.keys, self.words, self.key, self.word = keys.dictionary, names.dictionary, entry // width, entry % width
+
+    def result(self, least: int) -> pa.RecordBatch:
+        """Stripes that have entries of ``least`` and more, and all of the empty prefix."""
+        n = len(self.keys)
+        sums = np.zeros(n, np.int64)
+        np.add.at(sums, self.key, self.count)
+        parts = pc.split_pattern(self.keys, "\n", max_splits=1, reverse=True)
+        prefix = pc.list_element(parts, 1)
+        keep = self.count >= least
+        found = np.bincount(self.key[keep], minlength=n)
+        stays = (found > 0) | pc.equal(prefix, "").to_numpy(zero_copy_only=False)
+        ends = pa.array(np.r_[0, np.cumsum(found[stays])].astype(np.int32))
+        some = pa.array(np.flatnonzero(stays))
         return pa.RecordBatch.from_arrays([
-            keys[0].take(first), keys[1].take(first), pa.array(sums),
-            pa.ListArray.from_arrays(offsets, names.take(pa.array(word[keep]))),
-            pa.ListArray.from_arrays(offsets, pa.array(total[keep]))], ["lang", "prefix", "total", "words", "counts"])
+            pc.list_element(parts, 0).take(some), prefix.take(some), pa.array(sums[stays]),
+            pa.ListArray.from_arrays(ends, self.words.take(pa.array(self.word[keep]))),
+            pa.ListArray.from_arrays(ends, pa.array(self.count[keep]))], ["lang", "prefix", "total", "words", "counts"])
+
+
+def _merge(least: int):
+    """Bundles sorted by bucket to merged stripes, a bucket at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        now, merged, held, size = None, Merged(), [], 0
         for batch in batches:
-            held.append(batch)
-            size += (pc.sum(pc.binary_length(batch.column(4))).as_py() or 0) // 4
-            if size >= MERGE:
-                table = pa.Table.from_batches(held)
-                last = len(table) - 1  # the last key may go on
-                own = reduce(pc.and_, (pc.equal(table[c], table[c][last]) for c in ("lang", "prefix", "slice")))
-                begin = pc.index(own, True).as_py()
-                if begin:
-                    yield merged(table.slice(0, begin))
-                    held = table.slice(begin).combine_chunks().to_batches()
-                    size = (pc.sum(pc.binary_length(table["counts"].slice(begin))).as_py() or 0) // 4
-                else:  # one stripe so far: shorten it
-                    held, size = _shortened(table), 0
-        if held:
-            yield merged(pa.Table.from_batches(held))
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                bucket = row.column(1)[0].as_py()
+                if bucket != now and now is not None:
+                    if held:
+                        merged.add(held)
+                    yield merged.result(least)
+                    merged, held, size = Merged(), [], 0
+                now = bucket
+                held.append(row)
+                size += len(row.column(5)[0].as_py()) // 4
+                if size >= MERGE:
+                    merged.add(held)
+                    held, size = [], 0
+        if now is not None:
+            if held:
+                merged.add(held)
+            yield merged.result(least)
 
     return run
 
 
-def _shortened(table: pa.Table) -> list[pa.RecordBatch]:
-    """The rows of one stripe as a single row."""
-    words, some, _ = _entries(table.combine_chunks())
-    coded = words.dictionary_encode()
-    counts = np.zeros(len(coded.dictionary), np.int64)
-    np.add.at(counts, coded.indices.to_numpy(), some)
-    lang, prefix, slice_ = (table[c][0].as_py() for c in ("lang", "prefix", "slice"))
-    none = np.zeros(len(counts), np.int64)
-    return [_rows(lang, pa.array([prefix]), none, none + slice_, coded.dictionary, counts)]
-
-
-def merged_stripes(stripes: DataFrame, least: int, name: str) -> DataFrame:
+def merged_stripes(bundles: DataFrame, least: int, name: str) -> DataFrame:
     """lang, prefix, total, words, counts: a row per prefix and slice."""
-    keys = ["lang", "prefix", "slice"]
-    return materialize(stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+    return materialize(bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _merge(least), "lang string, prefix string, total long, words array<string>, counts array<long>"), name)
 
 
@@ -261,18 +285,19 @@ def stripes(docs: DataFrame, least: int = LEAST_COUNT) -> dict[int, DataFrame]:
     ``least`` occurrences and more."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    root = merged_stripes(texts.mapInArrow(_root(parts), STRIPE), least, "stripes-0")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = merged_stripes(texts.mapInArrow(_root(parts), BUNDLE), least, "stripes-0")
     words = entries(root)
     total = root.agg(F.sum("total")).head()[0] or 0
     each = max(SLICE, total // HOT_WORDS)
+    buckets = 1 + total // BUCKET_WORDS
     hot: dict[str, dict[str, int]] = {}
     for r in words.where(F.col("count") > each).collect():  # HOT_WORDS rows at most
         hot.setdefault(r["lang"], {})[r["word"]] = -(-r["count"] // each)
-    one = merged_stripes(texts.mapInArrow(_growth(frequent(words, 1), 1, (1,), hot), STRIPE), least, "stripes-1")
-    two = merged_stripes(texts.mapInArrow(_growth(frequent(entries(one), 2), 2, (2,), {}), STRIPE), least, "stripes-2")
+    one = merged_stripes(texts.mapInArrow(_growth(frequent(words, 1), 1, (1,), hot, buckets), BUNDLE), least, "stripes-1")
+    two = merged_stripes(texts.mapInArrow(_growth(frequent(entries(one), 2), 2, (2,), {}, buckets), BUNDLE), least, "stripes-2")
     longer = tuple(range(3, MOST_WORDS))
-    more = merged_stripes(texts.mapInArrow(_growth(frequent(entries(two), 3), 3, longer, {}), STRIPE), least, "stripes-3")
+    more = merged_stripes(texts.mapInArrow(_growth(frequent(entries(two), 3), 3, longer, {}, buckets), BUNDLE), least, "stripes-3")
     return {0: root, 1: one, 2: two} | {k: more.where(F.size(F.split("prefix", " ")) == k) for k in longer}
 
 
