@@ -62,8 +62,6 @@ TUNING_SPACE = {
 TUNING_ITERATIONS = 15
 TUNING_FOLDS = 3
 POLICY_NAMES = ("policy0", "policy1", "policy2", "policy3")
-SCENARIO_NAMES = ("baseline", "seasonal_drift_winter", "seasonal_drift_summer",
-                  "holiday_drift", "long_term_drift")
 
 
 @dataclass(frozen=True)
@@ -121,6 +119,10 @@ class BacktestConfig:
 
 POLICY_KINDS = ("never", "periodic", "performance", "hybrid")
 
+# ---------------------------------------------------------------------------
+# Fixed values that must equal the studied workflow for equal results, as typed
+# settings.
+# ---------------------------------------------------------------------------
 # The four published policies.
 REFERENCE_POLICIES = (
     PolicySpec("policy0", "never"),

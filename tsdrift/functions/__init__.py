@@ -1,7 +1,7 @@
 """Column expressions (no Python UDFs): time arithmetic, calendar, statistics."""
 
 from tsdrift.functions.timecols import (  # noqa: F401
-    EPOCH, bucket_start, epoch_micros, from_epoch_micros, hour_number, truncate_hour,
+    EPOCH, epoch_micros, from_epoch_micros, hour_number,
 )
 from tsdrift.functions.calendar import (  # noqa: F401
     day_of_week, is_weekend, season,

@@ -28,17 +28,6 @@ def hour_number(ts) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(_MICROS_PER_HOUR)).cast("bigint")
 
 
-def bucket_start(ts, every_micros: int) -> Column:
-    """Start of the fixed-width bucket holding ``ts`` (label = bucket start)."""
-    n = F.floor(epoch_micros(ts) / F.lit(every_micros)) * F.lit(every_micros)
-    return from_epoch_micros(n.cast("bigint"))
-
-
-def truncate_hour(ts) -> Column:
-    return F.make_timestamp_ntz(F.year(_c(ts)), F.month(_c(ts)), F.dayofmonth(_c(ts)),
-                                F.hour(_c(ts)), F.lit(0), F.lit(0))
-
-
 def ntz(text: str) -> Column:
     """A TIMESTAMP_NTZ literal from 'yyyy-MM-dd[ HH:mm:ss]' text."""
     return F.to_timestamp_ntz(F.lit(text))

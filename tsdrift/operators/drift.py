@@ -2,8 +2,7 @@
 
 PSI bins the current sample by reference quantile breakpoints and compares
 bin shares.  KS compares empirical CDFs; the reference CDF is looked up at
-the current values only, in value buckets, so the reference sample is never
-copied per window.
+the current values only, so the reference sample is never copied per window.
 """
 
 from __future__ import annotations
@@ -16,24 +15,26 @@ from pyspark.sql import functions as F
 from tsdrift.config import MAPE_BASE_ZERO_GUARD, PSI_BINS, PSI_EPSILON, DriftConfig
 from tsdrift.functions.stats import kolmogorov_pvalue, mape_severity, psi_severity
 from tsdrift.operators.quantiles import exact_quantiles
+from tsdrift.session import materialize
 
 KEY = ("series_id",)
-KS_VALUE_BUCKETS = 64
+VALUES_PER_BUCKET = 1 << 17  # distinct reference values that one task counts through
 
 
 def quantile_breakpoints(ref: DataFrame, value: str = "value", by: Sequence[str] = KEY,
-                         bins: int = PSI_BINS, approx: bool = False) -> DataFrame:
+                         bins: int = PSI_BINS, approx: bool = False, written: bool = False) -> DataFrame:
     """DRF-1: ``bp`` = sorted distinct linear-interpolated percentiles at
     0, 1/bins, ..., 1 of the non-null reference values.
 
-    Exact by distributed narrowing (``operators.quantiles``: no group is held
-    in one task); ``approx=True`` uses the mergeable quantile sketch."""
+    Exact by a sketch's brackets and one counting pass (``operators.quantiles``: no
+    group is held in one task); ``approx=True`` uses the mergeable quantile sketch
+    alone.  ``written`` says that ``ref`` is read from a written table."""
     probs = [i / bins for i in range(bins + 1)]
     if approx:
         q = F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 100000)
         return (ref.where(F.col(value).isNotNull()).groupBy(*by)
                    .agg(F.array_sort(F.array_distinct(q.cast("array<double>"))).alias("bp")))
-    qs = exact_quantiles(ref, by, value, probs)
+    qs = exact_quantiles(ref, by, value, probs, written=written)
     return qs.select(*by, F.array_sort(F.array_distinct("q")).alias("bp"))
 
 
@@ -55,7 +56,7 @@ def _bin_shares(binned: DataFrame, keys: Sequence[str], prefix: str) -> DataFram
 
 def psi(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str] = KEY,
         window_keys: Sequence[str] = ("window_id",), bins: int = PSI_BINS,
-        epsilon: float = PSI_EPSILON, bp: DataFrame | None = None) -> DataFrame:
+        epsilon: float = PSI_EPSILON, bp: DataFrame | None = None, written: bool = False) -> DataFrame:
     """DRF-3: one row per (by, window_keys) with ``psi`` and ``n_bins``.
 
     PSI = sum over bins 0..len(bp) of (c - r) * ln(c / r) with c, r the bin
@@ -65,7 +66,8 @@ def psi(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str]
     'no_reference'."""
     ref = ref.where(F.col(value).isNotNull())
     cur = cur.where(F.col(value).isNotNull())
-    bp = bp if bp is not None else quantile_breakpoints(ref, value, by, bins)
+    bp = bp if bp is not None else quantile_breakpoints(ref, value, by, bins, written=written)
+    bp = materialize(bp, "breakpoints")  # read three times
     rs = _bin_shares(assign_bins(ref, bp, value, by), by, "r")
     cs = _bin_shares(assign_bins(cur, bp, value, by).withColumn("bin", F.coalesce("bin", F.lit(-1))),
                      [*by, *window_keys], "c")
@@ -92,52 +94,61 @@ def psi_check(df: DataFrame, threshold: float = 0.25, col: str = "psi") -> DataF
               .withColumn("psi_drift", (sev == "critical") | (F.col(col) >= F.lit(threshold))))
 
 
-def _running(counts: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    """``counts`` (keys..., _vb, _v, _c) with the rows at or below each value
-    (``{prefix}_le``) and all rows of the key (``{prefix}_n``).  Counts run inside
-    a value bucket; lower buckets add one number each, from an array of at most
-    as many entries as there are buckets."""
+def _running(counts: DataFrame, keys: Sequence[str], prefix: str, bucketed: bool) -> DataFrame:
+    """``counts`` (keys..., _v, _c and, if ``bucketed``, _vb) with the rows at or
+    below each value (``{prefix}_le``) and all rows of the key (``{prefix}_n``).
+    Counts run inside a value bucket; what lies in lower buckets comes from the
+    table of bucket totals."""
+    if not bucketed:
+        running = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+        return counts.withColumn(f"{prefix}_le", running).withColumn(
+            f"{prefix}_n", F.sum("_c").over(Window.partitionBy(*keys)))
     inside = F.sum("_c").over(Window.partitionBy(*keys, "_vb").orderBy("_v"))
-    per_bucket = counts.groupBy(*keys, "_vb").agg(F.sum("_c").alias("_bn"))
-    lower = per_bucket.groupBy(*keys).agg(F.collect_list(F.struct("_vb", "_bn")).alias("_bc"),
-                                          F.sum("_bn").alias(f"{prefix}_n"))
-    before = F.aggregate(F.filter("_bc", lambda e: e["_vb"] < F.col("_vb")), F.lit(0).cast("bigint"),
-                         lambda x, e: x + e["_bn"])
-    return (counts.withColumn("_in", inside).join(lower, list(keys))
-                  .withColumn(f"{prefix}_le", F.col("_in") + before).drop("_in", "_bc"))
+    totals = counts.groupBy(*keys, "_vb").agg(F.sum("_c").alias("_bn"))
+    before = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_vb", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_bn").over(Window.partitionBy(*keys)).alias(f"{prefix}_n"))
+    return (counts.withColumn("_in", inside).join(totals, [*keys, "_vb"])
+                  .withColumn(f"{prefix}_le", F.col("_in") + F.col("_before")).drop("_in", "_before"))
 
 
 def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str] = KEY,
                  window_keys: Sequence[str] = ("window_id",),
-                 buckets: int = KS_VALUE_BUCKETS) -> DataFrame:
+                 values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """DRF-5/6: two-sample KS statistic ``ks_statistic`` and asymptotic
     ``p_value`` per (by, window_keys), nulls dropped.
 
     D = max over distinct current values v of the CDF gap at v and just below
     v.  Both samples are first counted per distinct value (map-side combined, so
-    a value shared by many rows is one row), then counts run inside value
-    buckets (approximate reference quantiles, used only to spread the work).  A
-    key without reference keeps its rows, with null scores and ``ks_status``
+    a value shared by many rows is one row; the reference's counts are written
+    once), then counts run inside value buckets: approximate reference quantiles,
+    one for every ``values_per_bucket`` distinct values, which only spread the work.
+    A key without reference keeps its rows, with null scores and ``ks_status``
     'no_reference'."""
     by, window_keys = list(by), list(window_keys)
     ref = ref.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     cur = cur.where(F.col(value).isNotNull()).select(*by, *window_keys, F.col(value).alias("_v"))
-    ref = ref.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cur = cur.groupBy(*by, *window_keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = ref.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", probs, 10000)).alias("_e"))
-
-    def bucketed(d):
-        return (d.join(edges, by, "left")
-                 .withColumn("_vb", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col("_v"))), F.lit(0)))
-                 .drop("_e"))
-
-    rb, cb = bucketed(ref), bucketed(cur)
+    ref = materialize(ref.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "reference-values")
+    cb = cur.groupBy(*by, *window_keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    buckets = -(-ref.count() // values_per_bucket)
+    rb, slot = ref, []
+    if buckets > 1:
+        slot = ["_vb"]
+        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        edges = materialize(ref.groupBy(*by).agg(F.array_distinct(
+            F.percentile_approx("_v", probs, 100 * buckets)).alias("_e")), "reference-edges")
+
+        def bucketed(d):
+            return (d.join(edges, by, "left")
+                     .withColumn("_vb", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col("_v"))), F.lit(0)))
+                     .drop("_e"))
+
+        rb, cb = bucketed(ref), bucketed(cb)
     # reference counts at the values of the current sample, zero where it has none
-    asked = rb.unionByName(cb.select(*by, "_vb", "_v", F.lit(0).cast("bigint").alias("_c")))
-    asked = asked.groupBy(*by, "_vb", "_v").agg(F.sum("_c").alias("_c"))
-    r = _running(asked, by, "r").select(*by, "_v", "r_le", (F.col("r_le") - F.col("_c")).alias("r_lt"), "r_n")
-    c = _running(cb, [*by, *window_keys], "c").join(r, [*by, "_v"])
+    asked = rb.unionByName(cb.select(*by, *slot, "_v", F.lit(0).cast("bigint").alias("_c")))
+    asked = asked.groupBy(*by, *slot, "_v").agg(F.sum("_c").alias("_c"))
+    r = _running(asked, by, "r", bool(slot)).select(*by, "_v", "r_le", (F.col("r_le") - F.col("_c")).alias("r_lt"), "r_n")
+    c = _running(cb, [*by, *window_keys], "c", bool(slot)).join(r, [*by, "_v"])
     n_ref = F.when(F.col("r_n") > 0, F.col("r_n"))
     c_lt = F.col("c_le") - F.col("_c")
     gap = F.greatest(F.abs(F.col("r_le") / n_ref - F.col("c_le") / F.col("c_n")),
@@ -193,26 +204,36 @@ def mape_check(df: DataFrame, baseline: str = "baseline_mape", recent: str = "ma
               .withColumn("mape_severity", mape_severity(ratio, alpha, beta)))
 
 
+def with_baseline(scores: DataFrame, keys: Sequence[str] = KEY, baseline: str = "baseline_mape",
+                  recent: str = "mape", order: Sequence[str] = ("window_start", "window_id")) -> DataFrame:
+    """DRF-9's fallback: where no baseline is known, the first recent MAPE of the key
+    (by ``order``) stands for it.  Rows are window summaries."""
+    first = F.min_by(recent, F.struct(*order)).over(Window.partitionBy(*keys))
+    return scores.withColumn(baseline, F.coalesce(baseline, first))
+
+
 def window_drift(ref: DataFrame, cur: DataFrame, cfg: DriftConfig, target: str = "load",
-                 by: Sequence[str] = KEY, window_keys: Sequence[str] = ("window_id",)) -> DataFrame:
+                 by: Sequence[str] = KEY, window_keys: Sequence[str] = ("window_id",), written: bool = False) -> DataFrame:
     """Model-free part of DRF-9 per window: PSI of the target and the KS
     feature vote.  Join the model MAPE and apply ``mape_check`` for the rest."""
     p = psi_check(psi(ref.select(*by, F.col(target).alias("value")),
                       cur.select(*by, *window_keys, F.col(target).alias("value")),
-                      "value", by, window_keys, cfg.bins, cfg.epsilon), cfg.psi_threshold)
+                      "value", by, window_keys, cfg.bins, cfg.epsilon, written=written), cfg.psi_threshold)
     _, ks = ks_multi(ref, cur, cfg.features, by, window_keys, cfg.ks_drift_count, cfg.ks_alpha)
     return p.join(ks, [*by, *window_keys], "left")
 
 
 def drift_report(df: DataFrame) -> DataFrame:
     """STR-F1: human-readable summary per row of a drift monitor result; the
-    drifted feature list appears only when some feature drifted."""
+    drifted feature list appears only when some feature drifted.  The time is that
+    of the window (``window_start``), so a rerun writes the same text."""
     feats = F.when(F.col("ks_num_drifted") > 0,
                    F.concat(F.lit("\n  Features: ["), F.array_join(F.transform(
                        "drifted_features", lambda f: F.concat(F.lit("'"), f, F.lit("'"))), ", "), F.lit("]"))
                    ).otherwise(F.lit(""))
     text = F.concat(
         F.lit("=== Drift Detection Summary ===\n"),
+        F.concat(F.lit("Timestamp: "), F.coalesce(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.lit("None")), F.lit("\n")),
         F.format_string("Overall Drift Detected: %s\n", F.initcap(F.col("overall_drift").cast("string"))),
         F.format_string("[PSI] Value: %.4f, Severity: %s, Drift: %s\n", "psi", "psi_severity",
                         F.initcap(F.col("psi_drift").cast("string"))),

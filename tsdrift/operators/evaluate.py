@@ -69,15 +69,18 @@ def draw_index(seed: str, rep: Column, i: Column, n: Column) -> Column:
 def bootstrap_ci(values: DataFrame, keys: Sequence[str], pos: str = "window_id", value: str = "mape",
                  reps: int = BOOTSTRAP_REPS, conf: float = BOOTSTRAP_CONF, seed: str = "tsdrift") -> DataFrame:
     """EVL-4: percentile interval of ``reps`` resampled means, plus the sample
-    mean.  A run is one array of its windows' values in order of ``pos``; only
-    the replicates are exploded, and each folds its draws over the array.  Runs
-    with equal values have equal intervals and are resampled once."""
+    mean.  A run is one array of its windows' values in order of ``pos``; its
+    replicates are made, folded over the array and sorted into percentiles in the
+    task that holds it, so the array travels once.  Runs with equal values have equal
+    intervals and are resampled once; different runs are dealt to
+    ``spark.sql.shuffle.partitions`` tasks."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(pos).cast("bigint").alias("p"), F.col(value).alias("v"))))
     runs = values.groupBy(*keys).agg(F.avg(value).alias("mean"), pairs.alias("_a")).select(
         *keys, "mean", F.transform("_a", lambda s: s["v"]).alias("_a"))
     n = F.size("_a").cast("bigint")
-    reps_of = runs.select("_a").distinct().select(
-        "_a", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep")).repartition(F.xxhash64("_a", "_rep"))
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps_of = runs.select("_a").distinct().repartition(tasks, "_a").select(
+        "_a", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
     total = F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), F.lit(0.0), lambda acc, i: acc + F.get(
         F.col("_a"), draw_index(seed, F.col("_rep"), i, n).cast("int")))
     means = reps_of.select("_a", (total / n).alias("_m"))

@@ -43,15 +43,15 @@ def asof_forward(events: DataFrame, metrics: DataFrame, keys: Sequence[str], t:
     """JON-1: for each event, the metric of the first metric row at or after
     the event time; when there is none, the last metric row's value.
 
-    Events and metrics are unioned per key and a forward-looking
-    ``first(ignorenulls)`` window finds the next metric row.  The partitions
+    Events and metrics are unioned per key and read backwards in time, so the next
+    metric row is the last one seen and each row costs the same.  The partitions
     are runs (policy x scenario), whose windows are few."""
     m = metrics.select(*keys, F.col(t).alias("_t"), F.col(value).alias("_v"), F.lit(1).alias("_m"))
     e = events.select(*keys, F.col(t).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(0).alias("_m"))
-    # at equal times the event sorts first, so a metric at the event time counts
-    w = Window.partitionBy(*keys).orderBy("_t", "_m")
+    # backwards, a metric at the event time comes before the event, so it counts
+    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_m").desc())
     metric = F.when(F.col("_m") == 1, F.struct("_t", "_v"))
-    nxt = F.first(metric, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.last(metric, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     last = F.max(metric).over(Window.partitionBy(*keys))
     return (m.unionByName(e)
              .withColumn("_next", nxt).withColumn("_last", last)

@@ -11,11 +11,15 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,11 @@ from tsdrift.config import (
     TUNING_FOLDS, TUNING_ITERATIONS, TUNING_SPACE,
 )
 
+from tsdrift.session import materialize
+
 KEY = ("series_id",)
+PIVOT = 1e-10  # share of a column's own spread below which it counts as a combination of others
+FIT_THREADS = 8  # fits submitted side by side
 
 
 # ---------------------------------------------------------------- metrics
@@ -85,6 +93,92 @@ def predict_linear(df: DataFrame, model: DataFrame, by: Sequence[str] = KEY,
               .drop("a", "b"))
 
 
+# ---------------------------------------------------------------- linear model with many features
+def product_columns(xs: Sequence[str], y: str, shift: dict[str, str] | None = None) -> list[Column]:
+    """Sufficient statistics of a least-squares fit as columns of one row: 1, the
+    values, and their products (upper triangle), null where any value is.  Sums of
+    them can be added, and subtracted, across groups.  ``shift`` names a column to
+    take off each value (values far from zero lose digits in the products)."""
+    cols = [F.col(c).cast("double") - F.col(shift[c]) if shift else F.col(c).cast("double") for c in (*xs, y)]
+    all_known = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
+    terms = [F.lit(1.0), *cols, *[cols[i] * cols[j] for i in range(len(cols)) for j in range(i, len(cols))]]
+    return [F.when(all_known, t).alias(f"_q{k}") for k, t in enumerate(terms)]
+
+
+def product_names(xs: Sequence[str]) -> list[str]:
+    m = len(xs) + 1
+    return [f"_q{k}" for k in range(1 + m + m * (m + 1) // 2)]
+
+
+def solve_products(sums: DataFrame, xs: Sequence[str], ridge: float = 0.0, shift: Sequence[str] | None = None,
+                   keep: Sequence[str] = KEY) -> DataFrame:
+    """``keep`` columns, ``intercept``, ``coef`` (array in the order of ``xs``) and
+    ``n_fit`` from rows of summed products.
+
+    The centred cross products are eliminated column by column (Gauss-Jordan, as
+    they are symmetric and positive no rows need swapping).  A column that is
+    constant, or a combination of those before it, has no pivot left (less than
+    ``PIVOT`` of its own spread) and gets coefficient 0.  ``ridge`` is added to the
+    spread of every feature.  ``shift`` names the columns taken off the values."""
+    p, m = len(xs), len(xs) + 1
+    n = F.col("_q0")
+    total = [F.col(f"_q{1 + i}") for i in range(m)]
+    at = {}
+    k = 1 + m
+    for i in range(m):
+        for j in range(i, m):
+            at[i, j] = at[j, i] = F.col(f"_q{k}")
+            k += 1
+    off = [F.col(c) for c in shift] if shift else [F.lit(0.0)] * m
+    centred = [[at[i, j] - total[i] * total[j] / n for j in range(m)] for i in range(p)]
+    raw = [at[i, i] + F.lit(2.0) * off[i] * total[i] + n * off[i] * off[i] for i in range(p)]  # sum of squares
+    spread = [F.when(centred[i][i] > F.lit(PIVOT) * raw[i], centred[i][i]).otherwise(F.lit(0.0)) for i in range(p)]
+    matrix = F.array(*[centred[i][j] + F.lit(ridge) if i == j else centred[i][j] for i in range(p) for j in range(m)])
+    rows = sums.where(n > 0).select(
+        *keep, n.alias("_n"), matrix.alias("_m"), F.array(*spread).alias("_spread"),
+        F.array(*[t / n + o for t, o in zip(total, off)]).alias("_mean"))
+
+    def eliminate(state: Column, i: Column) -> Column:
+        a = state["a"]
+        pivot = F.get(a, i * m + i)
+        usable = (F.get(F.col("_spread"), i) > 0) & (pivot > F.lit(PIVOT) * F.get(F.col("_spread"), i))
+
+        def cell(v: Column, c: Column) -> Column:
+            row, col = F.floor(c / m).cast("int"), F.pmod(c, F.lit(m))
+            own = F.get(a, i * m + col)
+            return F.when(row == i, own / pivot).otherwise(v - F.get(a, row * m + i) * own / pivot)
+
+        return F.struct(F.when(usable, F.transform(a, cell)).otherwise(a).alias("a"),
+                        F.concat(state["used"], F.array(usable)).alias("used"))
+
+    start = F.struct(F.col("_m").alias("a"), F.array().cast("array<boolean>").alias("used"))
+    done = rows.withColumn("_done", F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), start, eliminate))
+    coef = F.transform(F.col("_done.used"), lambda u, i: F.when(u, F.get(F.col("_done.a"), i * m + p)).otherwise(F.lit(0.0)))
+    done = done.withColumn("coef", coef)
+    part = F.aggregate(F.zip_with("coef", F.slice("_mean", 1, p), lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
+    return done.select(*keep, (F.get("_mean", F.lit(p)) - part).alias("intercept"), "coef", F.col("_n").cast("bigint").alias("n_fit"))
+
+
+def fit_grouped_multilinear(df: DataFrame, by: Sequence[str] = KEY, xs: Sequence[str] = FEATURE_ORDER,
+                            y: str = "load", ridge: float = 0.0) -> DataFrame:
+    """MDL-8 with many features: one row (by, intercept, coef, n_fit) per group, from
+    one aggregation (sums of products, combined map-side) and a solve per group."""
+    q = df.select(*by, *product_columns(xs, y)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in product_names(xs)])
+    return solve_products(q, xs, ridge, keep=by)
+
+
+def linear_value(intercept: Column, coef: Column, xs: Sequence[str]) -> Column:
+    values = F.array(*[F.col(c).cast("double") for c in xs])
+    return intercept + F.aggregate(F.zip_with(coef, values, lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
+
+
+def predict_multilinear(df: DataFrame, model: DataFrame, by: Sequence[str] = KEY,
+                        xs: Sequence[str] = FEATURE_ORDER) -> DataFrame:
+    """MDL-2 for it: null for a group without a model."""
+    return (df.join(model.select(*by, "intercept", "coef"), list(by), "left")
+              .withColumn("prediction", linear_value(F.col("intercept"), F.col("coef"), xs)).drop("intercept", "coef"))
+
+
 # ---------------------------------------------------------------- gradient boosted trees
 def gbt_pipeline(features: Sequence[str] = FEATURE_ORDER, target: str = "load",
                  n_estimators: int = GBT_DEFAULTS["n_estimators"], max_depth: int = GBT_DEFAULTS["max_depth"],
@@ -164,23 +258,61 @@ def sample_grid(space: dict = TUNING_SPACE, n_iter: int = TUNING_ITERATIONS, see
     return rng.sample(grid, min(n_iter, len(grid)))
 
 
+def first_trees(model: GBTRegressionModel, n: int, spark: SparkSession | None = None) -> GBTRegressionModel:
+    """The ensemble of the first ``n`` trees.  Boosting adds trees one after the
+    other, each from its own seed, so it equals a fit of ``n`` trees."""
+    trees, sc = model.trees, (spark or SparkSession.getActiveSession()).sparkContext
+    jvm, ml = sc._jvm, sc._jvm.org.apache.spark.ml.regression
+    own = sc._gateway.new_array(ml.DecisionTreeRegressionModel, min(n, len(trees)))
+    weights = sc._gateway.new_array(jvm.double, len(own))
+    for k in range(len(own)):
+        own[k] = trees[k]._java_obj
+        weights[k] = float(model.treeWeights[k])
+    short = GBTRegressionModel(ml.GBTRegressionModel(f"{model.uid}-{n}", own, weights))
+    return short.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def tune(df: DataFrame, features: Sequence[str] = FEATURE_ORDER, target: str = "load",
          space: dict = TUNING_SPACE, n_iter: int = TUNING_ITERATIONS, folds: int = TUNING_FOLDS,
-         seed: int = 42) -> tuple[dict, DataFrame]:
-    """MDL-5: lowest mean fold MAPE wins.  Each fit is a distributed Spark ML
-    job; the loop is over candidate settings, not over data."""
-    parts = timeseries_folds(df, folds).cache()
+         seed: int = 42, tiebreak: Sequence[str] = KEY, rows_per_task: int = 1 << 18) -> tuple[dict, DataFrame]:
+    """MDL-5: lowest mean fold MAPE wins.  Returns the winning settings and the table
+    of all candidates.
+
+    The folds are written once, as feature vectors; rows of one time are told apart
+    by ``tiebreak``.  Settings that differ only in the number of trees share one fit
+    of the most trees, scored at each number by the prefix of its trees.  Each fit
+    is a distributed Spark ML job; ``FIT_THREADS`` of them are submitted side by side
+    (in a pool of their own, which shares fairly where the session's scheduler does).
+    The loop is over settings, not over data."""
     spark = df.sparkSession
+    assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(
+        timeseries_folds(df, folds, tiebreak=tiebreak)).select("part", F.col(target).cast("double").alias(target), "features")
+    parts = materialize(assembled, "folds", partition_by="part")
+    tasks = max(1, -(-parts.count() // rows_per_task))
+    draws = sample_grid(space, n_iter, seed)
+    fits = defaultdict(set)  # settings without the number of trees -> numbers of trees
+    for d in draws:
+        fits[tuple(sorted((k, v) for k, v in d.items() if k != "n_estimators"))].add(d["n_estimators"])
+    known = {k: parts.where(F.col("part") < k).coalesce(tasks).persist() for k in range(1, folds + 1)}
+
+    def fit(settings: tuple, fold: int) -> dict:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "tune")
+        gbt = gbt_pipeline(features, target, **dict(settings), n_estimators=max(fits[settings]), seed=seed).getStages()[-1]
+        model = gbt.fit(known[fold])
+        held_out = parts.where(F.col("part") == fold)
+        return {n: evaluate(first_trees(model, n, spark).transform(held_out), target, "prediction", by=[]).first()["mape"] for n in fits[settings]}
+
+    jobs = sorted(((s, k) for s in fits for k in known), key=lambda j: -max(fits[j[0]]) * dict(j[0]).get("max_depth", 1))
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        scores = dict(zip(jobs, pool.map(lambda j: inheritable_thread_target(spark)(fit)(*j), jobs)))
+    for d in known.values():
+        d.unpersist()
     results = []
-    for i, params in enumerate(sample_grid(space, n_iter, seed)):
-        scores = []
-        for k in range(1, folds + 1):
-            model = fit_forecaster(parts.where(F.col("part") < k), features, target, **params)
-            pred = predict(model, parts.where(F.col("part") == k))
-            scores.append(evaluate(pred, target, "prediction", by=[]).first()["mape"])
-        results.append((i, *[float(params[k]) for k in space], sum(scores) / len(scores)))
+    for i, d in enumerate(draws):
+        settings = tuple(sorted((k, v) for k, v in d.items() if k != "n_estimators"))
+        mean = sum(scores[settings, k][d["n_estimators"]] for k in known) / folds
+        results.append((i, *[float(d[k]) for k in space], mean))
     cols = ", ".join(f"{k} double" for k in space)
     table = spark.createDataFrame(results, f"candidate int, {cols}, mean_mape double")
     best = min(results, key=lambda r: (r[-1], r[0]))
-    parts.unpersist()
-    return {k: v for k, v in zip(space, best[1:-1])}, table
+    return dict(draws[best[0]]), table

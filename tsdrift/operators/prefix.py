@@ -27,16 +27,13 @@ OWN = "_own"
 
 
 def with_halo(df: DataFrame, pos: str, block_rows: int, halo: int) -> DataFrame:
-    """Add ``_blk`` = pos div block_rows and ``_own``; rows among the last
-    ``halo`` positions of a block appear a second time in the next block with
-    ``_own = false``.  Drop those copies after the windowed step."""
-    if halo > block_rows:
-        raise ValueError(f"halo {halo} larger than block {block_rows}")
+    """Add ``_blk`` = pos div block_rows and ``_own``; the last ``halo`` rows before a
+    block appear in it once more with ``_own = false``, from as many earlier blocks as
+    that takes.  Drop those copies after the windowed step."""
     blk = F.floor(F.col(pos) / F.lit(block_rows))
-    in_tail = F.pmod(F.col(pos), F.lit(block_rows)) >= F.lit(block_rows - halo)
-    targets = F.when(F.lit(halo > 0) & in_tail, F.array(blk, blk + 1)).otherwise(F.array(blk))
+    last = F.floor((F.col(pos) + F.lit(halo)) / F.lit(block_rows))
     return (df.withColumn("_home", blk)
-              .withColumn(BLOCK, F.explode(targets))
+              .withColumn(BLOCK, F.explode(F.sequence(blk, last)))
               .withColumn(OWN, F.col(BLOCK) == F.col("_home"))
               .drop("_home"))
 

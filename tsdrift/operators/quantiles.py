@@ -1,26 +1,22 @@
 """Exact quantiles without holding a group in one task.
 
 ``percentile`` is exact but keeps every distinct value of a group in one
-aggregation buffer; a series holding a third of the rows would sit in one
-task.  ``exact_quantiles`` finds the same order statistics by narrowing, the
-same way at every size:
-
-1. each probability p needs the values at ranks floor(p (n - 1)) and
-   ceil(p (n - 1));
-2. a grouped count over a fixed grid on the logarithm of the values (map-side
-   partial aggregation, so a hot group is pre-reduced in every task) gives n and
-   the cell that holds each rank;
-3. the observed [min, max] of that cell is the rank's next range, cut into
-   equal steps, until the range is a single value, which is the answer.
-
-Every cut separates the least from the greatest value of a range, so the loop
-ends.  The first, logarithmic cut leaves ranges inside a small part of a power
-of two, so a few equal-width cuts (16 bits each) read all 52 bits of a double.
-Infinities and NaN (greatest of all, as in Spark's ordering) get cells of their
-own.
-
-The result equals Spark's ``percentile`` (linear interpolation between the two
-ranks).  The values are written once; each round reads that narrow table.
+aggregation buffer; a series holding a third of the rows would sit in one task.
+``exact_quantiles`` finds the same order statistics in two passes over the values:
+
+1. a mergeable quantile sketch per group (KLL, combined map-side) brackets every
+   rank: each probability p needs the values at ranks floor(p (n - 1)) and
+   ceil(p (n - 1)), and the sketch names two observed values around each;
+2. one pass counts the values below every bracket and, per distinct value, those
+   inside; the running count inside gives the value of the rank.
+
+A bracket holds about 1 % of its group.  One with more than ``INSIDE``
+distinct values is bracketed again by a sketch of its own values.  A sketch's bound
+is a probability, not a promise: a rank that is not inside its bracket is looked for
+again in the whole range, so the result is exact in any case.
+
+NaN is greater than all other values, as in Spark's ordering.  The result equals
+Spark's ``percentile`` (linear interpolation between the two ranks).
 """
 
 from __future__ import annotations
@@ -32,62 +28,107 @@ from pyspark.sql import functions as F
 
 from tsdrift.session import materialize
 
-CELLS = 1 << 16
-LOG_SPAN = 1100.0  # |log2| of any finite double is below
+SKETCH = 4096  # entries of a sketch level; ranks are off by about 0.13 % at most
+GRID = 512  # quantiles read from a sketch
+MARGIN = 2  # of them, on either side of a rank
+INSIDE = 1 << 20
+NAN = float("nan")
 
 
-def _log_cell(v: Column) -> Column:
-    """A non-decreasing cell number: sign and base-2 logarithm on a fixed grid,
-    about 30 cells to a power of two."""
-    size = F.log2(F.abs(v)) + LOG_SPAN
-    grid = F.lit(CELLS / (2 * LOG_SPAN))
-    finite = F.when(v == 0, F.lit(0.0)).when(v > 0, F.floor(size * grid) + 1.0).otherwise(-F.floor(size * grid) - 1.0)
-    return (F.when(F.isnan(v), F.lit(4.0 * CELLS)).when(v == float("inf"), F.lit(3.0 * CELLS))
-             .when(v == float("-inf"), F.lit(-3.0 * CELLS)).otherwise(finite)).cast("bigint")
+def _bracket(rank: Column, n: Column, sketch: Column, low: Column, high: Column) -> list[Column]:
+    """Values around the ``rank``-th of ``n`` (from 0): the sketch's, or the ends."""
+    grid = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    below = F.floor((rank - 1) / n * GRID).cast("int") - MARGIN
+    above = F.ceil((rank + 2) / n * GRID).cast("int") + MARGIN
+    return [F.when(below <= 0, low).otherwise(F.get(grid, below)).alias("_lo"),
+            F.when(above >= GRID, high).otherwise(F.get(grid, above)).alias("_hi")]
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    out: str = "q") -> DataFrame:
+                    out: str = "q", written: bool = False) -> DataFrame:
     """(by..., ``out`` array<double>) with the exact linear-interpolated
-    quantiles of ``value`` at ``probs`` per group (nulls ignored)."""
+    quantiles of ``value`` at ``probs`` per group (nulls ignored).  The values are
+    written once, unless the caller says that ``df`` is read from a ``written``
+    table anyway."""
     by = list(by)
-    v = materialize(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")),
-                    "quantile-values")
-    counted = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")]
-
-    def located(targets: DataFrame, hist: DataFrame, keys: list[str]) -> DataFrame:
-        """Targets moved into the cell that holds their rank."""
-        w = Window.partitionBy(*keys, "_k").orderBy("_b")
-        before = F.col("_below") + F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return (targets.join(hist, keys).withColumn("_before", before)
-                .where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c")))
-                .select(*by, "_n", "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                        F.col("_before").alias("_below")))
-
-    hist = materialize(v.groupBy(*by, _log_cell(F.col("_v")).alias("_b")).agg(*counted), "quantile-cells")
-    totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in pos])))
-    targets = totals.select(*by, "_n", F.explode(ranks.cast("array<bigint>")).alias("_k"),
-                            F.lit(0).cast("bigint").alias("_below"))
-    targets = materialize(located(targets, hist, by), "quantile-targets")
-    is_open = F.col("_lo") < F.col("_hi")
-    while not targets.where(is_open).isEmpty():
-        ranges = targets.where(is_open).select(*by, "_lo", "_hi").distinct()
-        # halved first: the width of two finite doubles may itself be infinite
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        cell = F.when(F.col("_v") == F.col("_hi"), F.lit(CELLS)).otherwise(
-            F.when(F.col("_v") == F.col("_lo"), F.lit(-1)).otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1))))
-        hist = (v.join(ranges, by).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                 .groupBy(*by, "_lo", "_hi", cell.cast("int").alias("_b")).agg(*counted))
-        step = located(targets.where(is_open), hist, [*by, "_lo", "_hi"])
-        targets = materialize(targets.where(~is_open).unionByName(step), "quantile-targets")
-    picked = targets.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_lo"))).alias("_m"))
-
-    def interp(p: float):
+    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    v = v if written else materialize(v, "quantile-values")
+    known = F.when(~F.isnan("_v"), F.col("_v"))
+    stats = v.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(known).alias("_m"), F.min(known).alias("_min"), F.max(known).alias("_max"),
+        F.kll_sketch_agg_double(known, SKETCH).alias("_sketch"))
+    ranks = [f(F.lit(float(p)) * (F.col("_n") - 1)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
+    wanted = stats.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), r.alias("_k")) for i, r in enumerate(ranks)])).alias("_t"))
+    wanted = wanted.select(*by, "_n", "_m", "_min", "_max", "_sketch", "_t.*")
+    targets = materialize(wanted.select(
+        *by, "_n", "_i", "_k", "_min", "_max", (F.col("_k") >= F.col("_m")).alias("_isnan"),
+        *_bracket(F.col("_k"), F.col("_m"), F.col("_sketch"), F.col("_min"), F.col("_max"))), "quantile-targets")
+    found, todo = None, targets.where("not _isnan")
+    while True:
+        inside, below = _counted(v, by, todo)
+        widest = inside.groupBy(*by, "_i").count().agg(F.max("count")).head()[0] or 0
+        while widest > INSIDE:
+            todo = materialize(_narrowed(v, by, todo, below), "quantile-targets")
+            inside, below = _counted(v, by, todo)
+            again = inside.groupBy(*by, "_i").count().agg(F.max("count")).head()[0] or 0
+            if again >= widest:  # no sketch can cut it further
+                break
+            widest = again
+        w = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0))
+        hit = inside.join(below, [*by, "_i"]).withColumn("_ahead", ahead).where(
+            (F.col("_ahead") <= F.col("_k")) & (F.col("_k") < F.col("_ahead") + F.col("_c"))).select(*by, "_i", "_v")
+        hit = materialize(hit, "quantile-values-found")
+        found = hit if found is None else found.unionByName(hit)
+        missed = todo.join(hit.select(*by, "_i"), [*by, "_i"], "left_anti")
+        if missed.isEmpty():
+            break
+        todo = materialize(missed.withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max")), "quantile-targets")
+    each = targets.join(found, [*by, "_i"], "left").select(*by, "_n", "_i", F.coalesce("_v", F.lit(NAN)).alias("_v"))
+    picked = each.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_q"))
+
+    def interp(j: int, p: float) -> Column:
         position = F.lit(float(p)) * (F.col("_n") - 1)
+        xl, xh = F.col("_q")[F.lit(2 * j)], F.col("_q")[F.lit(2 * j + 1)]
         lower, higher = F.floor(position), F.ceil(position)
-        xl, xh = F.col("_m")[lower], F.col("_m")[higher]
         return F.when((lower == higher) | (xl == xh), xl).otherwise((higher - position) * xl + (position - lower) * xh)
 
-    return picked.select(*by, F.array(*[interp(p) for p in probs]).alias(out))
+    return picked.select(*by, F.array(*[interp(j, p) for j, p in enumerate(probs)]).alias(out))
+
+
+def _per_group(v: DataFrame, by: list[str], targets: DataFrame) -> DataFrame:
+    """The values with their group's brackets (2 per probability at most)."""
+    brackets = targets.groupBy(*by).agg(F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_b"))
+    return v.where(~F.isnan("_v")).join(brackets, by)
+
+
+def _counted(v: DataFrame, by: list[str], targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of the distinct values inside every bracket (by, _i, _v, _c), and of
+    all values below it (by, _i, _k, _below).  A value is below a run of brackets
+    that begins at some place of their order, so it is counted there only."""
+    rows = _per_group(v, by, targets)
+    inside = materialize(rows.withColumn("_t", F.explode(F.filter(
+        "_b", lambda b: (b["_lo"] <= F.col("_v")) & (F.col("_v") <= b["_hi"])))).groupBy(
+        *by, F.col("_t._i").alias("_i"), "_v").agg(F.count(F.lit(1)).alias("_c")), "quantile-inside")
+    over = F.size(F.filter("_b", lambda b: b["_lo"] <= F.col("_v")))  # brackets that begin at or below the value
+    steps = rows.groupBy(*by, over.alias("_over")).agg(F.count(F.lit(1)).alias("_c"))
+    order = targets.select(*by, "_i", "_k", "_lo", F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy("_lo").rangeBetween(
+                               Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
+                           F.count(F.lit(1)).over(Window.partitionBy(*by, "_lo")).alias("_same"))
+    # values with fewer brackets at or below them than those strictly before this one, and it
+    sums = steps.groupBy(*by).agg(F.collect_list(F.struct("_over", "_c")).alias("_s"))
+    least = F.col("_upto") - F.col("_same") + 1
+    below = F.aggregate(F.filter("_s", lambda s: s["_over"] < least), F.lit(0).cast("bigint"), lambda a, s: a + s["_c"])
+    return inside, materialize(order.join(sums, by, "left").select(*by, "_i", "_k", F.coalesce(below, F.lit(0)).alias("_below")), "quantile-below")
+
+
+def _narrowed(v: DataFrame, by: list[str], targets: DataFrame, below: DataFrame) -> DataFrame:
+    """Brackets from a sketch of the values inside each bracket."""
+    rows = _per_group(v, by, targets).withColumn("_t", F.explode(F.filter(
+        "_b", lambda b: (b["_lo"] <= F.col("_v")) & (F.col("_v") <= b["_hi"]))))
+    own = rows.groupBy(*by, F.col("_t._i").alias("_i")).agg(
+        F.count(F.lit(1)).alias("_in"), F.kll_sketch_agg_double("_v", SKETCH).alias("_sketch"))
+    inner = targets.join(own, [*by, "_i"]).join(below.select(*by, "_i", "_below"), [*by, "_i"])
+    rank = F.col("_k") - F.col("_below")
+    return inner.select(*[c for c in targets.columns if c not in ("_lo", "_hi")],
+                        *_bracket(rank, F.col("_in"), F.col("_sketch"), F.col("_lo"), F.col("_hi")))

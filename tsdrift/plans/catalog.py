@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsdrift.config import HOURLY_BACKTEST, HOURLY_DRIFT
+from tsdrift.config import FEATURE_ORDER, HOURLY_BACKTEST, HOURLY_DRIFT
 from tsdrift.operators import drift, features, resample, scenarios
 from tsdrift.plans import oracle as O
 from tsdrift.plans import prepare
@@ -52,7 +52,7 @@ def psi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = f.where(F.col("split") == "train").select("series_id", F.col("load").alias("value"))
     cur = monitor.windows(f).select("series_id", "scenario", "window_id", F.col("load").alias("value"))
     p = drift.psi(ref, cur, window_keys=("scenario", "window_id"), bins=HOURLY_DRIFT.bins,
-                  epsilon=HOURLY_DRIFT.epsilon)
+                  epsilon=HOURLY_DRIFT.epsilon, written=True)
     p = drift.psi_check(p, HOURLY_DRIFT.psi_threshold)
     return rounded(p.select("series_id", "scenario", "window_id", "psi", F.col("n_bins").cast("bigint"),
                             "psi_severity", "psi_drift"))
@@ -232,7 +232,24 @@ def q_assign_bins(spark, sf):
     return drift.assign_bins(monitor.windows(f), bp, "load").select("series_id", "scenario", "ts", "bin")
 
 
-register("psi_check", _PSI_SQL)(psi_windows)
+_PRICE_CUT = "2000-01-01"
+
+
+@register("psi_check", O.with_(
+    f"pref AS (SELECT l_returnflag AS series_id, l_extendedprice::DOUBLE AS value FROM lineitem WHERE l_shipdate < DATE '{_PRICE_CUT}')",
+    f"""pcur AS (SELECT l_returnflag AS series_id, date_trunc('month', l_shipdate)::TIMESTAMP AS month, l_extendedprice::DOUBLE AS value
+        FROM lineitem WHERE l_shipdate >= DATE '{_PRICE_CUT}')""",
+    *O.psi_ctes("value", cur="pcur", wkeys=("month",), ref_src="pref", ref_where="TRUE")) + f"""
+SELECT series_id, month, {rd('psi')}, {O.psi_severity_sql()} AS psi_severity, {O.psi_drift_sql()} AS psi_drift FROM psi_t""")
+def q_psi_check(spark, sf):
+    """Prices of each return flag, month by month, against the years before."""
+    from tsdrift.sources.fixtures import lineitem_prices
+
+    d = lineitem_prices(spark, sf)
+    cur = d.where(F.col("ts") >= _PRICE_CUT).withColumn("month", F.make_timestamp_ntz(F.year("ts"), F.month("ts"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    p = drift.psi(d.where(F.col("ts") < _PRICE_CUT), cur, window_keys=("month",))
+    return rounded(drift.psi_check(p).select("series_id", "month", "psi", "psi_severity", "psi_drift"))
+
 
 _MON_SQL = O.with_(*_BT_CTES) + f"""
 SELECT w.series_id, w.scenario, w.window_id, {rd('ps.psi', 'psi')}, {O.psi_severity_sql('ps.psi')} AS psi_severity,
@@ -353,6 +370,49 @@ def q_candidate_models(spark, sf):
     return rounded(c.select("series_id", "t", "a", "b", F.col("n_fit").cast("bigint")))
 
 
+_XS = FEATURE_ORDER
+_COEFS = ", ".join(rd(f"coef[{i + 1}]", f"b_{c}") for i, c in enumerate(_XS))
+
+
+def _with_coefs(fit, *keys):
+    return rounded(fit.select(*keys, "intercept", *[F.get("coef", F.lit(i)).alias(f"b_{c}") for i, c in enumerate(_XS)], "n_fit"))
+
+
+@register("fit_grouped_multilinear", O.with_(*O.PREP, *O.multilinear_ctes("ml", "(SELECT * FROM features WHERE split = 'train')", _XS))
+          + f"SELECT series_id, {rd('intercept')}, {_COEFS}, n_fit FROM ml")
+def q_fit_grouped_multilinear(spark, sf):
+    """MDL-8 on all 12 features."""
+    return _with_coefs(models.fit_grouped_multilinear(train_rows(spark, sf), xs=_XS), "series_id")
+
+
+_ML_PRED = """(SELECT f.*, m.intercept + list_sum(list_transform(range(1, 13), lambda i: m.coef[i] * [%s][i])) AS prediction
+  FROM features f JOIN ml m USING (series_id) WHERE f.split = 'val')""" % ", ".join(f"CAST(f.{c} AS DOUBLE)" for c in _XS)
+
+
+@register("evaluate_multilinear",
+          O.with_(*O.PREP, *O.multilinear_ctes("ml", "(SELECT * FROM features WHERE split = 'train')", _XS)) + f"""
+SELECT series_id, {rd('avg(abs((load - prediction) / (load + 1e-08))) * 100', 'mape')},
+  {rd('sqrt(avg((load - prediction) * (load - prediction)))', 'rmse')}, count(*) AS n FROM {_ML_PRED} GROUP BY 1""")
+def q_evaluate_multilinear(spark, sf):
+    """MDL-2/3 of the 12-feature model on the validation split."""
+    f = monitor.features(spark, sf)
+    m = models.fit_grouped_multilinear(f.where(F.col("split") == "train"), xs=_XS)
+    return rounded(models.evaluate(models.predict_multilinear(f.where(F.col("split") == "val"), m, xs=_XS)).select(
+        "series_id", "mape", "rmse", "n"))
+
+
+@register("candidate_multimodels", O.with_(*_BT_CTES, f"""hist12 AS (
+  SELECT c.t, h.* FROM cand c JOIN features h ON h.series_id = c.series_id AND h.split IN ('train', 'test')
+    AND h.ts >= c.t - to_microseconds({int(HOURLY_BACKTEST.refit_days * 86_400_000_000)}) AND h.ts <= c.t)""",
+    *O.multilinear_ctes("ml", "hist12", _XS, "series_id, t"))
+          + f"SELECT series_id, t, {rd('intercept')}, {_COEFS}, n_fit FROM ml")
+def q_candidate_multimodels(spark, sf):
+    """Refit candidates on all 12 features from running sums."""
+    f = monitor.features(spark, sf)
+    fit = BT.candidate_multimodels(f, monitor.windows(f), HOURLY_BACKTEST, _XS).where(F.col("n_fit") > 0)
+    return _with_coefs(fit, "series_id", "t")
+
+
 # ---------------------------------------------------------------- policies and backtest
 _BT_COLS = ("series_id", "policy", "scenario", "window_id", "timestamp", "mape", "rmse", "psi",
             "ks_drifted", "overall_drift", "fire", "refit", "model_time")
@@ -845,6 +905,32 @@ def q_read_run_logs(spark, sf):
     return events.select("series_id", "policy", "scenario", "timestamp", "event", "retrain_time_seconds", "trigger_reason")
 
 
+_RUN_ID = "scenario || '-' || series_id"
+
+
+@register("read_run_log_files", O.with_(*_BT_CTES) + f"""
+SELECT policy, {_RUN_ID} AS scenario, count(*) AS windows, {rd('avg(mape)', 'mean_mape')}, {rd('max(psi)', 'max_psi')},
+  count_if(overall_drift) AS drifted, count_if(refit) AS retrains, bool_or(refit) AS has_event_log, max(CASE WHEN refit THEN window_start END) AS last_retrain
+FROM fold GROUP BY ALL""")
+def q_read_run_log_files(spark, sf):
+    """SRC-3: the backtest's logs as CSV files in a folder per policy and scenario
+    (here one per series, too), beside stray files; runs that never retrained have
+    no event log."""
+    m, _ = _runs(spark, sf)
+    m = m.withColumn("run", F.concat_ws("-", "scenario", "series_id"))
+    root = files.run_folder(spark, "run-files")
+    files.write_run_log_files(m, BT.event_log(m.drop("scenario").withColumnRenamed("run", "scenario")).withColumnRenamed("scenario", "run"),
+                              root, ("policy", "run"))
+    m.select("timestamp", "mape").write.csv(f"{root}/policy3_metrics.csv")  # stray output above the run folders
+    m.select("mape").write.csv(f"{root}/policy0/notes/summary.csv")
+    metrics, events, known = files.read_run_log_files(spark, root)
+    per_run = metrics.groupBy("policy", "scenario").agg(
+        F.count("*").alias("windows"), F.avg("mape").alias("mean_mape"), F.max("psi").alias("max_psi"), F.count_if("overall_drift").alias("drifted"))
+    per_log = events.groupBy("policy", "scenario").agg(F.count("*").alias("retrains"), F.max("timestamp").alias("last_retrain"))
+    out = known.join(per_run, ["policy", "scenario"], "left").join(per_log, ["policy", "scenario"], "left").fillna({"retrains": 0})
+    return rounded(out.select("policy", "scenario", "windows", "mean_mape", "max_psi", "drifted", "retrains", "has_event_log", "last_retrain"))
+
+
 @register("write_summary", ORACLE["run_summary"])
 def q_write_summary(spark, sf):
     """SNK-3: the summary of the reloaded logs, written and read back."""
@@ -899,14 +985,46 @@ def q_tune(spark, sf):
     return table
 
 
-@register("drift_report")
+def _flag(c: str) -> str:
+    return f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+
+
+_REPORT_SQL = O.with_(*_BT_CTES, f"""mon AS (
+  SELECT w.series_id, w.scenario, w.window_id, w.window_start, ps.psi, {O.psi_severity_sql('ps.psi')} AS psi_severity,
+    {O.psi_drift_sql('ps.psi')} AS psi_drift, coalesce(kv.ks_num_drifted, 0) AS ks_num_drifted, kv.drifted_features,
+    coalesce(kv.ks_num_drifted, 0) >= {HOURLY_DRIFT.ks_drift_count} AS ks_drift, pr.mape, b.baseline_mape,
+    pr.mape / b.baseline_mape AS ratio
+  FROM (SELECT DISTINCT series_id, scenario, window_id, window_start FROM win) w
+  JOIN psi_t ps USING (series_id, scenario, window_id)
+  LEFT JOIN ks_v kv USING (series_id, scenario, window_id)
+  JOIN pairs pr ON pr.series_id = w.series_id AND pr.scenario = w.scenario AND pr.window_id = w.window_id AND pr.mt IS NULL
+  JOIN base b ON b.series_id = w.series_id)""") + f"""
+SELECT series_id, scenario, window_id, concat_ws(chr(10), '=== Drift Detection Summary ===',
+  'Timestamp: ' || strftime(window_start, '%Y-%m-%d %H:%M:%S'),
+  'Overall Drift Detected: ' || {_flag(f'psi_drift OR ks_drift OR ratio >= {HOURLY_DRIFT.mape_beta}')},
+  printf('[PSI] Value: %.4f, Severity: %s, Drift: %s', psi, psi_severity, {_flag('psi_drift')}),
+  '[KS Test] Drifted features: ' || ks_num_drifted || ', Drift: ' || {_flag('ks_drift')},
+  CASE WHEN ks_num_drifted > 0 THEN '  Features: [''' || replace(drifted_features, ',', ''', ''') || ''']' END,
+  printf('[MAPE Monitor] Ratio: %.2fx baseline', ratio),
+  printf('  Base: %.2f%%, Recent: %.2f%%', baseline_mape, mape),
+  '  Severity: ' || CASE WHEN ratio >= {HOURLY_DRIFT.mape_beta} THEN 'critical' WHEN ratio >= {HOURLY_DRIFT.mape_alpha} THEN 'warning'
+    ELSE 'stable' END || ', Drift: ' || {_flag(f'ratio >= {HOURLY_DRIFT.mape_beta}')}) AS report
+FROM mon"""
+
+
+@register("drift_report", _REPORT_SQL)
 def q_drift_report(spark, sf):
     """STR-F1: the multi-line text summary of each window's drift check."""
     m = monitor.static_monitor(monitor.features(spark, sf))
     return drift.drift_report(m).select("series_id", "scenario", "window_id", "report")
 
 
-@register("stream_drift")
+@register("stream_drift", O.with_(
+    "sref AS (SELECT event_type AS series_id, ts, value FROM events WHERE ts < TIMESTAMP '2024-01-16')",
+    "scur AS (SELECT event_type AS series_id, ts, value, date_trunc('day', ts)::TIMESTAMP AS window_start FROM events WHERE ts >= TIMESTAMP '2024-01-16')",
+    *O.psi_ctes("value", cur="scur", wkeys=("window_start",), ref_src="sref", ref_where="TRUE")) + f"""
+SELECT series_id, window_start, window_start + INTERVAL 1 DAY AS window_end, {rd('psi')}, {O.psi_severity_sql()} AS psi_severity,
+  {O.psi_drift_sql()} AS psi_drift FROM psi_t""")
 def q_stream_drift(spark, sf):
     """STM-1: the event stream (file source, availableNow) scored per day
     against the training period."""
@@ -920,14 +1038,16 @@ def q_stream_drift(spark, sf):
     q = drift_stream.start_stream_drift(stream, ev.where(F.col("ts") < "2024-01-16"), f"{base}/out", f"{base}/ck")
     q.awaitTermination()
     drift_stream.close_open_windows(ev.where(F.col("ts") >= "2024-01-16"), ev.where(F.col("ts") < "2024-01-16"), f"{base}/out")
-    return drift_stream.read_windows(spark, f"{base}/out")
+    return rounded(drift_stream.read_windows(spark, f"{base}/out").select(
+        "series_id", "window_start", "window_end", "psi", "psi_severity", "psi_drift"))
 
 
-@register("stream_policy")
+@register("stream_policy", O.with_(*_BT_CTES) + "SELECT series_id, policy, scenario, window_start, fire FROM sfold")
 def q_stream_policy(spark, sf):
     """STM-2: the initial model's scored windows replayed as a file stream;
-    policy state (last trigger) kept per (series, policy) in the state store."""
-    from tsdrift.functions.timecols import epoch_micros
+    policy state (last trigger, windows ahead of the watermark) kept per run and
+    policy in the state store; a closing window ends the replay."""
+    from tsdrift.functions.timecols import epoch_micros, from_epoch_micros
     from tsdrift.streaming import policy_stream
 
     base = files.run_folder(spark, "policy-stream")
@@ -935,10 +1055,12 @@ def q_stream_policy(spark, sf):
         "series_id", "scenario", epoch_micros("window_start").alias("t_us"), "mape", "baseline_mape",
         "overall_drift")
     sig.write.parquet(f"{base}/in")
+    policy_stream.closing_window(spark.read.parquet(f"{base}/in"), ("series_id", "scenario")).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(sig.schema).parquet(f"{base}/in")
     q = (policy_stream.stream_policy(stream, list(HOURLY_POLICIES), ("series_id", "scenario"))
          .writeStream.outputMode("append")
          .option("checkpointLocation", f"{base}/ck").format("parquet").option("path", f"{base}/out")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select(
+        "series_id", "policy", "scenario", from_epoch_micros("t_us").alias("window_start"), "fire")

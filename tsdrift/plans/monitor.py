@@ -42,10 +42,11 @@ def static_scores(f: DataFrame) -> DataFrame:
 
 def static_monitor(f: DataFrame) -> DataFrame:
     """DRF-9 with the initial model: PSI, KS vote and MAPE ratio per window;
-    overall drift = any of the three."""
+    overall drift = any of the three.  A series without a baseline (no validation
+    rows) is compared with its first window."""
     d = drift.window_drift(f.where(F.col("split") == "train"), windows(f), HOURLY_DRIFT,
-                           HOURLY_BACKTEST.y_col, window_keys=WKEYS)
-    s = drift.mape_check(static_scores(f), alpha=HOURLY_DRIFT.mape_alpha, beta=HOURLY_DRIFT.mape_beta)
+                           HOURLY_BACKTEST.y_col, window_keys=WKEYS, written=True)
+    s = drift.mape_check(drift.with_baseline(static_scores(f), ["series_id", "scenario"]), alpha=HOURLY_DRIFT.mape_alpha, beta=HOURLY_DRIFT.mape_beta)
     out = s.join(d, ["series_id", *WKEYS], "left")
     overall = (F.coalesce(F.col("psi_drift"), F.lit(False)) | F.coalesce(F.col("ks_drift"), F.lit(False))
                | F.coalesce(F.col("mape_drift"), F.lit(False)))

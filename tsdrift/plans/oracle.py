@@ -276,6 +276,36 @@ def model_ctes(bt=HOURLY_BACKTEST) -> tuple[str, ...]:
     )
 
 
+def multilinear_ctes(name: str, src: str, xs, keys: str = "series_id", y: str = "load") -> tuple[str, ...]:
+    """Least squares of ``y`` on ``xs`` per ``keys``: centred cross products, column
+    by column elimination, no coefficient for columns without a pivot."""
+    p, m = len(xs), len(xs) + 1
+    cols = [f"CAST({c} AS DOUBLE)" for c in (*xs, y)]
+    cells = ", ".join(f"sum((c{i} - a{i}) * (c{j} - a{j}))" for i in range(p) for j in range(m))
+    squares = ", ".join(f"sum(c{i} * c{i})" for i in range(p))
+    flat = ", ".join(f"{c} AS c{i}" for i, c in enumerate(cols))
+    cell = (f"CASE WHEN c // {m} = k THEN a[k * {m} + c % {m} + 1] / a[k * {m} + k + 1] "
+            f"ELSE a[c + 1] - a[(c // {m}) * {m} + k + 1] * a[k * {m} + c % {m} + 1] / a[k * {m} + k + 1] END")
+    usable = f"(spread[k + 1] > 0 AND a[k * {m} + k + 1] > 1e-10 * spread[k + 1])"
+    return (
+        f"{name}_r AS (SELECT {keys}, {flat} FROM {src} s_)",
+        f"{name}_a AS (SELECT {keys}, count(*) AS n, {', '.join(f'avg(c{i}) AS a{i}' for i in range(m))} FROM {name}_r GROUP BY ALL)",
+        f"""{name}_q AS (SELECT {keys}, any_value(n) AS n, [{', '.join(f'any_value(a{i})' for i in range(m))}] AS mean,
+  [{cells}] AS a, [{squares}] AS sq FROM {name}_r JOIN {name}_a USING ({keys}) GROUP BY {keys})""",
+        f"""{name}_s AS (SELECT {keys}, n, mean, a, 0 AS k, []::BOOLEAN[] AS used,
+    list_transform(range(0, {p}), lambda i: CASE WHEN a[i * {m} + i + 1] > 1e-10 * sq[i + 1] THEN a[i * {m} + i + 1] ELSE 0.0 END) AS spread
+  FROM {name}_q
+  UNION ALL SELECT {keys}, n, mean,
+    CASE WHEN {usable} THEN list_transform(range(0, {p * m}), lambda c: {cell}) ELSE a END, k + 1,
+    list_append(used, {usable}), spread FROM {name}_s WHERE k < {p})""",
+        f"""{name}_c AS (SELECT {keys}, n, mean,
+    list_transform(range(0, {p}), lambda i: CASE WHEN used[i + 1] THEN a[i * {m} + {p} + 1] ELSE 0.0 END) AS coef
+  FROM {name}_s WHERE k = {p})""",
+        f"""{name} AS (SELECT {keys}, mean[{m}] - list_sum(list_transform(range(0, {p}), lambda i: coef[i + 1] * mean[i + 1])) AS intercept,
+  coef, n AS n_fit FROM {name}_c)""",
+    )
+
+
 def policies_cte(specs) -> str:
     def lit(v):
         return "NULL" if v is None else (("TRUE" if v else "FALSE") if isinstance(v, bool) else repr(float(v)))

@@ -30,7 +30,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ship-dated prices per return flag: a larger sample for PSI / KS."""
+    """Ship-dated prices per return flag: the largest sample for PSI."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_returnflag").alias("series_id"),
-                     F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("value"))
+    return li.select(F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
+                     F.col("l_extendedprice").cast("double").alias("value"))
