@@ -24,9 +24,9 @@ blocks at most (one more per source), which grow with the corpus beyond that, an
 a shard for about every ``SHARD_WORDS`` words.
 
 Texts are shuffled once, to their shard: a block follows from the document alone,
-and whether and where a block is taken from the table of blocks.  That table is
-sent to all tasks while it has at most ``SENT_BLOCKS`` rows (counted); beyond that it
-is joined.  Only documents of blocks taken in part are looked up one by one.
+and whether and where a block is taken from the table of blocks.  That table, and the
+one of sources, is sent to all tasks while it has at most ``SENT_BLOCKS`` rows
+(counted); beyond that it is joined.  Only documents of blocks taken in part are looked up one by one.
 
 Defined cases: a null source is a source of its own, last in order; null and
 blank texts have size 0 and are never taken; repeated rows count each; equal
@@ -55,7 +55,7 @@ SEED = 42
 SHARD_WORDS = 1 << 24  # of an output shard, about
 TASK_WORDS = 1 << 20  # written by a task, about
 BUCKETS = 4096
-SENT_BLOCKS = 1 << 21  # rows of the block table sent to all tasks, some 100 MB
+SENT_BLOCKS = 1 << 21  # rows of a table of sources or blocks sent to all tasks, some 100 MB
 
 
 def unit(*parts: Column) -> Column:
@@ -233,19 +233,24 @@ def _mixed(docs: DataFrame, shard_words: int, block_words: int, seed: int) -> Da
         *keys, F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size"), "mix-sizes")
     aims, placed, owned = _plan(light, shard_words, block_words, seed)
     owned = materialize(owned, "mix-blocks")
-    few = owned.count() <= SENT_BLOCKS
     # documents of blocks taken in part: their places in the block decide
     part = owned.where("not whole")
     inner = materialize(placed.join(part, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(
         *keys, F.explode(_draws(F.col("uses"), seed, F.col("before"))).alias("d")), "mix-parts")
-    cuts = aims.select(F.col("source").alias("s_"), n_blocks(F.col("source_size"), block_width(light, block_words)).alias("n_blocks"))
+    cuts = materialize(aims.select(F.col("source").alias("s_"), n_blocks(F.col("source_size"), block_width(light, block_words)).alias("n_blocks")),
+                       "mix-cuts")
+
+    def sent(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if small.count() <= SENT_BLOCKS else small
+
     at = document_hash(F.col("row.doc_id"), F.col("size"), seed)
-    rows = keyed.where("size > 0").withColumn("at", at).join(cuts, F.col("row.source").eqNullSafe(F.col("s_"))).withColumn(
+    rows = keyed.where("size > 0").withColumn("at", at).join(sent(cuts), F.col("row.source").eqNullSafe(F.col("s_"))).withColumn(
         "block_", F.pmod("at", "n_blocks"))
-    taken = rows.join(F.broadcast(owned) if few else owned, F.col("row.source").eqNullSafe(F.col("s")) & (F.col("block_") == F.col("b")))
-    whole = taken.where("whole").select("row", "size", F.explode(_draws(F.col("uses"), seed, F.lit(0))).alias("d"))
+    taken = rows.join(sent(owned.where("whole")), F.col("row.source").eqNullSafe(F.col("s")) & (F.col("block_") == F.col("b")))
+    whole = taken.select("row", "size", F.explode(_draws(F.col("uses"), seed, F.lit(0))).alias("d"))
     # fully equal rows share their draws: one of them stands for all
-    once = taken.where("not whole").select("row", "size", *keys).dropDuplicates(keys)
+    once = keyed_rows(docs).join(inner.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys)
+    once = once.withColumn("size", F.size(words(F.col("row.text"))).cast("long"))
     pieces = whole.unionByName(once.join(inner, keys).select("row", "size", "d"))
     chunks = F.split(F.col("row.text"), f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
     lead = F.when(F.col("row.text").rlike(f"^[{SPACE_CLASS}]"), 1).otherwise(0)
