@@ -114,7 +114,7 @@ def _running(counts: DataFrame, keys: Sequence[str], prefix: str, bucketed: bool
 
 def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str] = KEY,
                  window_keys: Sequence[str] = ("window_id",),
-                 values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+                 buckets: int | None = None, values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """DRF-5/6: two-sample KS statistic ``ks_statistic`` and asymptotic
     ``p_value`` per (by, window_keys), nulls dropped.
 
@@ -122,7 +122,8 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Seque
     v.  Both samples are first counted per distinct value (map-side combined, so
     a value shared by many rows is one row; the reference's counts are written
     once), then counts run inside value buckets: approximate reference quantiles,
-    one for every ``values_per_bucket`` distinct values, which only spread the work.
+    one for every ``values_per_bucket`` distinct values unless ``buckets`` says how
+    many, which only spread the work.
     A key without reference keeps its rows, with null scores and ``ks_status``
     'no_reference'."""
     by, window_keys = list(by), list(window_keys)
@@ -130,7 +131,7 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, value: str = "value", by: Seque
     cur = cur.where(F.col(value).isNotNull()).select(*by, *window_keys, F.col(value).alias("_v"))
     ref = materialize(ref.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "reference-values")
     cb = cur.groupBy(*by, *window_keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    buckets = -(-ref.count() // values_per_bucket)
+    buckets = buckets or -(-ref.count() // values_per_bucket)
     rb, slot = ref, []
     if buckets > 1:
         slot = ["_vb"]
@@ -226,14 +227,17 @@ def window_drift(ref: DataFrame, cur: DataFrame, cfg: DriftConfig, target: str =
 def drift_report(df: DataFrame) -> DataFrame:
     """STR-F1: human-readable summary per row of a drift monitor result; the
     drifted feature list appears only when some feature drifted.  The time is that
-    of the window (``window_start``), so a rerun writes the same text."""
+    of the window (``window_start``, left out where there is none), so a rerun writes
+    the same text."""
+    time = [F.concat(F.lit("Timestamp: "), F.coalesce(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.lit("None")), F.lit("\n"))
+            ] if "window_start" in df.columns else []
     feats = F.when(F.col("ks_num_drifted") > 0,
                    F.concat(F.lit("\n  Features: ["), F.array_join(F.transform(
                        "drifted_features", lambda f: F.concat(F.lit("'"), f, F.lit("'"))), ", "), F.lit("]"))
                    ).otherwise(F.lit(""))
     text = F.concat(
         F.lit("=== Drift Detection Summary ===\n"),
-        F.concat(F.lit("Timestamp: "), F.coalesce(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.lit("None")), F.lit("\n")),
+        *time,
         F.format_string("Overall Drift Detected: %s\n", F.initcap(F.col("overall_drift").cast("string"))),
         F.format_string("[PSI] Value: %.4f, Severity: %s, Drift: %s\n", "psi", "psi_severity",
                         F.initcap(F.col("psi_drift").cast("string"))),

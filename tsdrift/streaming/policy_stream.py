@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tsdrift.config import PolicySpec
 from tsdrift.operators import policies
 
+AHEAD = 1000  # microseconds: a watermark begins at the epoch, and windows there are not late
 STATE_SCHEMA = "last_us long, gap_us long, stateful boolean, t_us array<long>, wants array<boolean>"
 
 
@@ -38,7 +39,7 @@ def _make_step(names: list[str]):
                     gap, stateful = (None if pd.isna(first["gap_us"]) else int(first["gap_us"])), bool(first["stateful"])
                     times = [*times, *rows["t_us"].tolist()]
                     wants = [*wants, *rows["wants"].tolist()]
-        watermark = state.getCurrentWatermarkMs() * 1000
+        watermark = state.getCurrentWatermarkMs() * 1000 - AHEAD
         order = np.argsort(times, kind="stable")
         due = [k for k in order.tolist() if times[k] <= watermark]
         out = []
@@ -52,7 +53,7 @@ def _make_step(names: list[str]):
         left = [k for k in order.tolist() if times[k] > watermark]
         state.update((last, gap, stateful, [int(times[k]) for k in left], [bool(wants[k]) for k in left]))
         if left:
-            state.setTimeoutTimestamp(max(int(times[left[0]]) // 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((int(times[left[0]]) + AHEAD) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
     return step
@@ -63,7 +64,7 @@ def stream_policy(scored: DataFrame, specs: list[PolicySpec], keys: tuple[str, .
     """(keys..., policy, t_us, fire) of every window of ``scored`` (keys..., t_us, mape,
     baseline_mape, overall_drift; a stream) that the watermark, ``delay`` behind the
     latest window of all runs, has passed."""
-    timed = scored.withColumn("event_time", F.timestamp_micros("t_us")).withWatermark("event_time", delay)
+    timed = scored.withColumn("event_time", F.timestamp_micros(F.col("t_us") + AHEAD)).withWatermark("event_time", delay)
     keyed = timed.withColumn("p", F.explode(policies.policy_array(specs))).select("*", "p.*").drop("p")
     wants, gap, stateful = policies.rule_columns("mape", "baseline_mape", "overall_drift")
     rows = keyed.select(*keys, "policy", "event_time", "t_us", wants.alias("wants"), gap.alias("gap_us"), stateful.alias("stateful"))
