@@ -212,6 +212,65 @@ def test_candidates_from_running_sums_equal_their_rows(spark, days):
         assert np.allclose([got[k].intercept, *got[k].coef], [r.intercept, *r.coef], rtol=1e-6, atol=1e-6), k
 
 
+def test_refit_options(spark):
+    from tsdrift.config import HOURLY_BACKTEST, HOURLY_DRIFT
+    from tsdrift.plans import monitor
+
+    f = monitor.features(spark, "/root/testdata/sf0.001")
+    windows = monitor.windows(f)
+    opened = HOURLY_BACKTEST.__class__(**{**HOURLY_BACKTEST.__dict__, "include_val": True, "closed": "left"})
+    got = {(r.series_id, r.t): r.n_fit for r in backtest.candidate_models(f, windows, opened).collect()}
+    hist = f.select("series_id", "ts", "load_lag_24h", "load")
+    sliced = joins.history_slice(windows.select("series_id", F.col("window_start").alias("t")).distinct(), hist, opened.refit_days).where("ts < t")
+    want = {(r.series_id, r.t): r["count"] for r in sliced.groupBy("series_id", "t").count().collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        backtest.candidate_models(f, windows, HOURLY_BACKTEST.__class__(**{**HOURLY_BACKTEST.__dict__, "closed": "right"}))
+    # the first window cannot refit: by default the schedule moves on, else it is tried again in the next window
+    spec = (PolicySpec("p1", "periodic", retrain_interval_days=2),)
+    runs = {}
+    for commit in (False, True):
+        cfg = HOURLY_BACKTEST.__class__(**{**HOURLY_BACKTEST.__dict__, "commit_on_success": commit})
+        log = backtest.run_backtest(f, cfg, HOURLY_DRIFT, spec).where("scenario = 'baseline'")
+        runs[commit] = {}
+        for r in log.collect():
+            runs[commit].setdefault(r.series_id, []).append((r.timestamp, r.fire, r.refit))
+    assert any(fire and not refit for log in runs[True].values() for _, fire, refit in log)
+    for commit, logs in runs.items():
+        for log in logs.values():
+            last = None
+            for t, fire, refit in sorted(log):
+                assert fire == (last is None or t - last >= dt.timedelta(days=2))
+                last = t if (refit if commit else fire) else last
+
+
+def test_gap_limit_and_bounds_of_the_training_period(spark):
+    from tsdrift.operators import resample
+
+    values = [None, 1.0, None, 3.0, None, None, 6.0, None, None]
+    df = spark.createDataFrame([("s", T0 + dt.timedelta(hours=k), v) for k, v in enumerate(values)], "series_id string, ts timestamp_ntz, value double")
+
+    def filled(**k):
+        return [r.value for r in resample.interpolate_linear(df, block=2, **k).orderBy("ts").collect()]
+
+    assert filled() == [None, 1, 2, 3, 4, 5, 6, 6, 6]
+    assert filled(max_gap=1) == [None, 1, 2, 3, None, None, 6, None, None]
+    assert filled(max_gap=2) == filled()
+    rows = [("s", T0 + dt.timedelta(hours=k), float(v)) for k, v in enumerate([10, 10, 10, 100])] + [("late", T0 + dt.timedelta(hours=9), 50.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    capped = resample.cap_outliers(df, fit_on=F.col("ts") < T0 + dt.timedelta(hours=3))
+    assert sorted(r.value for r in capped.collect()) == [10, 10, 10, 15, 50]
+
+
+def test_frames_longer_than_a_block(spark):
+    from tsdrift.operators import features
+
+    rows = [("s", T0 + dt.timedelta(hours=k), float(k * k % 17)) for k in range(100)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    small, large = (sorted(map(tuple, features.lag_rolling(df, lags=(1, 30), rolls=(24,), block=b).collect()), key=lambda r: r[1]) for b in (7, 1000))
+    assert len(small) == 100 and all(x == pytest.approx(y, nan_ok=True) if isinstance(x, float) else x == y for a, b in zip(small, large) for x, y in zip(a, b))
+
+
 def test_first_trees_equal_a_shorter_fit(spark):
     df = spark.createDataFrame(feature_rows(200), ROW)
     long = models.fit_forecaster(df, XS, n_estimators=7, max_depth=3).stages[-1]

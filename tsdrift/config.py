@@ -115,6 +115,9 @@ class BacktestConfig:
     y_col: str = "load"
     min_history_rows: int = MIN_REFIT_ROWS
     chunk_windows: int = 32  # windows folded per round (bounds one fold group)
+    include_val: bool = False  # validation rows are refit history, too
+    closed: str = "both"  # "left": a refit does not see the first row of its window
+    commit_on_success: bool = False  # a policy's state moves only if the refit is done
 
 
 POLICY_KINDS = ("never", "periodic", "performance", "hybrid")

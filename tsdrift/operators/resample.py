@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsdrift.config import OUTLIER_FACTOR, OUTLIER_QUANTILE
@@ -52,9 +52,11 @@ def complete_grid(df: DataFrame, every_micros: int = HOUR_MICROS, by: Sequence[s
 
 
 def interpolate_linear(df: DataFrame, every_micros: int = HOUR_MICROS, by: Sequence[str] = KEY,
-                       ts: str = "ts", value: str = "value", block: int = DEFAULT_BLOCK) -> DataFrame:
-    """RSM-3: linear interpolation by position on a complete grid, no gap
-    limit; leading nulls stay null, trailing nulls take the last value."""
+                       ts: str = "ts", value: str = "value", block: int = DEFAULT_BLOCK,
+                       max_gap: int | None = None) -> DataFrame:
+    """RSM-3: linear interpolation by position on a complete grid; leading nulls
+    stay null, trailing nulls take the last value.  No gap limit by default; with
+    ``max_gap`` a run of more missing steps than that stays null whole."""
     d = df.withColumn("_pos", step_number(ts, every_micros))
     d = fill_neighbours(d, by, "_pos", value, block)
     prev_p, prev_v = F.col("_prev.p"), F.col("_prev.v")
@@ -63,15 +65,21 @@ def interpolate_linear(df: DataFrame, every_micros: int = HOUR_MICROS, by: Seque
                .when(F.col("_prev").isNull(), F.lit(None).cast("double"))
                .when(F.col("_next").isNull(), prev_v)
                .otherwise(prev_v + (next_v - prev_v) * (F.col("_pos") - prev_p) / (next_p - prev_p)))
-    return d.withColumn(value, filled).drop("_prev", "_next", "_pos")
+    if max_gap is not None:
+        # the run after the last known value is as long as its last step says
+        d = d.join(d.groupBy(*by).agg((F.max("_pos") + 1).alias("_end")), list(by))
+        filled = F.when(F.col(value).isNotNull() | (F.coalesce(next_p, "_end") - prev_p - 1 <= max_gap), filled)
+    return d.withColumn(value, filled).drop("_prev", "_next", "_pos", "_end")
 
 
 def outlier_bounds(df: DataFrame, by: Sequence[str] = KEY, value: str = "value",
                    q: float = OUTLIER_QUANTILE, factor: float = OUTLIER_FACTOR,
-                   approx: bool = False) -> DataFrame:
-    """Per-series cap = factor * quantile(q) over all non-null values.  Exact
-    linear-interpolated quantile by default (distributed narrowing, see
-    ``operators.quantiles``); ``approx`` uses a mergeable sketch."""
+                   approx: bool = False, fit_on: Column | None = None) -> DataFrame:
+    """Per-series cap = factor * quantile(q) over all non-null values, or those of
+    the rows where ``fit_on`` holds (the training period, say).  Exact
+    linear-interpolated quantile by default (see ``operators.quantiles``); ``approx``
+    uses a mergeable sketch alone."""
+    df = df if fit_on is None else df.where(fit_on)
     if approx:
         return df.groupBy(*by).agg((F.percentile_approx(value, q, 10000) * F.lit(factor)).alias("upper_bound"))
     qs = exact_quantiles(df, by, value, [q])
@@ -80,9 +88,10 @@ def outlier_bounds(df: DataFrame, by: Sequence[str] = KEY, value: str = "value",
 
 def cap_outliers(df: DataFrame, by: Sequence[str] = KEY, value: str = "value",
                  q: float = OUTLIER_QUANTILE, factor: float = OUTLIER_FACTOR,
-                 approx: bool = False, keep_bound: bool = False) -> DataFrame:
-    """RSM-4: values above the series bound are set to the bound."""
-    bounds = outlier_bounds(df, by, value, q, factor, approx)
+                 approx: bool = False, keep_bound: bool = False, fit_on: Column | None = None) -> DataFrame:
+    """RSM-4: values above the series bound are set to the bound.  A series without
+    a row to fit on has no bound and stays as it is."""
+    bounds = outlier_bounds(df, by, value, q, factor, approx, fit_on)
     out = (df.join(bounds, list(by), "left")
              .withColumn(value, F.when(F.col(value) > F.col("upper_bound"), F.col("upper_bound"))
                          .otherwise(F.col(value))))

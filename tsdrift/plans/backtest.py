@@ -48,10 +48,10 @@ def initial_model(features: DataFrame, cfg: BacktestConfig) -> DataFrame:
 
 
 def range_products(candidates: DataFrame, history: DataFrame, days: float, xs: Sequence[str], y: str,
-                   key: str = "series_id") -> DataFrame:
+                   key: str = "series_id", closed: str = "both") -> DataFrame:
     """Summed products (``models.product_columns``) of the history rows in
-    ``[t - days, t]`` for every candidate (key, t), both ends inclusive, with the
-    columns ``_s_...`` taken off the values.
+    ``[t - days, t]`` for every candidate (key, t), both ends inclusive (``closed``
+    "left": without t), with the columns ``_s_...`` taken off the values.
 
     Whole days come from running sums per series and day: the difference of two of
     them, whatever the length of the range.  Rows themselves are read for the two
@@ -83,7 +83,7 @@ def range_products(candidates: DataFrame, history: DataFrame, days: float, xs: S
     down = c.where(inner).select(key, "t", clamped(F.col("_first")).alias("_day"), F.lit(-1.0).alias("_sign"))
     whole = up.unionByName(down).join(sums, [key, "_day"]).select(key, "t", *[(F.col("_sign") * F.col(n)).alias(n) for n in names])
     edges = c.select(key, "t", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_day")).join(rows, [key, "_day"]).where(
-        (F.col("_us") >= us - F.lit(span)) & (F.col("_us") <= us)).select(key, "t", *names)
+        (F.col("_us") >= us - F.lit(span)) & (F.col("_us") < us if closed == "left" else F.col("_us") <= us)).select(key, "t", *names)
     summed = whole.unionByName(edges).groupBy(key, "t").agg(*[F.sum(n).alias(n) for n in names])
     return summed.join(means, key)
 
@@ -91,11 +91,15 @@ def range_products(candidates: DataFrame, history: DataFrame, days: float, xs: S
 def candidate_multimodels(features: DataFrame, windows: DataFrame, cfg: BacktestConfig, xs: Sequence[str]) -> DataFrame:
     """One refit candidate per distinct window start t on any number of features:
     (series_id, t, intercept, coef, n_fit), fitted on train and test rows in
-    [t - refit_days, t] (validation rows excluded); n_fit 0 without history."""
+    [t - refit_days, t] (validation rows excluded unless ``cfg.include_val``, the row
+    at t unless ``cfg.closed`` is "left"); n_fit 0 without history."""
+    if cfg.closed not in ("both", "left"):
+        raise ValueError(f"closed: {cfg.closed}")
     cands = windows.select("series_id", F.col("window_start").alias("t")).distinct()
-    hist = joins.train_plus_test_history(
-        *[features.where(F.col("split") == s).select("series_id", "ts", *xs, cfg.y_col) for s in ("train", "test")])
-    summed = range_products(cands, hist, cfg.refit_days, xs, cfg.y_col)
+    parts = ("train", "val", "test") if cfg.include_val else ("train", "test")
+    hist = reduce(joins.train_plus_test_history,
+                  [features.where(F.col("split") == s).select("series_id", "ts", *xs, cfg.y_col) for s in parts])
+    summed = range_products(cands, hist, cfg.refit_days, xs, cfg.y_col, closed=cfg.closed)
     # differences of running sums leave rounding dust where there is no row
     summed = summed.withColumn("_q0", F.round("_q0"))
     fit = models.solve_products(summed, xs, shift=[f"_s_{c}" for c in (*xs, cfg.y_col)], keep=("series_id", "t"))
@@ -152,6 +156,9 @@ def _step(dcfg: DriftConfig, cfg: BacktestConfig, own: policies.OwnPolicy | None
             else:
                 new, fire = st["own"], policies.decide(st["last_us"], w["t_us"], s["mape"], base, overall)
             refit = fire & (F.coalesce(w["n_fit"], F.lit(0)) > F.lit(cfg.min_history_rows))
+            moves = refit if cfg.commit_on_success else fire
+            if cfg.commit_on_success:
+                new = F.when(fire & ~refit, st["own"]).otherwise(new)
             out = F.struct(w["window_id"].alias("window_id"), w["t_us"].alias("t_us"),
                            s["mape"].alias("mape"), s["rmse"].alias("rmse"), w["psi"].alias("psi"),
                            F.coalesce(w["ks_drifted"], F.lit(0)).alias("ks_drifted"),
@@ -159,7 +166,7 @@ def _step(dcfg: DriftConfig, cfg: BacktestConfig, own: policies.OwnPolicy | None
                            st["model_us"].alias("model_us"))
             return F.struct(F.when(refit, w["ca"]).otherwise(st["a"]).alias("a"),
                             F.when(refit, w["cb"]).otherwise(st["b"]).alias("b"),
-                            F.when(fire, w["t_us"]).otherwise(st["last_us"]).alias("last_us"),
+                            F.when(moves, w["t_us"]).otherwise(st["last_us"]).alias("last_us"),
                             F.when(refit, w["t_us"]).otherwise(st["model_us"]).alias("model_us"), new.alias("own"),
                             F.concat(st["out"], F.array(out)).alias("out"))
 
