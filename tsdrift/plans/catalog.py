@@ -641,8 +641,20 @@ def q_annotated_events(spark, sf):
     return rounded(E.annotated_events(m, e))
 
 
-ORACLE["asof_forward"] = ORACLE["annotated_events"]
-QUERIES["asof_forward"] = q_annotated_events
+@register("asof_forward", O.with_(*_BT_CTES, """wm AS (
+  SELECT w.series_id, w.scenario, w.window_start AS t, pr.mape
+  FROM (SELECT DISTINCT series_id, scenario, window_id, window_start FROM win) w
+  JOIN pairs pr ON pr.series_id = w.series_id AND pr.scenario = w.scenario AND pr.window_id = w.window_id AND pr.mt IS NULL)""",
+    "wlast AS (SELECT series_id, scenario, arg_max(mape, t) AS mape FROM wm GROUP BY ALL)") + f"""
+SELECT p.series_id, p.scenario, p.ts AS timestamp, {rd('coalesce(wm.mape, l.mape)', 'mape')}
+FROM pos_rows p ASOF LEFT JOIN wm ON wm.series_id = p.series_id AND wm.scenario = p.scenario AND p.ts <= wm.t
+JOIN wlast l ON l.series_id = p.series_id AND l.scenario = p.scenario""")
+def q_asof_forward(spark, sf):
+    """JON-1: every hour of the test period with the MAPE of the next window."""
+    f = monitor.features(spark, sf)
+    windows_ = monitor.static_scores(f).select("series_id", "scenario", F.col("window_start").alias("timestamp"), "mape")
+    hours = f.where(F.col("split") == "test").select("series_id", "scenario", F.col("ts").alias("timestamp"))
+    return rounded(joins.asof_forward(hours, windows_, ["series_id", "scenario"]))
 
 
 @register("cost_accuracy_points", O.with_(*_EVL_CTES) + f"SELECT series_id, policy, scenario, num_retrains, {rd('mean_mape')} FROM summ")
