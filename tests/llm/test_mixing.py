@@ -89,3 +89,56 @@ def test_empty_and_textless_tables(spark):
     assert [(r["size"], r["taken"], r["target"]) for r in M.summary(blank).collect()] == [(0, 0, 0.0)] * 2
     clash = data.documents(spark).withColumns({"size": F.lit("x"), "block": F.lit(1), "shard": F.lit(2), "uid": F.lit(3)})
     assert "uid" in M.mixed_documents(clash).columns
+
+
+def test_a_tree_of_depth_ten(spark):
+    quotas = {"a": 3000, "b": 1500, None: 37}
+    rows = M.split_tree(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 10).collect()
+    by_shard, by_source = defaultdict(int), defaultdict(list)
+    for r in rows:
+        by_shard[r["shard"]] += r["quota"]
+        by_source[r["source"]].append((r["shard"], r["first"], r["quota"]))
+    assert len(by_shard) == 1024 and set(by_shard.values()) == {4, 5}
+    # all nodes of a level hold equal shares, too
+    for level in range(11):
+        node = defaultdict(int)
+        for shard, n in by_shard.items():
+            node[shard >> (10 - level)] += n
+        assert max(node.values()) - min(node.values()) <= 1
+    for s, q in quotas.items():
+        at = 0
+        for _, first, n in sorted(by_source[s]):
+            assert first == at and n > 0
+            at += n
+        assert at == q
+
+
+def test_five_thousand_sources(spark):
+    import random
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randrange(1, 9), None, f"s{min(i, rng.randrange(5000)):04d}", 0) for i in range(9000)]
+    rows += [(9000 + k, "w", None, f"s{k:04d}", 0) for k in range(5000)]
+    sizes = sizes_of(rows)
+    order = sorted(sizes)
+    weight = {s: M.WEIGHTS[k % 3] for k, s in enumerate(order)}
+    # the level at which all are served, by bisection
+    total, low, high = 1.5 * sum(sizes.values()), 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, mid * weight[s]) for s, n in sizes.items()) < total else (low, mid)
+    docs = spark.createDataFrame(rows, data.SCHEMA)
+    taken, aim = defaultdict(int), {}
+    for r in M.takings(M.sized(docs), shard_words=1 << 10, block_words=16).collect():
+        taken[r["source"]] += sum(d["words"] for d in r["draws"])
+        aim[r["source"]] = r["target"]
+    assert len(aim) == 5000
+    for s, n in sizes.items():
+        assert aim[s] == pytest.approx(min(2 * n, high * weight[s]), rel=1e-6) and abs(taken[s] - aim[s]) <= 1
+    assert M.mixed_documents(docs, shard_words=1 << 10, block_words=16).count() > 0
+
+
+def test_large_tables_are_joined_instead_of_sent(spark, monkeypatch):
+    docs = data.documents(spark)
+    sent = sorted(map(str, M.mixed_documents(docs, block_words=300).collect()))
+    monkeypatch.setattr(M, "SENT_BLOCKS", 0)
+    assert sorted(map(str, M.mixed_documents(docs, block_words=300).collect())) == sent

@@ -84,7 +84,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     level = (F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     filled = per.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    common = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)["level"]
+    # the first open source's level: later ones' are lower, also among ties
+    common = F.max(F.when(F.col("open"), F.col("level"))).over(every)
     return filled.withColumn("common", common).select(
         "source", "source_size", "weight",
         F.when(F.col("common").isNull(), F.col("cap")).otherwise(

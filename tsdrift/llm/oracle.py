@@ -120,7 +120,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM ranked WINDOW o AS (ORDER BY cap / weight, source NULLS FIRST)),
-common AS (SELECT arg_min(level, cap / weight) AS c FROM levels WHERE level * weight <= cap),
+common AS (SELECT max(level) AS c FROM levels WHERE level * weight <= cap),
 aims AS (SELECT source, source_size, least(cap, coalesce(c * weight, cap)) AS target,
          greatest(1, ceil(source_size / 16384.0))::BIGINT AS n_blocks FROM levels, common),
 placed AS (
