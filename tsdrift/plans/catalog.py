@@ -172,7 +172,7 @@ register("psi", _PSI_SQL)(psi_windows)
 
 
 # ---------------------------------------------------------------- KS / monitor
-from tsdrift.config import HOURLY_POLICIES  # noqa: E402
+from tsdrift.config import DAILY_SPLIT, HOURLY_POLICIES, REFERENCE_BACKTEST, REFERENCE_POLICIES, DriftConfig  # noqa: E402
 from tsdrift.plans import monitor  # noqa: E402
 
 _DRIFT_CTES = (*O.PREP, O.windows_cte(), *O.psi_ctes(), *O.ks_ctes())
@@ -425,6 +425,23 @@ def q_backtest(spark, sf):
     return rounded(monitor.backtest_metrics(spark, sf).select(*_BT_COLS))
 
 
+_PUBLISHED = O.with_(
+    """hourly AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) / 1000 AS value
+      FROM orders GROUP BY 1, 2)""",
+    *O.PREP[1:-1], O.features_cte(DAILY_SPLIT), O.windows_cte(REFERENCE_BACKTEST.window_size, REFERENCE_BACKTEST.step), *O.psi_ctes(),
+    *O.ks_ctes(running=True), *O.model_ctes(REFERENCE_BACKTEST), *O.backtest_ctes(REFERENCE_POLICIES, DriftConfig(), REFERENCE_BACKTEST))
+
+
+@register("backtest_published", _PUBLISHED + _FOLD_SELECT + " FROM fold")
+def q_backtest_published(spark, sf):
+    """The published settings on six years of orders: windows of 168 rows, 60 days of
+    history, the four published policies."""
+    f = prepare.order_features(spark, sf)
+    cols = f.columns
+    f = monitor.write_table(f, "order-features", partition_by="split").select(*cols)
+    return rounded(BT.run_backtest(f, REFERENCE_BACKTEST, DriftConfig(), REFERENCE_POLICIES).select(*_BT_COLS))
+
+
 @register("event_log", O.with_(*_BT_CTES) + """
 SELECT series_id, policy, scenario, window_start AS timestamp, 'retrain' AS event,
   CAST(NULL AS DOUBLE) AS retrain_time_seconds, 'policy_trigger' AS trigger_reason

@@ -201,9 +201,10 @@ def _unpivot(src: str, keys: str, feats, where: str = "TRUE") -> str:
 
 def ks_ctes(feats=HOURLY_DRIFT.features, ref_where: str = "split = 'train'", cur: str = "win",
             wkeys: tuple[str, ...] = ("scenario", "window_id"), alpha: float = HOURLY_DRIFT.ks_alpha,
-            ref_src: str = "features") -> tuple[str, ...]:
+            ref_src: str = "features", running: bool = False) -> tuple[str, ...]:
     """KS statistic per (series, feature, wkeys...) of ``cur`` values against
-    reference values."""
+    reference values; ``running``: by running sums instead of a join of all values,
+    for long series."""
     wk = ", ".join(wkeys)
     part = f"series_id, {wk}, feature"
     return (
@@ -216,12 +217,20 @@ def ks_ctes(feats=HOURLY_DRIFT.features, ref_where: str = "split = 'train'", cur
     count(*) OVER (PARTITION BY {part}, value) AS c_eq,
     count(*) OVER (PARTITION BY {part}) AS n_cur
   FROM kcur)""",
-        f"""kgap AS (
+        *([f"""kall AS (
+  SELECT series_id, feature, value, 1 AS r FROM kref UNION ALL SELECT DISTINCT series_id, feature, value, 0 AS r FROM kcur)""",
+           """kcum AS (
+  SELECT DISTINCT series_id, feature, value, r_le, r_le - r_eq AS r_lt FROM (
+    SELECT *, sum(r) OVER (PARTITION BY series_id, feature ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r_le,
+      sum(r) OVER (PARTITION BY series_id, feature, value) AS r_eq FROM kall))""",
+           """kgap AS (
+  SELECT c.*, n.n_ref, m.r_le, m.r_lt FROM kcv c JOIN knref n USING (series_id, feature) JOIN kcum m USING (series_id, feature, value))"""]
+          if running else [f"""kgap AS (
   SELECT c.series_id, {', '.join(f'c.{k}' for k in wkeys)}, c.feature, c.value, c.c_le, c.c_eq, c.n_cur, n.n_ref,
     count_if(r.value <= c.value) AS r_le, count_if(r.value < c.value) AS r_lt
   FROM kcv c JOIN knref n USING (series_id, feature)
   LEFT JOIN kref r ON r.series_id = c.series_id AND r.feature = c.feature
-  GROUP BY ALL)""",
+  GROUP BY ALL)"""]),
         f"""ks_t AS (
   SELECT series_id, {wk}, feature, n_ref, n_cur,
     max(greatest(abs(r_le / n_ref - c_le / n_cur), abs(r_lt / n_ref - (c_le - c_eq) / n_cur))) AS ks_statistic

@@ -65,6 +65,18 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_mean(daily_orders(spark, sf_dir), DAY_MICROS)
 
 
+def order_features(spark: SparkSession, sf_dir: str, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Hourly feature table over several years: mean order value in thousands per
+    priority and day, interpolated to hours."""
+    from pyspark.sql import functions as F
+
+    from tsdrift.config import DAILY_SPLIT
+
+    daily = write_table(daily_series(spark, sf_dir).withColumn("value", F.col("value") / 1000), "daily")
+    filled = interpolate_linear(complete_grid(daily, block=block), block=block)
+    return labelled(build_features(cap_outliers(filled), HOLIDAYS, block=block), DAILY_SPLIT)
+
+
 def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsdrift.config import DAILY_SPLIT, HOLIDAY_MONTH_DAYS
     from tsdrift.operators.features import calendar_features, holiday_rule_flag
