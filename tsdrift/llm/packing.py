@@ -38,8 +38,8 @@ END_ID = 2
 OPEN_WINDOWS = 128
 FAN_IN = 8  # partitions merged per group and round
 FULL = 31 / 32  # a merged window this full is closed
-BATCH_BYTES = 8 << 20
-CACHE_PARTS = 1_000_000  # beyond it nothing more is kept
+BATCH_BYTES = 2 << 20
+CACHE_PARTS = 200_000  # beyond it nothing more is kept
 
 PIECE = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, "
          "open boolean, members array<struct<window:long,base:long>>")
