@@ -102,5 +102,5 @@ def test_empty_input_passes_all_stages(spark):
 
 
 def test_every_operator_is_registered():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert QUERIES["pipeline"] is pipeline.run and QUERIES.items() <= entry.queries().items()
