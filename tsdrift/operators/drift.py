@@ -67,7 +67,6 @@ def psi(ref: DataFrame, cur: DataFrame, value: str = "value", by: Sequence[str]
     ref = ref.where(F.col(value).isNotNull())
     cur = cur.where(F.col(value).isNotNull())
     bp = bp if bp is not None else quantile_breakpoints(ref, value, by, bins, written=written)
-    bp = materialize(bp, "breakpoints")  # read three times
     rs = _bin_shares(assign_bins(ref, bp, value, by), by, "r")
     cs = _bin_shares(assign_bins(cur, bp, value, by).withColumn("bin", F.coalesce("bin", F.lit(-1))),
                      [*by, *window_keys], "c")

@@ -64,13 +64,18 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
         *by, "_n", "_i", "_k", "_min", "_max", (F.col("_k") >= F.col("_m")).alias("_isnan"),
         *_bracket(F.col("_k"), F.col("_m"), F.col("_sketch"), F.col("_min"), F.col("_max"))), "quantile-targets")
     found, todo = None, targets.where("not _isnan")
+
+    def widest_of(inside: DataFrame) -> int:
+        """Most distinct values in a bracket; not counted where all together are few."""
+        return inside.groupBy(*by, "_i").count().agg(F.max("count")).head()[0] if inside.count() > INSIDE else 0
+
     while True:
         inside, below = _counted(v, by, todo)
-        widest = inside.groupBy(*by, "_i").count().agg(F.max("count")).head()[0] or 0
+        widest = widest_of(inside)
         while widest > INSIDE:
             todo = materialize(_narrowed(v, by, todo, below), "quantile-targets")
             inside, below = _counted(v, by, todo)
-            again = inside.groupBy(*by, "_i").count().agg(F.max("count")).head()[0] or 0
+            again = widest_of(inside)
             if again >= widest:  # no sketch can cut it further
                 break
             widest = again
@@ -80,9 +85,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
             (F.col("_ahead") <= F.col("_k")) & (F.col("_k") < F.col("_ahead") + F.col("_c"))).select(*by, "_i", "_v")
         hit = materialize(hit, "quantile-values-found")
         found = hit if found is None else found.unionByName(hit)
-        missed = todo.join(hit.select(*by, "_i"), [*by, "_i"], "left_anti")
-        if missed.isEmpty():
+        if hit.count() == todo.count():  # one value per rank
             break
+        missed = todo.join(hit.select(*by, "_i"), [*by, "_i"], "left_anti")
         todo = materialize(missed.withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max")), "quantile-targets")
     each = targets.join(found, [*by, "_i"], "left").select(*by, "_n", "_i", F.coalesce("_v", F.lit(NAN)).alias("_v"))
     picked = each.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_q"))
@@ -119,7 +124,7 @@ def _counted(v: DataFrame, by: list[str], targets: DataFrame) -> tuple[DataFrame
     sums = steps.groupBy(*by).agg(F.collect_list(F.struct("_over", "_c")).alias("_s"))
     least = F.col("_upto") - F.col("_same") + 1
     below = F.aggregate(F.filter("_s", lambda s: s["_over"] < least), F.lit(0).cast("bigint"), lambda a, s: a + s["_c"])
-    return inside, materialize(order.join(sums, by, "left").select(*by, "_i", "_k", F.coalesce(below, F.lit(0)).alias("_below")), "quantile-below")
+    return inside, order.join(sums, by, "left").select(*by, "_i", "_k", F.coalesce(below, F.lit(0)).alias("_below"))
 
 
 def _narrowed(v: DataFrame, by: list[str], targets: DataFrame, below: DataFrame) -> DataFrame:

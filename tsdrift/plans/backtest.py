@@ -61,10 +61,8 @@ def range_products(candidates: DataFrame, history: DataFrame, days: float, xs: S
     day = F.floor(epoch_micros("ts") / F.lit(joins.DAY_MICROS))
     shift = {c: f"_s_{c}" for c in (*xs, y)}
     means = history.groupBy(key).agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(s) for c, s in shift.items()])
-    means = write_table(means, "history-means")
     rows = history.join(means, key).select(key, epoch_micros("ts").alias("_us"), day.alias("_day"),
                                            *models.product_columns(xs, y, shift))
-    rows = write_table(rows, "history-products")
     per_day = rows.groupBy(key, "_day").agg(*[F.sum(c).alias(c) for c in names])
     ends = per_day.groupBy(key).agg(F.min("_day").alias("_from"), F.max("_day").alias("_to"))
     grid = ends.select(key, F.explode(F.sequence(F.col("_from") - 1, F.col("_to"))).alias("_day"))
