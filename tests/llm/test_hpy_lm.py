@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ from tests.llm import brute, data
 
 from tsdrift.llm import hpy_lm as H
 from tsdrift.llm.common import fold
+from tsdrift.session import tables_written
 
 
 def scored(spark, docs):
@@ -112,3 +114,29 @@ def test_empty_table_and_no_training_text(spark):
     assert scored(spark, data.empty(spark)).count() == 0
     rows = H.score(data.documents(spark).limit(3), F.lit(True)).collect()
     assert len(rows) == 3 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in rows)
+
+
+def test_predictions_take_one_shard_at_a_time_and_leave_no_seatings(spark, monkeypatch):
+    make, known = H._predictions, len(tables_written())
+
+    def checked(kept):
+        predict = make(kept)
+
+        def run(batches):
+            def single():
+                for pdf in batches:
+                    assert len(pdf) == 1, f"{len(pdf)} shards at once"
+                    yield pdf
+
+            yield from predict(single())
+
+        return run
+
+    docs = data.documents(spark).coalesce(1)
+    whole = sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
+    monkeypatch.setattr(H, "_predictions", checked)
+    monkeypatch.setattr(H, "SHARD_CHARS", sum(len(r[1] or "") for r in data.rows()) / 16)
+    scores = scored(spark, docs)
+    seats = [p.removeprefix("file:") for p in tables_written()[known:] if "/lm-seats-" in p]
+    assert seats and not any(os.path.exists(p) for p in seats)
+    assert sorted(str(r["doc_id"]) for r in scores.collect()) == whole

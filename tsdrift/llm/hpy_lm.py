@@ -141,7 +141,9 @@ def _blocks(shift: int):
     def block(number: int, ids: list, held: list, parts: list) -> Iterator[dict]:
         words, contexts, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         distinct, word = np.unique(words, return_inverse=True)
+        del words
         pairs, pair = np.unique(word * CONTEXTS + contexts, return_inverse=True)
+        del word, contexts
         training = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(pair[training], minlength=len(pairs))
         uses = np.bincount(pair, minlength=len(pairs))
@@ -150,6 +152,7 @@ def _blocks(shift: int):
         rank[order] = np.arange(len(pairs))
         yield {"kind": "tokens", "block": number, "doc_ids": ids, "held": held, "sizes": sizes.astype("<u4").tobytes(),
                "tokens": _planes(rank[pair]), "pairs": _planes(order)}
+        del pair, training, uses, order, rank
         owner = pairs // CONTEXTS
         per = np.bincount(owner, minlength=len(distinct))
         shards = (distinct >> np.uint64(64 - shift)).astype(np.int64) if shift else np.zeros(len(distinct), np.int64)
@@ -181,9 +184,12 @@ def _blocks(shift: int):
                     total += len(parts[-1][0])
                     chunk, size = [], 0
                     if total >= BLOCK_TOKENS:
-                        yield frame(list(block(number, ids, held, parts)))
+                        done = frame(list(block(number, ids, held, parts)))
                         number += 1
                         ids, held, parts, total = [], [], [], 0
+                        yield done
+                        del done
+                        _release()
         if chunk:
             parts.append(tokens(chunk))
         if parts:
@@ -230,12 +236,16 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     used = np.flatnonzero(dishes)
     wi = np.split(index.astype("<u4"), np.cumsum([len(x) for x in words])[:-1])
     pi = np.split(pair.astype("<u4"), np.cumsum([int(x.sum()) for x in per])[:-1])
-    return pd.DataFrame([{
-        "shard": int(pdf["shard"].iloc[0]), "words": w.astype("<u4").tobytes(), "contexts": c.astype("<u2").tobytes(),
+    shard = int(pdf["shard"].iloc[0])
+    out = pd.DataFrame([{
+        "shard": shard, "words": w.astype("<u4").tobytes(), "contexts": c.astype("<u2").tobytes(),
         "customers": n.astype("<u4").tobytes(), "word_counts": total.astype("<u4").tobytes(),
         "blocks": pdf["block"].tolist(), "block_words": [x.tobytes() for x in wi],
         "block_per": [x.astype("<u4").tobytes() for x in per], "block_pairs": [x.tobytes() for x in pi],
         "s_context": used.tolist(), "s_customers": customers[used].tolist(), "s_dishes": dishes[used].tolist(), "facts": facts}])
+    del words, per, distinct, index, word, context, pairs, pair, n, w, c, total, seen, mid, top, wi, pi
+    _release()
+    return out
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -439,6 +449,9 @@ def rounds_of(shards: DataFrame, totals: dict, rounds: int, sweeps: int, samples
     return state, kept
 
 
+PREDICTED = "block long, shard long, logs binary, per binary, counts binary"
+
+
 def _predictions(kept: list[dict]):
     """Every block's pairs with their predictions, averaged over the samples."""
 
@@ -449,16 +462,29 @@ def _predictions(kept: list[dict]):
                 for k, totals in enumerate(kept):
                     p += _restaurants(row, totals, 0, list(row["samples"][3 * k:3 * k + 3])).predict()
                 logs = np.log10(p / len(kept)).astype("<f4")
-                del p  # before the next shard's is made
                 counts = np.frombuffer(row["word_counts"], "<u4")
                 out = [{"block": int(b), "shard": row["shard"], "logs": logs[np.frombuffer(pi, "<u4")].tobytes(), "per": per,
                         "counts": counts[np.frombuffer(wi, "<u4")].tobytes()}
                        for b, wi, per, pi in zip(row["blocks"], row["block_words"], row["block_per"], row["block_pairs"], strict=True)]
+                del p, logs, counts, row  # before the next shard's are made
                 yield pd.DataFrame(out)
+                del out
+                _release()
 
     return run
 
 
+def predicted(seated: DataFrame, kept: list[dict]) -> DataFrame:
+    """The predictions of all shards, made one shard at a time and written: the
+    seatings, several times as large, go before the blocks gather theirs."""
+    with _shard_by_shard(seated.sparkSession):
+        logs = materialize(seated.select(
+            "shard", "words", "contexts", "customers", "word_counts", "blocks", "block_words", "block_per", "block_pairs", "samples").mapInPandas(
+            _predictions(kept), PREDICTED), "lm-predicted")
+    discard(seated)
+    return logs
+
+
 def _scores(n: int, v: int):
     def run(docs: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
         logs = logs.sort_values("shard")  # the order of the block's words
@@ -477,6 +503,9 @@ def _scores(n: int, v: int):
                 "doc_id": pd.array(list(row["doc_ids"]), dtype="Int64"), "held_out": list(row["held"]), "n_tokens": sizes,
                 "n_known": np.add.reduceat((counts > 0)[word].astype(np.int64), first), "train_tokens": n,
                 "base_score": np.add.reduceat(base[word], first), "score": np.add.reduceat(score[pair], first)}))
+            del order, pair, word
+        del score, counts, per, base, docs, logs
+        _release()
         return pd.concat(out)
 
     return run
@@ -509,8 +538,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, sweeps: int =
               "tables1": tables[CONTEXTS:], "tables0": float(v),
               "discounts": tuple(_discount(*steps[k:k + 2]) for k in (4, 2, 0))}
     seated, kept = rounds_of(shards, totals, rounds, sweeps, samples)
-    logs = seated.select("shard", "words", "contexts", "customers", "word_counts", "blocks", "block_words", "block_per", "block_pairs", "samples").mapInPandas(
-        _predictions(kept), "block long, shard long, logs binary, per binary, counts binary")
+    logs = predicted(seated, kept)
     docs_of = parts.where("kind = 'tokens'").select("block", "doc_ids", "held", "sizes", "tokens", "pairs")
     return docs_of.groupBy("block").cogroup(logs.groupBy("block")).applyInPandas(
         _scores(n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
