@@ -16,8 +16,10 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,7 @@ from tsdrift.config import (
     TUNING_FOLDS, TUNING_ITERATIONS, TUNING_SPACE,
 )
 
+from tsdrift.operators import boosting
 from tsdrift.session import materialize
 
 KEY = ("series_id",)
@@ -272,6 +275,62 @@ def first_trees(model: GBTRegressionModel, n: int, spark: SparkSession | None =
     return short.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
 
 
+def _fits_in_tasks(parts: DataFrame, target: str, features: int, jobs: Sequence[tuple[int, GBTRegressor, set[int]]]) -> dict[int, dict[int, float]]:
+    """MAPE of every job (fold, settings, numbers of trees) at each of its numbers of
+    trees.  Each fit is one task (``boosting``), the first job first; the rows of a
+    fold are one row of arrays that the tasks share, in the order of Spark ML's fit."""
+    row = F.struct("_at", F.col(target).alias("y"), vector_to_array("features").alias("x"))
+
+    def as_row(part: DataFrame, name: str) -> DataFrame:
+        every = part.withColumn("_at", F.monotonically_increasing_id()).agg(F.sort_array(F.collect_list(row)).alias("r"))
+        return every.select(F.transform("r", lambda r: r["y"]).alias(f"{name}_y"),
+                            F.flatten(F.transform("r", lambda r: r["x"])).alias(f"{name}_x"))
+
+    spark = parts.sparkSession
+    folds = [as_row(parts.where(F.col("part") < k).coalesce(1), "known").crossJoin(as_row(parts.where(F.col("part") == k), "held"))
+             .withColumn("fold", F.lit(k)) for k in sorted({k for k, *_ in jobs})]
+    settings = [dict(trees=g.getMaxIter(), max_depth=g.getMaxDepth(), learning_rate=g.getStepSize(), subsample=g.getSubsamplingRate(),
+                     feature_subset=g.getFeatureSubsetStrategy(), seed=g.getSeed(), max_bins=g.getMaxBins(),
+                     least_rows=g.getMinInstancesPerNode(), least_gain=g.getMinInfoGain(), stages=sorted(stages)) for _, g, stages in jobs]
+
+    def fitted(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = {c: batch.column(c).slice(k, 1) for c in batch.schema.names}
+                job, held = one["job"][0].as_py(), one["held_y"].flatten()
+                y, x, held_x = (one[c].flatten().to_numpy(zero_copy_only=False) for c in ("known_y", "known_x", "held_x"))
+                for trees, p in boosting.staged_predictions(x.reshape(-1, features), y, held_x.reshape(-1, features), **settings[job]):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(job, pa.int64()), len(p)), pa.repeat(pa.scalar(trees, pa.int64()), len(p)),
+                                                      held, pa.array(p)], names=["_job", "_trees", "y", "prediction"])
+
+    # as many partitions as jobs, and no exchange: every job is a task of its own
+    every = spark.range(0, len(jobs), 1, len(jobs)).select(F.col("id").alias("job"), F.get(F.array(*[F.lit(k) for k, *_ in jobs]), F.col("id").cast("int")).alias("fold"))
+    scored = every.join(F.broadcast(reduce(DataFrame.unionByName, folds)), "fold").drop("fold").mapInArrow(
+        fitted, "_job long, _trees long, y double, prediction double")
+    scores = defaultdict(dict)
+    for r in evaluate(scored, "y", "prediction", by=["_job", "_trees"]).collect():
+        scores[r["_job"]][r["_trees"]] = r["mape"]
+    return scores
+
+
+def _fits_as_jobs(parts: DataFrame, target: str, tasks: int, gbts: dict[tuple, GBTRegressor], fits: dict[tuple, set[int]]) -> dict[tuple, dict[int, float]]:
+    """The same for (settings, fold) -> fit by Spark ML, some fits side by side."""
+    spark = parts.sparkSession
+    known = {k: parts.where(F.col("part") < k).coalesce(tasks).persist() for k in sorted({k for _, k in gbts})}
+
+    def fit(settings: tuple, fold: int) -> dict:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "tune")
+        model = gbts[settings, fold].fit(known[fold])
+        held_out = parts.where(F.col("part") == fold)
+        return {n: evaluate(first_trees(model, n, spark).transform(held_out), target, "prediction", by=[]).first()["mape"] for n in fits[settings]}
+
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        scores = dict(zip(gbts, pool.map(lambda j: inheritable_thread_target(spark)(fit)(*j), gbts)))
+    for d in known.values():
+        d.unpersist()
+    return scores
+
+
 def tune(df: DataFrame, features: Sequence[str] = FEATURE_ORDER, target: str = "load",
          space: dict = TUNING_SPACE, n_iter: int = TUNING_ITERATIONS, folds: int = TUNING_FOLDS,
          seed: int = 42, tiebreak: Sequence[str] = KEY, rows_per_task: int = 1 << 18) -> tuple[dict, DataFrame]:
@@ -280,37 +339,34 @@ def tune(df: DataFrame, features: Sequence[str] = FEATURE_ORDER, target: str = "
 
     The folds are written once, as feature vectors; rows of one time are told apart
     by ``tiebreak``.  Settings that differ only in the number of trees share one fit
-    of the most trees, scored at each number by the prefix of its trees.  Each fit
-    is a distributed Spark ML job; ``FIT_THREADS`` of them are submitted side by side
-    (in a pool of their own, which shares fairly where the session's scheduler does).
-    The loop is over settings, not over data."""
+    of the most trees, scored at each number by the prefix of its trees.
+
+    Up to ``rows_per_task`` rows, which one task would hold anyway, a fit is one task
+    that grows the trees Spark ML would grow (``boosting``), without its job per level.
+    Beyond, each fit is a distributed Spark ML job; ``FIT_THREADS`` of them are submitted
+    side by side (in a pool of their own, which shares fairly where the session's
+    scheduler does).  The loop is over settings, not over data."""
     spark = df.sparkSession
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(
         timeseries_folds(df, folds, tiebreak=tiebreak)).select("part", F.col(target).cast("double").alias(target), "features")
     parts = materialize(assembled, "folds", partition_by="part")
-    tasks = max(1, -(-parts.count() // rows_per_task))
+    rows = parts.count()
+    tasks = max(1, -(-rows // rows_per_task))
     draws = sample_grid(space, n_iter, seed)
     fits = defaultdict(set)  # settings without the number of trees -> numbers of trees
     for d in draws:
         fits[tuple(sorted((k, v) for k, v in d.items() if k != "n_estimators"))].add(d["n_estimators"])
-    known = {k: parts.where(F.col("part") < k).coalesce(tasks).persist() for k in range(1, folds + 1)}
-
-    def fit(settings: tuple, fold: int) -> dict:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "tune")
-        gbt = gbt_pipeline(features, target, **dict(settings), n_estimators=max(fits[settings]), seed=seed).getStages()[-1]
-        model = gbt.fit(known[fold])
-        held_out = parts.where(F.col("part") == fold)
-        return {n: evaluate(first_trees(model, n, spark).transform(held_out), target, "prediction", by=[]).first()["mape"] for n in fits[settings]}
-
-    jobs = sorted(((s, k) for s in fits for k in known), key=lambda j: -max(fits[j[0]]) * dict(j[0]).get("max_depth", 1))
-    with ThreadPoolExecutor(FIT_THREADS) as pool:
-        scores = dict(zip(jobs, pool.map(lambda j: inheritable_thread_target(spark)(fit)(*j), jobs)))
-    for d in known.values():
-        d.unpersist()
+    jobs = sorted(((s, k) for s in fits for k in range(1, folds + 1)), key=lambda j: -max(fits[j[0]]) * dict(j[0]).get("max_depth", 1))
+    gbts = {(s, k): gbt_pipeline(features, target, **dict(s), n_estimators=max(fits[s]), seed=seed).getStages()[-1] for s, k in jobs}
+    if tasks == 1 and all(boosting.fits_one_pass(rows, len(features), g.getMaxDepth(), g.getMaxBins()) for g in gbts.values()):
+        found = _fits_in_tasks(parts, target, len(features), [(k, gbts[s, k], fits[s]) for s, k in jobs])
+        scores = {j: found[i] for i, j in enumerate(jobs)}
+    else:
+        scores = _fits_as_jobs(parts, target, tasks, gbts, fits)
     results = []
     for i, d in enumerate(draws):
         settings = tuple(sorted((k, v) for k, v in d.items() if k != "n_estimators"))
-        mean = sum(scores[settings, k][d["n_estimators"]] for k in known) / folds
+        mean = sum(scores[settings, k][d["n_estimators"]] for k in range(1, folds + 1)) / folds
         results.append((i, *[float(d[k]) for k in space], mean))
     cols = ", ".join(f"{k} double" for k in space)
     table = spark.createDataFrame(results, f"candidate int, {cols}, mean_mape double")
